@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import language, mixing, simhash
+from . import bpe, language, lm, mixing, quality, simhash
 
 QUERIES = {
     "op1_language_id": language.op1_language_id,
+    "op2_lm_scoring": lm.op2_lm_scoring,
     "op3_source_mixing": mixing.op3_source_mixing,
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
+    "op7_quality_classifier": quality.op7_quality_classifier,
+    "op9_byte_bpe": bpe.op9_byte_bpe,
 }
 
 ORACLE_SQL = {"op3_source_mixing": mixing.OP3_SQL}
