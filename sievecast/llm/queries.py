@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
-from . import bpe, language, lm, mixing, quality, simhash
+from . import bpe, forest, language, lines, lm, mixing, quality, simhash, tokenfiles, topk
 
 QUERIES = {
     "op1_language_id": language.op1_language_id,
     "op2_lm_scoring": lm.op2_lm_scoring,
     "op3_source_mixing": mixing.op3_source_mixing,
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
+    "op5_exact_topk": topk.op5_exact_topk,
+    "op6_line_dedup": lines.op6_line_dedup,
     "op7_quality_classifier": quality.op7_quality_classifier,
+    "op8_token_counts": tokenfiles.op8_token_counts,
     "op9_byte_bpe": bpe.op9_byte_bpe,
+    "op10_embedding_near_dedup": forest.op10_embedding_near_dedup,
 }
 
-ORACLE_SQL = {"op3_source_mixing": mixing.OP3_SQL}
+ORACLE_SQL = {
+    "op3_source_mixing": mixing.OP3_SQL,
+    "op5_exact_topk": topk.OP5_SQL,
+    "op6_line_dedup": lines.OP6_SQL,
+    "op8_token_counts": tokenfiles.OP8_SQL,
+    "op10_embedding_near_dedup": forest.OP10_SQL,
+}
