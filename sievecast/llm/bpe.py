@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 #: Different pieces whose ids a Python worker remembers at once.
-REMEMBERED = 400_000
-_IDS_AT_ONCE = 1 << 20
+REMEMBERED = 800_000
+_CHARACTERS_AT_ONCE = 1 << 21
 
 
 class Vocabulary:
@@ -36,7 +36,9 @@ class Vocabulary:
             self.token[rank] = token
         self.longest = max(map(len, self.rank), default=0)
         self._halves: dict[int, tuple[int, int] | None] = {}
-        self._beside: dict[tuple[int, int], bool] = {}
+        self._beside: dict[int, dict[int, bool]] = {}
+        #: Rank of each token, -1 for what only begins one: where a token's search can stop.
+        self.begins = {token[:n]: -1 for token in self.rank for n in range(1, len(token))} | self.rank
 
     def merged(self, text: bytes, below: int | None = None) -> list[int]:
         """Plain BPE, by definition: the adjacent parts with the lowest rank merge, leftmost first. ``below``: only such ranks."""
@@ -61,8 +63,6 @@ class Vocabulary:
         Merges are undone from the last: at each moment the two tokens at the seam must not have
         merged before the merge that took one of them away. Of equal ranks, the left one goes first.
         """
-        if (known := self._beside.get((left, right))) is not None:
-            return known
         a, b, before = left, right, len(self.token) + 1
         while True:
             across = self.rank.get(self.token[a] + self.token[b])
@@ -77,9 +77,13 @@ class Vocabulary:
             else:
                 out = True
                 break
-        self._beside[left, right] = out
+        self.beside(left)[right] = out
         return out
 
+    def beside(self, left: int) -> dict[int, bool]:
+        """What is known of the tokens after this one."""
+        return self._beside.setdefault(left, {})
+
     def encode_piece(self, piece: bytes) -> list[int]:
         return [self.rank[piece]] if piece in self.rank else Prefixes(self, piece).ids()
 
@@ -92,26 +96,38 @@ class Prefixes:
         self.append(text)
 
     def append(self, more: bytes) -> None:
-        start = len(self.text)
+        old = len(self.text)
         self.text += more
-        for end in range(start + 1, len(self.text) + 1):
-            self.last.append(self._last(end))
+        self.last += [-1] * len(more)
+        for start in range(max(0, old - self.vocabulary.longest), len(self.text)):
+            self._tokens_from(start, old)
+
+    def follow(self, text: bytes) -> None:
+        """Become the table of ``text``: the entries of what both texts begin with stay, the rest is appended."""
+        own, same = self.text, 0
+        for a, b in zip(own, text, strict=False):
+            if a != b:
+                break
+            same += 1
+        self.text = own[:same]
+        del self.last[same + 1 :]
+        self.append(text[same:])
 
-    def _last(self, end: int) -> int:
+    def _tokens_from(self, start: int, known_to: int = 0) -> None:
+        """Enter the tokens from here that are the last of a prefix with no entry yet. All prefixes up to here, or to ``known_to``, have theirs."""
         v, text, last = self.vocabulary, self.text, self.last
-        rank, beside, compatible = v.rank, v._beside, v.compatible
-        for start in range(max(0, end - v.longest), end):
-            token = rank.get(text[start:end])
-            if token is not None:
-                if start == 0:
-                    if end == 1 or v.halves(token):
-                        return token
-                else:
-                    before = last[start]
-                    known = beside.get((before, token))
-                    if compatible(before, token) if known is None else known:
-                        return token
-        raise ValueError(f"the vocabulary has no token for the byte at {end - 1}")
+        begins, before = v.begins.get, last[start]
+        known = v.beside(before)
+        for end in range(max(start, known_to) + 1, len(text) + 1):
+            token = begins(text[start:end])
+            if token is None:
+                break
+            if token >= 0 and last[end] < 0:
+                fits = known.get(token) if start else True
+                if v.compatible(before, token) if fits is None else fits:
+                    last[end] = token
+        if len(last) > start + 1 and last[start + 1] < 0:
+            raise ValueError(f"the vocabulary leaves the prefix of {start + 1} bytes without a token")
 
     def replace(self, start: int, end: int, new: bytes) -> int:
         """Put ``new`` for the bytes from start to end; returns how many prefixes were encoded anew.
@@ -119,16 +135,17 @@ class Prefixes:
         An entry depends on the entries and bytes of one longest token before it. After the edit, once as
         many entries in a row are what they were, all that follow are as well.
         """
-        old_text, old = self.text, self.last
+        old_text, old, longest = self.text, self.last, self.vocabulary.longest
         self.text = old_text[:start] + new + old_text[end:]
-        self.last = old[: start + 1]
+        self.last = old[: start + 1] + [-1] * (len(self.text) - start)
         shift, same = len(new) - (end - start), 0
-        for at in range(start + 1, len(self.text) + 1):
-            self.last.append(self._last(at))
-            same = same + 1 if at - shift > end and self.last[at] == old[at - shift] else 0
-            if same >= self.vocabulary.longest:
-                self.last += old[at - shift + 1 :]
-                return at - start
+        for at in range(max(0, start - longest), len(self.text)):
+            if at > start:
+                same = same + 1 if at - shift > end and self.last[at] == old[at - shift] else 0
+                if same >= longest:
+                    self.last[at + 1 :] = old[at - shift + 1 :]
+                    return at - start
+            self._tokens_from(at)
         return len(self.text) - start
 
     def ids(self) -> list[int]:
@@ -146,19 +163,22 @@ class Encoder:
         self.vocabulary, self.find = Vocabulary(data), regex.compile(pattern).findall
         self.known: dict[str, tuple[int, ...]] = {}
 
-    def encode(self, text: str) -> list[int]:
-        pieces, known = self.find(text), self.known
-        try:
-            return list(chain.from_iterable(map(known.__getitem__, pieces)))
-        except KeyError:
-            pass
-        if len(known) > REMEMBERED:
-            known.clear()
-        encode_piece = self.vocabulary.encode_piece
-        for p in pieces:
-            if p not in known:
-                known[p] = tuple(encode_piece(p.encode()))
-        return list(chain.from_iterable(map(known.__getitem__, pieces)))
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """The ids of each text. New pieces are encoded in sorted order, so each table follows from the one before."""
+        pieces, known, vocabulary = [self.find(x) for x in texts], self.known, self.vocabulary
+        new = set().union(*pieces).difference(known)
+        if new:
+            if len(known) + len(new) > REMEMBERED:
+                known.clear()
+                new = set().union(*pieces)
+            table = Prefixes(vocabulary)
+            for p, raw in sorted(((p, p.encode()) for p in new), key=lambda x: x[1]):
+                if raw in vocabulary.rank:
+                    known[p] = (vocabulary.rank[raw],)
+                else:
+                    table.follow(raw)
+                    known[p] = tuple(table.ids())
+        return [list(chain.from_iterable(map(known.__getitem__, x))) for x in pieces]
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.vocabulary.token.__getitem__, ids))
@@ -197,17 +217,14 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN)
 
         for b in batches:
             doc_ids = b.column(0).cast(pa.int64())
-            parts, decoded, held, first = [], [], 0, 0
-            for i, x in enumerate(b.column(1).to_pylist()):
-                ids = own.encode(x or "")
-                parts.append(np.array(ids, np.int32))
-                decoded.append(own.decode(ids))
-                held += len(ids)
-                if held >= _IDS_AT_ONCE:
-                    yield rows(doc_ids[first : i + 1], parts, decoded)
-                    parts, decoded, held, first = [], [], 0, i + 1
-            if parts:
-                yield rows(doc_ids[first:], parts, decoded)
+            texts = [x or "" for x in b.column(1).to_pylist()]
+            first = size = 0
+            for i, x in enumerate(texts):
+                size += len(x)
+                if size >= _CHARACTERS_AT_ONCE or i + 1 == len(texts):
+                    lists = own.encode(texts[first : i + 1])
+                    yield rows(doc_ids[first : i + 1], [np.array(x, np.int32) for x in lists], [own.decode(x) for x in lists])
+                    first, size = i + 1, 0
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
