@@ -27,7 +27,7 @@ from .common import fold, materialize, starts_of, table, utf8
 OWN_WORDS, GROUPS, SUFFIX = 960, 64, 3
 WIDTH, NOISE, BATCH, RATE = 24, 32, 2048, 0.08
 #: Words whose counts every task holds; the counts of all others are joined. Bounds what is broadcast, not what counts.
-HELD_WORDS = 1 << 18
+HELD_WORDS = 1 << 17
 #: Different words that a task counts before it passes them on.
 COUNTED_AT_ONCE = 300_000
 #: The end of a text, as a token. No word is empty.
@@ -165,11 +165,15 @@ class WordTables:
 
 def word_tables(counts: DataFrame, held: int = HELD_WORDS) -> WordTables:
     """The most frequent words come to the driver, at most ``held``; of all others only sums by group."""
-    top = counts.orderBy(F.desc("c"), "word").limit(held).collect()
-    words = [END] + [bytes(r.word) for r in top if bytes(r.word) != END]
-    c = {bytes(r.word): r.c for r in top}
-    end = c.get(END) or (counts.filter(F.length("word") == 0).agg(F.sum("c")).first()[0] or 0)
-    c[END] = end
+    # by eighths of a power of two: few bins, of which the most frequent that together fit are held
+    bin_ = F.floor(F.log2("c") * 8).cast("int")
+    by_bin = sorted(counts.groupBy(bin_.alias("bin")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r.bin)
+    fit = np.searchsorted(np.cumsum([r.n for r in by_bin]), held, side="right")
+    least = by_bin[fit - 1].bin if fit else 1 << 30
+    top = counts.filter((bin_ >= least) | (F.length("word") == 0)).toArrow()
+    c = dict(zip((bytes(w) for w in top["word"].to_pylist()), top["c"].to_pylist(), strict=True))
+    c.setdefault(END, 0)
+    words = [END, *sorted(c.keys() - {END}, key=lambda w: (-c[w], w))]
     totals = counts.agg(F.sum("c"), F.count("*")).first()
     own = words[:OWN_WORDS]
     group = F.expr(f"crc32(right(word, {SUFFIX})) % {GROUPS}").cast("int")
