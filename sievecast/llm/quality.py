@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,12 +16,16 @@ from .common import fold, materialize, starts_of, table, utf8
 
 #: Word types are hashed to BUCKETS, their letter shapes to SHAPES; vectors have WIDTH dimensions, index vectors MARKS entries of +-1.
 BUCKETS, SHAPES, WIDTH, MARKS = 8192, 512, 64, 4
+#: Dimensions of the shapes' vectors, and of the words' own index vectors, by whose mean repetition shows.
+SHAPE_WIDTH, OWN_WIDTH = 32, 24
 #: Most labelled rows that the network is fitted on, in the order of a hash of their ids.
 FIT_ROWS = 20_000
 THRESHOLD = 0.3
-_REMEMBERED = 300_000
+_REMEMBERED = 600_000
 _WORDS_AT_ONCE = 1 << 17
-_SHAPE = ((regex.compile(r"\p{Lu}+"), "A"), (regex.compile(r"\p{L}+"), "a"), (regex.compile(r"\p{N}+"), "0"), (regex.compile(r"(.)\1+"), r"\1"))
+#: A word's shape: capitals, other letters (all bytes beyond ASCII too) and digits as one sign each, runs as one.
+_SIGNS = bytes(b"A"[0] if 65 <= c <= 90 else b"a"[0] if 97 <= c <= 122 or c > 127 else b"0"[0] if 48 <= c <= 57 else c for c in range(256))
+_RUN = re.compile(rb"(.)\1+", re.DOTALL)
 
 
 def _index_vectors(n: int, width: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -53,10 +57,7 @@ class WordIds:
             known.clear()
         for w in words:
             if w not in known:
-                shape = w.decode("utf-8", "replace")
-                for pattern, sign in _SHAPE:
-                    shape = pattern.sub(sign, shape)
-                known[w] = crc32(w.lower()) % BUCKETS * SHAPES + crc32(shape.encode()) % SHAPES
+                known[w] = crc32(w.lower()) % BUCKETS * SHAPES + crc32(_RUN.sub(rb"\1", w.translate(_SIGNS))) % SHAPES
         return np.array(list(map(known.__getitem__, words)), np.int64)
 
 
@@ -92,10 +93,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
                 inside[starts_of(lengths)[lengths > 0]] = False
                 right = np.flatnonzero(inside)
                 one, other = np.r_[bucket[right - 1], bucket[right]], np.r_[bucket[right], bucket[right - 1]]
-                # many neighbours repeat: add up equal pairs first
-                pairs, times = np.unique(one * BUCKETS + other, return_counts=True)
-                one, other = pairs // BUCKETS, pairs % BUCKETS
-                total += np.bincount((one[:, None] * WIDTH + at[other]).ravel(), (sign[other] * times[:, None]).ravel(), BUCKETS * WIDTH)
+                total += np.bincount((one[:, None] * WIDTH + at[other]).ravel(), sign[other].ravel(), BUCKETS * WIDTH)
         if any_text:
             size = rows * WIDTH
             cuts = range(0, len(total), size)
@@ -118,19 +116,19 @@ def pooled(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("features", pa.list_(pa.float32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, shapes, own = WordIds(), _dense(SHAPES, WIDTH, 2), _dense(BUCKETS, WIDTH, 3)
+        ids, shapes, own = WordIds(), _dense(SHAPES, SHAPE_WIDTH, 2), _dense(BUCKETS, OWN_WIDTH, 3)
         of_word = np.hstack([shared.value, own])
         for b in batches:
             doc_ids = b.column(0).cast(pa.int64())
             for first, end, w, lengths in _runs(b.column(1), ids):
-                sums = np.zeros((len(lengths), 3 * WIDTH), np.float64)
+                sums = np.zeros((len(lengths), WIDTH + OWN_WIDTH + SHAPE_WIDTH), np.float64)
                 if len(w):
                     some = lengths > 0
                     starts = starts_of(lengths)[some]
                     sums[some] = np.hstack([np.add.reduceat(of_word[w // SHAPES], starts, axis=0), np.add.reduceat(shapes[w % SHAPES], starts, axis=0)])
                 sums /= np.maximum(lengths, 1)[:, None]
-                repeats = np.linalg.norm(sums[:, WIDTH : 2 * WIDTH], axis=1) / MARKS**0.5
-                f = np.column_stack([sums[:, :WIDTH], sums[:, 2 * WIDTH :], repeats, repeats**2, np.log1p(lengths)]).astype(np.float32)
+                repeats = np.linalg.norm(sums[:, WIDTH : WIDTH + OWN_WIDTH], axis=1) / MARKS**0.5
+                f = np.column_stack([sums[:, :WIDTH], sums[:, WIDTH + OWN_WIDTH :], repeats, repeats**2, np.log1p(lengths)]).astype(np.float32)
                 offsets = pa.array(np.arange(len(f) + 1, dtype=np.int32) * f.shape[1])
                 yield pa.RecordBatch.from_arrays([doc_ids[first:end], pa.ListArray.from_arrays(offsets, pa.array(f.ravel()))], schema=schema)
 
@@ -203,7 +201,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, thre
     usable = usable.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("_most")).filter("quality = _most")
     sample = usable.select("doc_id", "quality").join(features.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     fitted = features.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality").agg(F.first("features").alias("features")).toPandas().sort_values("doc_id")
-    x = np.array(fitted["features"].to_list(), np.float64).reshape(len(fitted), -1) if len(fitted) else np.zeros((0, 2 * WIDTH + 3))
+    x = np.array(fitted["features"].to_list(), np.float64).reshape(len(fitted), -1) if len(fitted) else np.zeros((0, WIDTH + SHAPE_WIDTH + 3))
     shared = docs.sparkSession.sparkContext.broadcast(fit(x, fitted["quality"].to_numpy(np.float64)))
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
