@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 KEYWORDS = ("if", "while", "for", "case")
 #: A run of question marks that is one long and not followed by a dot is a ternary.
@@ -42,7 +43,7 @@ def lines_of_code(quoted: Column) -> Column:
     return F.size(F.filter(F.split(quoted, "\n"), lambda x: x.rlike(r"[^\s\x01\x02]")))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def byte_entropy(texts: pd.Series) -> pd.Series:
     """Shannon bits per byte over bytes that aren't ASCII white space; 0 for none. A histogram a text, in numpy: exploding bytes into rows would shuffle each of them."""
 
