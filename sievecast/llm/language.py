@@ -45,8 +45,8 @@ def _grams(texts: list[str], orders: tuple[int, ...], buckets: int) -> tuple[lis
     return out, starts
 
 
-def _pieces(column: pa.Array, at_once: int = 1 << 21) -> Iterator[tuple[slice, list[str]]]:
-    """Texts of a batch, some two million characters at a time."""
+def _pieces(column: pa.Array, at_once: int = 1 << 19) -> Iterator[tuple[slice, list[str]]]:
+    """Texts of a batch, some half a million characters at a time."""
     texts = [x or "" for x in column.to_pylist()]
     first = size = 0
     for i, x in enumerate(texts):
