@@ -176,7 +176,7 @@ def word_tables(counts: DataFrame, held: int = HELD_WORDS) -> WordTables:
     words = [END, *sorted(c.keys() - {END}, key=lambda w: (-c[w], w))]
     totals = counts.agg(F.sum("c"), F.count("*")).first()
     own = words[:OWN_WORDS]
-    group = F.expr(f"crc32(right(word, {SUFFIX})) % {GROUPS}").cast("int")
+    group = F.expr(f"crc32(substring(word, greatest(length(word) - {SUFFIX - 1}, 1), {SUFFIX})) % {GROUPS}").cast("int")
     by_group = counts.groupBy(group.alias("g")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
     total = np.ones(GROUPS, np.int64)
     mass = np.zeros(OWN_WORDS + GROUPS)
