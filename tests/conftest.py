@@ -2,10 +2,9 @@ import os
 
 import duckdb
 import pytest
+from compare import SMALL
 from pyspark.sql import SparkSession
 
-SMALL = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():
