@@ -140,7 +140,8 @@ def token_counts(docs: DataFrame, file_bytes: int = FILE_BYTES, block_bytes: int
         return order.select("doc_id", F.col("ordinal").alias("n_tokens"))
     listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.tok").load(folder).select(F.substring_index("path", "/", -1).alias("file"), "length")
     lengths = document_lengths(scan_blocks(listed.join(written, "file", "left_semi"), folder, block_bytes))
-    return order.join(lengths, ["file", "ordinal"]).select("doc_id", "n_tokens")
+    # lengths come out of exploded arrays, whose size Spark underrates: never broadcast them
+    return order.join(lengths.hint("merge"), ["file", "ordinal"]).select("doc_id", "n_tokens")
 
 
 def op8_token_counts(spark, sf_dir: str) -> DataFrame:
