@@ -19,8 +19,8 @@ def map_severity(c: Column) -> Column:
     return F.when(s.isNull(), "warning").when(s.isin("error", "fatal"), "error").when(s.isin("warning", "warn"), "warning").when(s == "hint", "hint").otherwise("info")
 
 
-def _rows(df: DataFrame, line, col, severity, rule, message, has_fix=F.lit(False)) -> DataFrame:
-    return df.select("file_path", "tool", F.coalesce(line, F.lit(0)).cast("int").alias("line"), F.coalesce(col, F.lit(0)).cast("int").alias("col"), severity.alias("severity"), rule.alias("rule"), message.alias("message"), has_fix.alias("has_fix"))
+def _rows(df: DataFrame, line, col, severity, rule, message, has_fix=None) -> DataFrame:
+    return df.select("file_path", "tool", F.coalesce(line, F.lit(0)).cast("int").alias("line"), F.coalesce(col, F.lit(0)).cast("int").alias("col"), severity.alias("severity"), rule.alias("rule"), message.alias("message"), (F.lit(False) if has_fix is None else has_fix).alias("has_fix"))
 
 
 def _items(output: DataFrame, schema: str, path: str | None = None) -> DataFrame:
