@@ -28,6 +28,11 @@ CATCH = r"(?<![A-Za-z0-9_$])catch(?![A-Za-z0-9_$])\s*(?:" + _PAREN + r"\s*)?\{"
 EMPTY_CATCH = CATCH[:-2] + r"\{(?:[\s\x01\x02'\"`{}])*?(?:\}|\z)"
 
 
+#: A text without one of these can't hold the pattern; looking for them is cheaper than its regex.
+_ANCHORS = {"eval": ("eval",), "debugger": ("debugger",), "console-log": ("console.",), "alert": ("alert",), "empty-catch": ("catch",), "hardcoded-secret": ("api", "secret", "passw", "token", "private_key")}
+_HITS = "array<struct<line:int,col:int,pattern:string,snippet:string>>"
+
+
 def hits(searched: Column, source: Column, regex: str, pattern: str) -> Column:
     """Hits of a regex in ``searched``, which is ``source`` character by character. Both are byte views, and columns of their own.
 
@@ -37,7 +42,7 @@ def hits(searched: Column, source: Column, regex: str, pattern: str) -> Column:
     newlines = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
     behind = lambda x, col: F.when(F.contains(x, F.lit("\n")), F.length(F.substring_index(x, "\n", -1))).otherwise(col + F.length(x))
     zipped = F.zip_with(F.split(searched, regex, -1), F.regexp_extract_all(searched, F.lit(regex), F.lit(0)), lambda p, h: F.struct(p.alias("p"), h.alias("h")))
-    start = F.struct(F.lit(0).alias("at"), F.lit(1).alias("line"), F.lit(0).alias("col"), F.array().cast("array<struct<line:int,col:int,pattern:string,snippet:string>>").alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.lit(1).alias("line"), F.lit(0).alias("col"), F.array().cast(_HITS).alias("out"))
 
     def step(s: Column, x: Column) -> Column:
         at, line, col = s["at"] + F.length(x["p"]), s["line"] + newlines(x["p"]), behind(x["p"], s["col"])
@@ -55,7 +60,13 @@ def detect(plain: Column, quoted: Column, text: Column, only: str | None = None)
     arrays = {name: (plain, regex) for name, regex in PLAIN.items()} | {"hardcoded-secret": (quoted, SECRET), "empty-catch": (quoted, EMPTY_CATCH)}
     if only is not None:
         arrays = {only: arrays[only]}
-    return F.array_sort(reduce(F.concat, [hits(searched, text, regex, name) for name, (searched, regex) in arrays.items()]))
+
+    def found(name: str, searched: Column, regex: str) -> Column:
+        where = F.lower(searched) if name == "hardcoded-secret" else searched
+        possible = reduce(Column.__or__, [F.contains(where, F.lit(x)) for x in _ANCHORS[name]])
+        return F.when(possible, hits(searched, text, regex, name)).otherwise(F.array().cast(_HITS))
+
+    return F.array_sort(reduce(F.concat, [found(name, searched, regex) for name, (searched, regex) in arrays.items()]))
 
 
 def views(files: DataFrame) -> DataFrame:
