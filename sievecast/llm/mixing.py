@@ -45,6 +45,11 @@ def _time(share: Column, w0: Column, w1: Column) -> Column:
     return F.when(slope == 0, share).otherwise((F.sqrt((1 - slope) * (1 - slope) + 4 * slope * share) - (1 - slope)) / (2 * slope))
 
 
+def _named(source: Column) -> Column:
+    """A source as a key that is never null, so that windows and joins on it share one partitioning."""
+    return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
+
+
 def mix(docs: DataFrame, schedule: Sequence[tuple[float, float]] = SCHEDULE, share: float = 1.5, most: float = 2.0, bucket_digits: int = 3) -> DataFrame:
     """The columns of ``docs`` plus ``mix_size, mix_source_size, mix_target, mix_positions``.
 
@@ -56,7 +61,7 @@ def mix(docs: DataFrame, schedule: Sequence[tuple[float, float]] = SCHEDULE, sha
 
     Offsets are prefix sums in two levels: words by (source, leading hash digits), whose running
     sums are at most ``16 ** bucket_digits`` rows a source, then within a bucket, so a source with a
-    third of all rows is spread over thousands of keys.
+    third of all rows is spread over thousands of keys. Texts are shuffled once, by these keys.
 
     Null or empty texts have size 0: they add nothing, and are taken as often as their place says.
     Null sources are one source, last in order; a null id sorts as the empty text. Rows that repeat
@@ -64,16 +69,17 @@ def mix(docs: DataFrame, schedule: Sequence[tuple[float, float]] = SCHEDULE, sha
     """
     size, key = word_count("text"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     own = ["mix_size", "mix_source_size", "mix_target", "mix_positions"]
-    d = docs.drop(*own, "_key", "_bucket", "_source").withColumns({"mix_size": size, "_key": key, "_source": F.col("source")})
+    d = docs.drop(*own, "_key", "_bucket", "_source").withColumns({"mix_size": size, "_key": key, "_source": _named(F.col("source"))})
     d = d.withColumn("_bucket", F.substring("_key", 1, bucket_digits))
-    buckets = d.groupBy("_source", "_bucket").agg(F.sum("mix_size").alias("_words"))
+    buckets = d.groupBy("_source", "_bucket").agg(F.min("source").alias("source"), F.sum("mix_size").alias("_words"))
     before = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    targets = source_targets(buckets.groupBy(F.col("_source").alias("source")).agg(F.sum("_words").alias("source_size")), schedule, share, most)
+    targets = source_targets(buckets.groupBy("source").agg(F.sum("_words").alias("source_size")), schedule, share, most)
     buckets = buckets.withColumn("_before", F.coalesce(F.sum("_words").over(before), F.lit(0)))
-    buckets = buckets.join(targets, buckets["_source"].eqNullSafe(targets["source"])).select(F.col("_source").alias("_s"), F.col("_bucket").alias("_b"), "_before", "source_size", "w0", "w1", "target")
+    targets = targets.withColumn("_source", _named(F.col("source"))).drop("source")
+    buckets = buckets.join(targets, "_source").select(F.col("_source").alias("_s"), F.col("_bucket").alias("_b"), "_before", "source_size", "w0", "w1", "target")
     inside = Window.partitionBy("_source", "_bucket").orderBy("_key", "mix_size").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("_inside", F.coalesce(F.sum("mix_size").over(inside), F.lit(0)))
-    d = d.join(buckets, d["_source"].eqNullSafe(buckets["_s"]) & (d["_bucket"] == buckets["_b"]))
+    d = d.join(buckets, (d["_source"] == buckets["_s"]) & (d["_bucket"] == buckets["_b"]))
     offset = F.col("_before") + F.col("_inside")
     copies = [F.when((offset + p * F.col("source_size")) * 2 + F.col("mix_size") < F.col("target") * 2, _time((offset + p * F.col("source_size")) / F.col("target"), F.col("w0"), F.col("w1"))) for p in range(int(most))]
     d = d.withColumns({"mix_positions": F.array_compact(F.array(*copies)), "mix_source_size": F.col("source_size"), "mix_target": F.col("target")})
