@@ -130,23 +130,23 @@ def train(labelled: DataFrame, orders: tuple[int, ...] = ORDERS, buckets: int =
     return LanguageModel(langs, np.log(documents / max(1, documents.sum())), log_prob, orders)
 
 
-def predict(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The ``keep`` columns of every row plus ``lang_pred, score``. Only ``text`` is looked at; the model is broadcast."""
+def predict(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+    """The ``keep`` columns of every row plus ``lang_pred, score``. Only the column ``text`` is looked at, and goes to Python once; the model is broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    kept, at = len(keep), keep.index(text) if text in keep else len(keep)
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             names, scores = [], []
-            for _, texts in _pieces(b.column(b.num_columns - 1)):
+            for _, texts in _pieces(b.column(at)):
                 x, y = shared.value.predict(texts)
                 names += x
                 scores.append(y)
-            columns = [*b.columns[:-1], pa.array(names, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64())]
+            columns = [*b.columns[:kept], pa.array(names, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "lang_pred", "score"])
 
-    text = docs.select(*keep, F.col("text").alias("_text"))
-    return text.mapInArrow(run, schema)
+    return (docs.select(*keep) if at < kept else docs.select(*keep, text)).mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -165,8 +165,8 @@ def identify(docs: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """``docs`` without those that language ID rejects: no letter, or no language with a probability of ``least``."""
     model = train(docs.filter(fold("doc_id", 4) != 2))
-    carried = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)], "text")
-    out = predict(carried, model, tuple(f"c{i}" for i in range(len(docs.columns)))).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    carried = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    out = predict(carried, model, tuple(carried.columns), f"c{docs.columns.index('text')}").filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
