@@ -18,8 +18,8 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier one go, and documents of which nothing else is left."""
-    return lines.deduplicate(docs)
+    """Lines of any length that repeat an earlier one go, and documents of which nothing else is left."""
+    return lines.deduplicate(docs, short=True)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

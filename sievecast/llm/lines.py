@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import materialize, starts_of, table, utf8
 from .components import connected_components
 
-#: Edits, and the shortest line (bytes) that is looked at; shorter ones say too little to be called copies.
+#: Edits, and the shortest line (bytes) that may differ from its copy; of shorter ones at most equal lines are copies.
 THRESHOLD, SHORTEST = 2, 32
 #: Lines of a bucket that are compared as one block; larger buckets are pairs of blocks.
 BLOCK = 1024
@@ -283,7 +283,7 @@ def line_links(docs: DataFrame, threshold: int = THRESHOLD, shortest: int = SHOR
     return placed.join(found, "line_id").groupBy("bucket", "first", "second").applyInArrow(lambda t: _connect(t, threshold), "a binary, b binary")
 
 
-def occurrences(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
+def occurrences(docs: DataFrame, shortest: int = SHORTEST, short: bool = False) -> DataFrame:
     """``doc_id, text_hash, line_no, digest`` of every line that is looked at. Lines are numbered from 0."""
     schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("line_no", pa.int32()), ("digest", pa.binary())])
 
@@ -293,7 +293,7 @@ def occurrences(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
             rows, numbers, digests = [], [], []
             for k, text in enumerate(utf8(b.column(2))):
                 for number, line in enumerate(text.split(b"\n")):
-                    if len(line) >= shortest:
+                    if len(line) >= shortest or (short and line.strip()):
                         rows.append(k)
                         numbers.append(number)
                         digests.append(_digest(line))
@@ -303,17 +303,18 @@ def occurrences(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, line_no int, digest binary")
 
 
-def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, shortest: int = SHORTEST, block: int = BLOCK) -> DataFrame:
+def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, shortest: int = SHORTEST, block: int = BLOCK, short: bool = False) -> DataFrame:
     """``doc_id, text_hash, removed array<int>``: for every different (doc_id, text) with any, the numbers of its lines that repeat an earlier one.
 
     Lines of at least ``shortest`` bytes form classes: equal ones, and those connected by links of at
-    most ``threshold`` edits. Of each class the line with the smallest (doc_id, line number) stays, a
+    most ``threshold`` edits. With ``short``, equal lines of fewer bytes form classes too, but for those of
+    white space only. Of each class the line with the smallest (doc_id, line number) stays, a
     null doc_id being last; the others repeat it. Rows that repeat (same id and text) stand for the same
     lines and keep the same. Null texts have no lines. An empty table gives an empty one.
     """
     edges = line_links(docs, threshold, shortest, block)
     roots = connected_components(edges).select(F.col("node").alias("digest"), "root")
-    lines = materialize(occurrences(docs, shortest), "lines")
+    lines = materialize(occurrences(docs, shortest, short), "lines")
     place = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("line_no"))
     by_digest = lines.groupBy("digest").agg(F.min(place).alias("place"), F.count("*").alias("n")).join(roots, "digest", "left")
     by_digest = materialize(by_digest.select("digest", F.coalesce("root", "digest").alias("root"), "place", "n"), "classes")
@@ -323,16 +324,16 @@ def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, shortest: int =
     return removed.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list("line_no")).alias("removed"))
 
 
-def deduplicate(docs: DataFrame, threshold: int = THRESHOLD, shortest: int = SHORTEST) -> DataFrame:
-    """``docs`` with the repeated lines taken out of ``text``. A document of which no line is left was a copy, and goes; see :func:`repeated_lines`.
+def deduplicate(docs: DataFrame, threshold: int = THRESHOLD, shortest: int = SHORTEST, short: bool = False) -> DataFrame:
+    """``docs`` with the repeated lines taken out of ``text``. A document of which no line but blank ones is left was a copy, and goes; see :func:`repeated_lines`.
 
     Other columns stay as they are; documents without a repeated line, null texts included, stay whole.
     """
-    removed = repeated_lines(docs, threshold, shortest).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("removed").alias("_removed"))
+    removed = repeated_lines(docs, threshold, shortest, short=short).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("removed").alias("_removed"))
     joined = docs.withColumn("_text_hash", F.xxhash64("text")).join(removed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
     left = F.filter(F.split("text", "\n"), lambda line, k: ~F.array_contains("_removed", k))
     text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    goes = F.col("_removed").isNotNull() & (F.size(left) == 0)
+    goes = F.col("_removed").isNotNull() & ~F.exists(left, lambda line: line.rlike(r"[^ \t\n\x0B\f\r]"))
     return joined.filter(~goes).select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns])
 
 

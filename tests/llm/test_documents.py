@@ -171,6 +171,17 @@ def test_line_dedup(spark, docs, empty):
     assert lines.deduplicate(docs).count() > 0
 
 
+def test_line_dedup_of_short_lines(spark):
+    """The pipeline takes out equal lines of any length; a whole copy goes, whatever its lines and its blank ones."""
+    import corpus_pipeline
+
+    copy = "a line that is long enough to be looked at\nshort\n\n \t"
+    rows = [(1, copy), (2, copy), (3, "All rights reserved.\nits own"), (4, "other\n\n\nAll rights reserved."), (5, "shorT"), (6, "short"), (7, "\n \n"), (8, "\n \n"), (9, "x\nx"), (None, "short"), (10, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = corpus_pipeline.drop_repeated_lines(spark, df, SMALL)
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter([(1, copy), rows[2], (4, "other\n\n"), (5, "shorT"), rows[6], rows[7], (9, "x"), (10, None)])
+
+
 def test_line_dedup_in_blocks(spark):
     """Links of a bucket that is dealt out in many blocks connect the same lines."""
     stem = "x" * 40
