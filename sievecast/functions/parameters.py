@@ -1,0 +1,120 @@
+"""Parameter lists of functions, arrows and methods, from one pass over a masked text's tokens with a stack of open brackets."""
+
+from __future__ import annotations
+
+import re
+from bisect import bisect_left
+
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
+
+#: Words (bytes above ASCII are letters), arrows, and any other character but white space and what is masked.
+_TOKEN = re.compile("[A-Za-z0-9_$#\x80-\xff]+|=>|[^\\s\x01]")
+_OPENER = {")": "(", "]": "[", "}": "{"}
+#: Words before parentheses that are no method's name; words before a name that make it a call or a base class.
+_CONTROL = frozenset("if for while switch catch with await function".split())
+_CALLS = frozenset("if while switch match return throw case new await yield typeof void delete in of instanceof else do extends implements class".split())
+#: Words that an arrow's parentheses may follow.
+_BEFORE_ARROW = frozenset("async return default yield await case else do throw in of".split())
+_WORD = re.compile("[A-Za-z0-9_$#\x80-\xff]")
+_NONE = ("", 0)
+_LIST = StructType().add("line", IntegerType()).add("col", IntegerType()).add("name", StringType()).add("n", IntegerType())
+
+
+class _Frame:
+    """An open bracket: what stood before it, its elements so far, and a closed list in it that may prove to be of parameters."""
+
+    __slots__ = ("angles", "default", "depth", "filled", "head", "n", "opener", "pending", "typed")
+
+    def __init__(self, opener: str, head: tuple = ()):
+        self.opener, self.head, self.n, self.filled, self.typed, self.default, self.depth = opener, head, 0, False, False, False, 0
+        self.angles, self.pending = [], None
+
+
+def _is_method(before: tuple, typed: bool) -> bool:
+    (name, _), (last, _), (third, _) = before
+    if not _WORD.match(name or " ") or name in _CONTROL:
+        return False
+    if last == "*":
+        return third in ("", "{", "}", ";", ",") or (_WORD.match(third) is not None and third in ("async", "static", "public", "private", "protected", "override"))
+    return last in ("", "{", "}", ";", ",", ")", "]") or (last == ">" and not typed) or (_WORD.match(last) is not None and last not in _CALLS)
+
+
+def scan(masked: str) -> list[tuple[int, str, int]]:
+    """``(place, name, parameters)`` of every list with any, by place: of ``function``, of an arrow's parenthesis, of a method's name.
+
+    Parentheses, brackets and braces nest as they like, in default values, patterns and types. Commas
+    between the angles of a type annotation part no parameters. A bracket that nothing closes ends with
+    the one around it. A method is a name with a list and a body, and no call's operator before it.
+    """
+    out, frames, opened = [], [_Frame("")], dict.fromkeys("([{", 0)
+    before = (_NONE, _NONE, _NONE)  # the last three tokens, the last one first
+    generic = None  # what stood before type parameters that have just closed
+    for m in _TOKEN.finditer(masked):
+        t, at, f = m[0], m.start(), frames[-1]
+        p = f.pending
+        if p is not None:
+            head, n, paren, typed = p
+            if t == "=>" and (not typed or (head[0][0] != "?" and (not _WORD.match(head[0][0] or " ") or head[0][0] in _BEFORE_ARROW))):
+                out.append((paren, "anonymous", n))
+                f.pending = None
+            elif t == "{" and _is_method(head, typed):
+                out.append((head[0][1], head[0][0], n))
+                f.pending = None
+            elif t == ":" and not typed:
+                f.pending = (head, n, paren, True)
+            elif not typed or t in (";", "="):
+                f.pending = None
+        if t in _OPENER:
+            opener = _OPENER[t]
+            if opened[opener]:
+                while (g := frames.pop()).opener != opener:
+                    opened[g.opener] -= 1
+                opened[opener] -= 1
+                n, f = g.n + g.filled, frames[-1]
+                if t == ")" and n:
+                    head, paren = g.head
+                    words = [x for x, _ in head]
+                    k = words.index("function") if "function" in words else -1
+                    if k == 0 or (k == 1 and (words[0] == "*" or _WORD.match(words[0]))) or (k == 2 and words[1] == "*" and _WORD.match(words[0])):
+                        out.append((head[k][1], "anonymous" if k == 0 or words[0] == "*" else words[0], n))
+                    elif f.pending is None:
+                        f.pending = (head, n, paren, False)
+        else:
+            if t == "," and not f.depth:
+                f.n, f.filled, f.typed, f.default = f.n + f.filled, False, False, False
+            else:
+                f.filled = True
+                if t == ":":
+                    f.typed = True
+                elif t == "=":
+                    f.default, f.depth = True, 0
+                elif f.typed and not f.default:
+                    f.depth += 1 if t == "<" else -1 if t == ">" and f.depth else 0
+            if t in opened:
+                opened[t] += 1
+                frames.append(_Frame(t, (generic if generic and before[0][0] == ">" else before, at)))
+            elif t == ";":
+                f.angles.clear()
+            elif t == "<":
+                f.angles.append(before)
+        generic = f.angles.pop() if t == ">" and f.angles else None
+        before = ((t, at), before[0], before[1])
+    return sorted(out)
+
+
+@F.pandas_udf(ArrayType(_LIST))
+def parameter_lists(masked: pd.Series) -> pd.Series:
+    """:func:`scan` with lines and byte columns from 1. Takes the mask of a byte view."""
+
+    def one(text: str | None) -> list[dict]:
+        found = scan(text or "")
+        newlines = [m.start() for m in re.finditer("\n", text)] if found else []
+        rows = []
+        for at, name, n in found:
+            k = bisect_left(newlines, at)
+            rows.append({"line": k + 1, "col": at - (newlines[k - 1] if k else -1), "name": name.encode("latin-1").decode("utf-8", "replace"), "n": n})
+        return rows
+
+    return masked.map(one)

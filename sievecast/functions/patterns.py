@@ -31,23 +31,25 @@ EMPTY_CATCH = CATCH[:-2] + r"\{(?:[\s\x01\x02'\"`{}])*?(?:\}|\z)"
 #: A text without one of these can't hold the pattern; looking for them is cheaper than its regex.
 _ANCHORS = {"eval": ("eval",), "debugger": ("debugger",), "console-log": ("console.",), "alert": ("alert",), "empty-catch": ("catch",), "hardcoded-secret": ("api", "secret", "passw", "token", "private_key")}
 _HITS = "array<struct<line:int,col:int,pattern:string,snippet:string>>"
+_WHOLE_HITS = _HITS[:-2] + ",matched:string>>"
 
 
-def hits(searched: Column, source: Column, regex: str, pattern: str) -> Column:
+def hits(searched: Column, source: Column, regex: str, pattern: str, whole: bool = False) -> Column:
     """Hits of a regex in ``searched``, which is ``source`` character by character. Both are byte views, and columns of their own.
 
     One fold over the pieces between hits and the hits carries offset, line and column, so each regex runs
-    once over a text, and a text without hits costs a split.
+    once over a text, and a text without hits costs a split. With ``whole``, a hit has all that the regex matched too.
     """
     newlines = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
     behind = lambda x, col: F.when(F.contains(x, F.lit("\n")), F.length(F.substring_index(x, "\n", -1))).otherwise(col + F.length(x))
     zipped = F.zip_with(F.split(searched, regex, -1), F.regexp_extract_all(searched, F.lit(regex), F.lit(0)), lambda p, h: F.struct(p.alias("p"), h.alias("h")))
-    start = F.struct(F.lit(0).alias("at"), F.lit(1).alias("line"), F.lit(0).alias("col"), F.array().cast(_HITS).alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.lit(1).alias("line"), F.lit(0).alias("col"), F.array().cast(_WHOLE_HITS if whole else _HITS).alias("out"))
 
     def step(s: Column, x: Column) -> Column:
         at, line, col = s["at"] + F.length(x["p"]), s["line"] + newlines(x["p"]), behind(x["p"], s["col"])
         snippet = F.decode(F.encode(clip_bytes(F.substr(source, at + 1, F.lit(80))), "ISO-8859-1"), "UTF-8")
-        hit = F.struct(line.alias("line"), (col + 1).alias("col"), F.lit(pattern).alias("pattern"), snippet.alias("snippet"))
+        matched = [F.decode(F.encode(x["h"], "ISO-8859-1"), "UTF-8").alias("matched")] if whole else []
+        hit = F.struct(line.alias("line"), (col + 1).alias("col"), F.lit(pattern).alias("pattern"), snippet.alias("snippet"), *matched)
         out = F.when(x["h"].isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(hit)))
         h = F.coalesce(x["h"], F.lit(""))
         return F.struct((at + F.length(h)).alias("at"), (line + newlines(h)).alias("line"), behind(h, col).alias("col"), out.alias("out"))

@@ -1,7 +1,8 @@
 """Rules of syntax over masked texts: imports, nesting, dangerous calls, numbers, parameter lists.
 
 A tokenizer's view, not a parser's: brace depth stands for block depth. It needs no grammar and runs as
-column expressions; a parser can be plugged in as a rule of the registry.
+column expressions, but for parameter lists, whose brackets take a stack; a parser can be plugged in as a
+rule of the registry.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.parameters import parameter_lists
 from ..functions.patterns import hits, views
 
 #: Name, rule, message, severity.
@@ -23,14 +25,13 @@ DANGEROUS = (
 _NAMES = "|".join(d[0] for d in DANGEROUS)
 _CALL = rf"(?<![A-Za-z0-9_$])(?:{_NAMES})(?![A-Za-z0-9_$])\s*(?:\(|=(?!=))"
 _NUMBER = r"(?<![A-Za-z0-9_$.])[0-9][0-9_]*(?:\.[0-9]+)?(?![A-Za-z0-9_$])"
-_PARAMETERS = r"(?:(?<![A-Za-z0-9_$])function\s*[A-Za-z0-9_$]*\s*\([^()]*\)|\([^()]*\)\s*=>)"
 _IMPORT = r"(?m)^\s*import\s+(?!\*)([^;'\"\x01]*?)\s+from\b"
 _BLOCK = r"(?<![A-Za-z0-9_$])(?:if|for|while|switch|catch)(?![A-Za-z0-9_$])|(?<![A-Za-z0-9_$])(?:else|try|finally)(?=\s*\{)|[{}]"
 
 
-def _rows(files: DataFrame, regex: str) -> DataFrame:
+def _rows(files: DataFrame, regex: str, whole: bool = False) -> DataFrame:
     m = views(files.select("file_path", "content")).withColumnRenamed("_plain", "masked")
-    return m.select("file_path", "masked", F.inline(hits(F.col("masked"), F.col("_text"), regex, "")))
+    return m.select("file_path", "masked", F.inline(hits(F.col("masked"), F.col("_text"), regex, "", whole)))
 
 
 def _as(df: DataFrame, rule: Column, message: Column, severity: Column) -> DataFrame:
@@ -54,13 +55,9 @@ def magic_numbers(files: DataFrame, prefix: str = "sievecast") -> DataFrame:
 
 
 def long_parameter_lists(files: DataFrame, prefix: str = "sievecast", warning: int = 5, error: int = 8) -> DataFrame:
-    """Functions and arrows with more parameters than that."""
-    found = _rows(files, _PARAMETERS)
-    head = F.regexp_extract(F.substr(F.array_join(F.slice(F.split("masked", "\n"), F.col("line"), F.lit(50)), "\n"), F.col("col")), _PARAMETERS, 0)
-    inner = F.regexp_extract(head, r"\(([^()]*)\)", 1)
-    n = F.when(F.trim(inner) == "", 0).otherwise(F.size(F.filter(F.split(inner, ","), lambda x: F.trim(x) != "")))
-    name = F.coalesce(F.nullif(F.regexp_extract(head, r"\Afunction\s+([A-Za-z0-9_$]+)", 1), F.lit("")), F.lit("anonymous"))
-    m = found.withColumns({"n": n, "name": name}).filter(F.col("n") > warning)
+    """Functions, arrows and methods with more parameters than that."""
+    m = views(files.select("file_path", "content")).select("file_path", parameter_lists("_plain").alias("found"))
+    m = m.select("file_path", F.inline("found")).filter(F.col("n") > warning)
     return _as(m, F.lit(f"{prefix}/long-params"), F.concat("name", F.lit(" has "), F.col("n").cast("string"), F.lit(" parameters")), F.when(F.col("n") > error, "error").otherwise("warning"))
 
 
@@ -83,10 +80,10 @@ def deep_blocks(files: DataFrame, prefix: str = "sievecast", warning: int = 4, e
 
 def unused_imports(files: DataFrame, prefix: str = "sievecast") -> DataFrame:
     """Imported names that stand nowhere but in imports; namespace and dynamic imports are left out."""
-    found = _rows(files, _IMPORT)
-    clause = F.regexp_extract(F.array_join(F.slice(F.split("masked", "\n"), F.col("line"), F.lit(50)), "\n"), _IMPORT, 1)
-    names = F.filter(F.transform(F.split(F.regexp_replace(clause, r"[{}]", ","), ","), lambda x: F.trim(F.regexp_replace(x, r"^.*\bas\b|^\s*type\b", ""))), lambda x: x != "")
-    rest = F.regexp_replace("masked", r"(?m)^\s*import\b[^;\n]*", "")
+    found = _rows(files, _IMPORT, whole=True)
+    clause = F.regexp_extract("matched", _IMPORT, 1)
+    names = F.filter(F.transform(F.split(F.regexp_replace(clause, r"[{}]", ","), ","), lambda x: F.regexp_replace(x, r"(?s)^.*\bas\b|^\s*type\b|\s+", "")), lambda x: x != "")
+    rest = F.regexp_replace(F.regexp_replace("masked", _IMPORT, ""), r"(?m)^\s*import\b[^;\n]*", "")
     used = F.array_distinct(F.regexp_extract_all(rest, F.lit(r"[A-Za-z0-9_$]+"), F.lit(0)))
     m = found.select("file_path", "line", "col", F.explode(F.array_except(names, used)).alias("name"))
     return _as(m, F.lit(f"{prefix}/unused-import"), F.concat("name", F.lit(" is imported and not used")), F.lit("info"))

@@ -132,6 +132,35 @@ def test_syntax_rules(spark):
     assert found == {"unused-import", "magic-number", "xss-innerhtml", "long-params", "deep-nesting"}
 
 
+def long_params(spark, source):
+    files = spark.createDataFrame([("a.ts", source)], "file_path string, content string")
+    return [(r.line, r.col, r.message, r.severity) for r in syntax.long_parameter_lists(files).orderBy("line", "col").collect()]
+
+
+@pytest.mark.parametrize(
+    ("source", "expected"),
+    [
+        ("é();\n function far(\n" + ",\n".join(f"p{i}" for i in range(60)) + "\n) {}", [(2, 2, "far has 60 parameters", "error")]),
+        ("x = (\n" + ",\n".join(f"p{i}" for i in range(60)) + ",\n) => 1", [(1, 5, "anonymous has 60 parameters", "error")]),
+        ("class A { static *m(a, b, c, d, e, f) { g(1, 2, 3, 4, 5, 6); } }", [(1, 19, "m has 6 parameters", "warning")]),
+        ("class A { über<T>(a: Map<T, T>, b, c, d, e, f): Promise<T> {} }", [(1, 11, "über has 6 parameters", "warning")]),
+        ("function* g(a = h((1), 2), { b, c } = {}, d, e, f, i /* j, k */) {}", [(1, 1, "g has 6 parameters", "warning")]),
+        ("(a: Map<string, number>, b, c, d, e) => 1; x ? h(1, 2, 3, 4, 5, 6) : {}; functional(1, 2, 3, 4, 5, 6)", []),
+        ("class B extends mixin(1, 2, 3, 4, 5, 6) {}; for (a, b, c, d, e, f; ;) {}", []),
+        ("f(async (a, b, c, d, e, f): Promise<number> => (g) => 1, function (a, b, c, d, e, f) {})", [(1, 9, "anonymous has 6 parameters", "warning"), (1, 58, "anonymous has 6 parameters", "warning")]),
+    ],
+)
+def test_long_params(spark, source, expected):
+    assert long_params(spark, source) == expected
+
+
+def test_unused_names_of_long_imports(spark):
+    source = "import {\n" + ",\n".join(f"name{i}" for i in range(60)) + "\n} from 'm';\nimport {\n kept as\n gone } from 'n';\nname7(name59);"
+    files = spark.createDataFrame([("a.ts", source)], "file_path string, content string")
+    found = {r.message.split()[0] for r in syntax.unused_imports(files).collect()}
+    assert found == {f"name{i}" for i in range(60) if i not in (7, 59)} | {"gone"}
+
+
 def test_registry(spark):
     from sievecast.operators.registry import Registry
 
