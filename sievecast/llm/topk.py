@@ -93,7 +93,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCAL
     Components become ``floor(scale * x)``; the score is the integer inner product, ties go to the
     smaller ``vec_id``. All rows are candidates but those with the query's own id. Vectors that are null
     or hold null or non-finite components take no part, nor rows without id; only vectors of equal
-    length are compared; queries without a candidate have no rows. Repeated rows are candidates each. Extra
+    length are compared; queries without a candidate have no rows. Repeated rows are candidates each. Ranks are
+    by ``query_id``, as in the SQL: rows of ``queries`` that share an id share its k ranks, with all their candidates. Extra
     columns are ignored; an empty table gives an empty one. Scores must fit in 62 bits.
 
     Rows are dealt into indexes of some ``index_rows``, queries into blocks of some ``query_rows``; each
