@@ -89,9 +89,13 @@ def train(labelled: DataFrame, orders: tuple[int, ...] = ORDERS, buckets: int =
 
     Each task keeps a dense count of buckets a language (bounded by languages x buckets) and sends
     slices of it; slices are summed by (language, slice). Only the summed matrix reaches the driver.
+    Buckets are halved until the model of all languages fits in ``MODEL_BYTES``.
     """
     if buckets & (buckets - 1):
         raise ValueError("buckets: a power of two")
+    known = labelled.filter("lang is not null").select("lang").distinct().count()
+    while known * buckets * 4 > MODEL_BYTES and buckets > 2:
+        buckets //= 2
     counted = pa.schema([("lang", pa.string()), ("slice", pa.int32()), ("counts", pa.binary())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -36,6 +36,14 @@ def test_language_on_held_out_documents(spark):
     assert np.mean([r.lang == r.lang_pred for r in held]) > 0.95
 
 
+def test_many_languages_get_fewer_buckets(spark, docs, monkeypatch):
+    monkeypatch.setattr(language, "MODEL_BYTES", 2 * 4 * 1024 + 100)
+    model = language.train(docs.filter("lang is not null"))
+    assert model.languages == ("de", "en") and model.log_prob.shape == (2, 1025)
+    assert np.allclose(np.exp(model.log_prob[:, :-1]).sum(axis=1), 1, atol=1e-3)
+    assert language.identify(docs).count() == docs.count()
+
+
 def test_neighbours_do_not_matter():
     rng = np.random.default_rng(1)
     model = language.LanguageModel(("a", "b"), np.zeros(2), np.hstack([rng.normal(size=(2, 1 << 10)), np.zeros((2, 1))]).astype(np.float32))
