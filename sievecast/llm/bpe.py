@@ -9,8 +9,10 @@ encoding is read off backwards, appends only add entries, and an edit only renew
 from __future__ import annotations
 
 import base64
+import struct
 from collections.abc import Iterator
-from itertools import chain
+from itertools import islice
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +21,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import returning, table, text_slices
 
-#: Different pieces whose ids a Python worker remembers at once.
-REMEMBERED = 800_000
-_CHARACTERS_AT_ONCE = 1 << 21
+#: Bytes of pieces and their ids in one generation of a Python worker's memory; pairs of tokens that it remembers.
+REMEMBERED_BYTES, REMEMBERED_PAIRS = 48 << 20, 300_000
+#: Texts up to this long are searched whole, some at a time; of longer ones, so many pieces at a time.
+_CHARACTERS_AT_ONCE, _PIECES_AT_ONCE = 1 << 19, 1 << 16
+_ENTRY_BYTES = 180
+_ID = struct.Struct("=i").pack
 
 
 class Vocabulary:
@@ -36,7 +41,8 @@ class Vocabulary:
             self.token[rank] = token
         self.longest = max(map(len, self.rank), default=0)
         self._halves: dict[int, tuple[int, int] | None] = {}
-        self._beside: dict[int, dict[int, bool]] = {}
+        self.beside_of: dict[int, dict[int, bool]] = {}
+        self._pairs = 0
         #: Rank of each token, -1 for what only begins one: where a token's search can stop.
         self.begins = {token[:n]: -1 for token in self.rank for n in range(1, len(token))} | self.rank
 
@@ -77,12 +83,16 @@ class Vocabulary:
             else:
                 out = True
                 break
+        self._pairs += 1
+        if self._pairs > REMEMBERED_PAIRS:
+            self.beside_of.clear()
+            self._pairs = 1
         self.beside(left)[right] = out
         return out
 
     def beside(self, left: int) -> dict[int, bool]:
         """What is known of the tokens after this one."""
-        return self._beside.setdefault(left, {})
+        return self.beside_of.setdefault(left, {})
 
     def encode_piece(self, piece: bytes) -> list[int]:
         return [self.rank[piece]] if piece in self.rank else Prefixes(self, piece).ids()
@@ -99,35 +109,32 @@ class Prefixes:
         old = len(self.text)
         self.text += more
         self.last += [-1] * len(more)
-        for start in range(max(0, old - self.vocabulary.longest), len(self.text)):
-            self._tokens_from(start, old)
+        self._tokens_from(max(0, old - self.vocabulary.longest), len(self.text), old)
 
     def follow(self, text: bytes) -> None:
         """Become the table of ``text``: the entries of what both texts begin with stay, the rest is appended."""
-        own, same = self.text, 0
-        for a, b in zip(own, text, strict=False):
-            if a != b:
-                break
-            same += 1
+        own, same = self.text, len(commonprefix((self.text, text)))
         self.text = own[:same]
         del self.last[same + 1 :]
         self.append(text[same:])
 
-    def _tokens_from(self, start: int, known_to: int = 0) -> None:
-        """Enter the tokens from here that are the last of a prefix with no entry yet. All prefixes up to here, or to ``known_to``, have theirs."""
+    def _tokens_from(self, first: int, stop: int, known_to: int = 0) -> None:
+        """From each place from ``first`` to ``stop``, enter the tokens that are the last of a prefix with no entry yet. All prefixes up to there, or to ``known_to``, have theirs."""
         v, text, last = self.vocabulary, self.text, self.last
-        begins, before = v.begins.get, last[start]
-        known = v.beside(before)
-        for end in range(max(start, known_to) + 1, len(text) + 1):
-            token = begins(text[start:end])
-            if token is None:
-                break
-            if token >= 0 and last[end] < 0:
-                fits = known.get(token) if start else True
-                if v.compatible(before, token) if fits is None else fits:
-                    last[end] = token
-        if len(last) > start + 1 and last[start + 1] < 0:
-            raise ValueError(f"the vocabulary leaves the prefix of {start + 1} bytes without a token")
+        begins, beside, n = v.begins.get, v.beside_of.get, len(text)
+        for start in range(first, stop):
+            before = last[start]
+            known = beside(before) or v.beside(before)
+            for end in range((start if start > known_to else known_to) + 1, n + 1):
+                token = begins(text[start:end])
+                if token is None:
+                    break
+                if token >= 0 and last[end] < 0:
+                    fits = known.get(token) if start else True
+                    if v.compatible(before, token) if fits is None else fits:
+                        last[end] = token
+            if start < n and last[start + 1] < 0:
+                raise ValueError(f"the vocabulary leaves the prefix of {start + 1} bytes without a token")
 
     def replace(self, start: int, end: int, new: bytes) -> int:
         """Put ``new`` for the bytes from start to end; returns how many prefixes were encoded anew.
@@ -145,7 +152,7 @@ class Prefixes:
                 if same >= longest:
                     self.last[at + 1 :] = old[at - shift + 1 :]
                     return at - start
-            self._tokens_from(at)
+            self._tokens_from(at, at + 1)
         return len(self.text) - start
 
     def ids(self) -> list[int]:
@@ -157,32 +164,71 @@ class Prefixes:
 
 
 class Encoder:
-    """Encodes texts piece by piece; a bounded memory of pieces serves words that repeat."""
+    """Encodes texts piece by piece; a memory of pieces, bounded in bytes, serves words that repeat.
 
-    def __init__(self, data: bytes, pattern: str):
-        self.vocabulary, self.find = Vocabulary(data), regex.compile(pattern).findall
-        self.known: dict[str, tuple[int, ...]] = {}
+    Pieces are remembered in two generations: when the younger is full it becomes the older, and what is
+    asked for again comes over, so frequent pieces stay.
+    """
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """The ids of each text. New pieces are encoded in sorted order, so each table follows from the one before."""
-        pieces, known, vocabulary = [self.find(x) for x in texts], self.known, self.vocabulary
-        new = set().union(*pieces).difference(known)
-        if new:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = set().union(*pieces)
-            table = Prefixes(vocabulary)
-            for p, raw in sorted(((p, p.encode()) for p in new), key=lambda x: x[1]):
-                if raw in vocabulary.rank:
-                    known[p] = (vocabulary.rank[raw],)
+    def __init__(self, data: bytes, pattern: str, remembered: int = REMEMBERED_BYTES):
+        self.vocabulary, self.pattern = Vocabulary(data), regex.compile(pattern)
+        self.find, self.remembered = self.pattern.findall, remembered
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self._bytes = 0
+        tokens = self.vocabulary.token
+        self._tokens = pa.array(tokens, pa.large_binary())
+        self._lengths = np.array([len(t) for t in tokens], np.int64)
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Make sure that ``known`` has these pieces. New ones are encoded in sorted order, so each table follows from the one before."""
+        new = pieces.difference(self.known)
+        if not new:
+            return
+        if self._bytes > self.remembered:
+            self.older, self.known, self._bytes = self.known, {}, 0
+            new = pieces
+        known, rank, table = self.known, self.vocabulary.rank, Prefixes(self.vocabulary)
+        older = self.older
+        for p, raw in sorted(((p, p.encode()) for p in new), key=lambda x: x[1]):
+            ids = older.get(p)
+            if ids is None:
+                if raw in rank:
+                    ids = _ID(rank[raw])
                 else:
                     table.follow(raw)
-                    known[p] = tuple(table.ids())
-        return [list(chain.from_iterable(map(known.__getitem__, x))) for x in pieces]
+                    ids = np.array(table.ids(), np.int32).tobytes() if len(raw) > 1000 else b"".join(map(_ID, table.ids()))
+            known[p] = ids
+            self._bytes += len(raw) + len(ids) + _ENTRY_BYTES
+
+    def raw_ids(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as 32-bit numbers. A long text's pieces are taken some at a time."""
+        long = [len(x) > _CHARACTERS_AT_ONCE for x in texts]
+        pieces = [() if far else self.find(x) for x, far in zip(texts, long, strict=True)]
+        self._learn(set().union(*pieces))
+        get = self.known.__getitem__
+        out = [b"".join(map(get, x)) for x in pieces]
+        for i, far in enumerate(long):
+            if far:
+                matches, parts = self.pattern.finditer(texts[i]), []
+                while some := [m.group() for m in islice(matches, _PIECES_AT_ONCE)]:
+                    self._learn(set(some))
+                    parts.append(b"".join(map(self.known.__getitem__, some)))
+                out[i] = b"".join(parts)
+        return out
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [np.frombuffer(x, np.int32).tolist() for x in self.raw_ids(texts)]
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.vocabulary.token.__getitem__, ids))
 
+    def decode_all(self, ids: np.ndarray, cuts: np.ndarray) -> pa.Array:
+        """What each run of ids decodes to; run i is ``ids[cuts[i]:cuts[i + 1]]``. The tokens of all runs are laid end to end and cut anew."""
+        offsets = np.r_[0, np.cumsum(self._lengths[ids])][cuts]
+        data = self._tokens.take(pa.array(ids)).buffers()[2] if len(ids) else pa.py_buffer(b"")
+        return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), data])
+
 
 _encoders: dict[tuple[int, str], Encoder] = {}
 
@@ -200,8 +246,10 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN)
     """``doc_id, ids array<int>, decoded binary``: every whole text's token ids, and the bytes they decode to.
 
     The vocabulary file is read once and broadcast (a fixed size, a megabyte). No row depends on another,
-    so nothing is shuffled. Null texts count as empty, and have no ids. Rows that repeat come out as
-    often; other columns are ignored; an empty table gives an empty one.
+    so nothing is shuffled. Null texts count as empty, and have no ids. A long text is searched some
+    pieces at a time; one piece, a run without a break, is held whole with a table entry a byte. Equal
+    texts get equal ids: of adjacent pairs of equal rank the left one merges first. Rows that repeat come
+    out as often; other columns are ignored, whatever their names; an empty table gives an empty one.
     """
     with open(path, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -209,24 +257,17 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _encoder(shared.value, pattern)
-
-        def rows(ids: pa.Array, parts: list[np.ndarray], decoded: list[bytes]) -> pa.RecordBatch:
-            offsets = np.r_[0, np.cumsum([len(p) for p in parts])].astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts)))
-            return pa.RecordBatch.from_arrays([ids, lists, pa.array(decoded, pa.binary())], schema=schema)
-
         for b in batches:
             doc_ids = b.column(0).cast(pa.int64())
-            texts = [x or "" for x in b.column(1).to_pylist()]
-            first = size = 0
-            for i, x in enumerate(texts):
-                size += len(x)
-                if size >= _CHARACTERS_AT_ONCE or i + 1 == len(texts):
-                    lists = own.encode(texts[first : i + 1])
-                    yield rows(doc_ids[first : i + 1], [np.array(x, np.int32) for x in lists], [own.decode(x) for x in lists])
-                    first, size = i + 1, 0
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+            for some in text_slices(b.column(1), _CHARACTERS_AT_ONCE):
+                raw = own.raw_ids([x or "" for x in b.column(1)[some].to_pylist()])
+                cuts = np.r_[0, np.cumsum([len(x) for x in raw])] // 4
+                ids = np.frombuffer(b"".join(raw), np.int32)
+                del raw
+                lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([doc_ids[some], lists, own.decode_all(ids, cuts)], schema=schema)
+
+    return docs.select("doc_id", "text").mapInArrow(returning(run), "doc_id long, ids array<int>, decoded binary")
 
 
 def op9_byte_bpe(spark, sf_dir: str) -> DataFrame:

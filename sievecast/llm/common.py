@@ -2,27 +2,43 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 #: Words as the contracts define them: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The folder that all executors share, as the session names it in ``spark.checkpoint.dir``.
+
+    A local session may leave it unset: its one machine is shared by itself, and a temporary folder
+    serves. On a cluster there is no folder to guess, and an error says so.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="sievecast-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _own_folder()
     return base.rstrip("/")
 
 
+@cache
+def _own_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="sievecast-")
+
+
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` once to shared storage and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
@@ -56,6 +72,49 @@ def word_count(column: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(column), F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def text_slices(column: pa.Array, most: int = 1 << 20) -> Iterator[slice]:
+    """A column of texts in consecutive slices of some ``most`` bytes each; a longer text is a slice of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < len(ends):
+        before = ends[first - 1] if first else 0
+        end = max(first + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield slice(first, end)
+        first = end
+
+
+def returning(run: Callable) -> Callable:
+    """``run`` for mapInArrow; when a task ends, what it has freed goes back to the system, as Python workers serve many tasks."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
+def give_back() -> None:
+    """Hand freed memory back to the system, where its C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def pieces_of(text: bytes, most: int = 1 << 20) -> Iterator[bytes]:
+    """A text in pieces of some ``most`` bytes, cut in ASCII white space; a longer word stays whole."""
+    at = 0
+    while len(text) - at > most:
+        space = _SPACE.search(text, at + most)
+        if space is None:
+            break
+        yield text[at : space.start()]
+        at = space.end()
+    yield text[at:] if at else text
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The texts of an Arrow column as UTF-8 bytes; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
