@@ -9,10 +9,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, materialize, starts_of, table, utf8
+from .common import batch_of, materialize, pieces_of, returning, starts_of, table, text_slices, utf8
 from .components import connected_components
 
 SHINGLE, RADIUS = 3, 2
@@ -20,7 +20,7 @@ SHINGLE, RADIUS = 3, 2
 PAIRS = tuple(combinations(range(4), 2))
 #: Buckets with more fingerprints than this are dealt again by the other 32 bits, in blocks of 8.
 HOT_BUCKET = 4096
-_HASHES_AT_ONCE = 1 << 18
+_HASHES_AT_ONCE, _BYTES_AT_ONCE = 1 << 17, 1 << 20
 
 
 def _shingle_hashes(words: list[bytes], k: int) -> Iterator[np.ndarray]:
@@ -62,33 +62,43 @@ def fingerprints_of(texts: list[bytes], k: int = SHINGLE) -> np.ndarray:
 
     held = 0
     for i, text in enumerate(texts):
-        words = text.lower().split()
-        if len(words) <= _HASHES_AT_ONCE:
-            for h in _shingle_hashes(words, k):
+        if len(text) <= _BYTES_AT_ONCE:
+            for h in _shingle_hashes(text.lower().split(), k):
                 waiting.append((i, h))
                 held += len(h)
             if held > _HASHES_AT_ONCE:
                 flush()
                 held = 0
-        else:
-            ones, total = np.zeros((1, 64), np.int64), 0
-            for h in _shingle_hashes(words, k):
-                ones += _ones_by_run(h, np.array([len(h)]))
-                total += len(h)
+        else:  # a long text, some words at a time; the last words of a piece begin the shingles of the next
+            ones, total, tail = np.zeros((1, 64), np.int64), 0, []
+            for piece in pieces_of(text, _BYTES_AT_ONCE):
+                words = tail + piece.lower().split()
+                if len(words) >= k:
+                    for h in _shingle_hashes(words, k):
+                        ones += _ones_by_run(h, np.array([len(h)]))
+                        total += len(h)
+                    words = words[len(words) - k + 1 :]
+                tail = words
+            if not total:
+                for h in _shingle_hashes(tail, k):
+                    ones, total = _ones_by_run(h, np.array([1])), 1
             settle([i], ones, np.array([total]))
     flush()
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, fp``: every document's fingerprint as a long (its 64 bits)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, *more: Column) -> DataFrame:
+    """``doc_id, fp`` and ``more``: every document's fingerprint as a long (its 64 bits)."""
+    rows = docs.select("doc_id", "text", *more)
+    schema = rows.drop("text").schema.add("fp", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield batch_of(schema, b.column(0).cast(pa.int64()), fingerprints_of(utf8(b.column(1)), shingle).view(np.int64))
+            fps = [fingerprints_of(utf8(b.column(1)[some]), shingle) for some in text_slices(b.column(1))]
+            kept = [b.column(0), *b.columns[2:]]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(np.concatenate(fps).view(np.int64) if fps else [], pa.int64())], names=schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(returning(run), schema)
 
 
 def _planes(fps: np.ndarray) -> np.ndarray:
@@ -234,7 +244,16 @@ def links(fps: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     large = dealt.filter(F.col("n") > hot_bucket).select("combo", "part", sub.alias("s"), "fp")
     buckets = small.unionByName(large).select("combo", "part", "s.sub", "s.rest_part", "fp")
     buckets = buckets.repartition("combo", "part", "sub", "rest_part").sortWithinPartitions("combo", "part", "sub", "rest_part", "fp")
-    return buckets.mapInArrow(_link, "a long, b long")
+    return buckets.mapInArrow(returning(_link), "a long, b long")
+
+
+def _classes(by_doc: DataFrame, hot_bucket: int) -> DataFrame:
+    """``fp, component_id`` of every different fingerprint of (doc_id, fp)."""
+    distinct = by_doc.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    roots = connected_components(links(distinct.select("fp"), hot_bucket))
+    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rooted.select("fp", "root").join(least, "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, hot_bucket: int = HOT_BUCKET) -> DataFrame:
@@ -247,23 +266,35 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, hot_bucket: int = H
     often as they go in; other columns are ignored. An empty table gives an empty one.
     """
     by_doc = materialize(fingerprints(docs, shingle), "fingerprints")
-    distinct = by_doc.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = connected_components(links(distinct.select("fp"), hot_bucket))
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return by_doc.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return by_doc.join(_classes(by_doc, hot_bucket), "fp").select("doc_id", "fp", "component_id")
+
 
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, hot_bucket: int = HOT_BUCKET) -> DataFrame:
+    """One row of ``docs`` for every component: the smallest by (doc_id, hash of the text), null ids last; of rows equal in both, one.
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """The documents that stand for their group: of every component its smallest ``doc_id``; of rows with that id, one.
+    Null ids link like others, so a copy without id goes where one with an id stays. Null texts count as
+    empty. Columns keep their names and values; rows with an equal id and text are taken for one row, and
+    which of them stays is open where other columns differ. An empty table gives an empty one.
 
-    Rows without ``doc_id`` cannot be told apart by it: they stand for no group and all stay.
+    Which rows go is found on ids and hashes alone and written; texts are read once more and rows that
+    go are left out by an anti join, whose small side Spark broadcasts if its measured size allows. So
+    texts are shuffled only where many rows go.
     """
-    found = near_duplicates(docs, shingle)
-    stays = found.filter("doc_id = component_id").select("doc_id").distinct()
-    own = docs.filter("doc_id is not null").join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return own.unionByName(docs.filter("doc_id is null"))
+    id_, hash_ = F.col("doc_id"), F.col("text_hash")
+    by_doc = materialize(fingerprints(docs, shingle, F.xxhash64("text").alias("text_hash")), "fingerprints")
+    rows = by_doc.groupBy("doc_id", "text_hash", "fp").agg(F.count("*").alias("n"))
+    rooted = materialize(rows.join(_classes(by_doc, hot_bucket).select("fp", "root"), "fp"), "rooted")
+    key = F.struct(id_.isNull().alias("no_id"), id_.alias("id"), hash_.alias("hash"))
+    first = rooted.groupBy("root").agg(F.min(key).alias("first"))
+    rooted = rooted.join(first, "root").withColumn("stays", key == F.col("first"))
+    # a row that stays once where it is there several times is taken out here and put back below
+    out = materialize(rooted.filter("not stays or n > 1").select(id_.alias("_id"), hash_.alias("_hash"), "stays"), "gone")
+    carried = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    own_id, own_text = (F.col(f"c{docs.columns.index(c)}") for c in ("doc_id", "text"))
+    same = own_id.eqNullSafe(F.col("_id")) & (F.xxhash64(own_text) == F.col("_hash"))
+    once = carried.join(out, same, "left_anti")
+    again = carried.join(out.filter("stays"), same).dropDuplicates(["_id", "_hash"]).select(*carried.columns)
+    return once.unionByName(again).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op4_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
