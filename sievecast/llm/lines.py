@@ -1,13 +1,16 @@
 """Line dedup: a segment-partition edit join over lines.
 
 Two lines within ``threshold`` edits of each other: the shorter one's threshold + 1 segments cannot
-all be touched, so one of them stands in the longer line, at a place that the lengths narrow down.
+all be touched, so one of them stands in the longer line, at a place that the lengths narrow down. Of
+threshold + 2 segments two stand there, which tells lines apart that share one common segment.
 Lines, segments and edits are of UTF-8 bytes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
@@ -15,17 +18,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, starts_of, table, utf8
+from .common import materialize, returning, starts_of, table, text_slices, utf8
 from .components import connected_components
 
-#: Edits, and the shortest line (bytes) that may differ from its copy; of shorter ones at most equal lines are copies.
+#: Edits, and the shortest line (bytes) that may differ from its copy; of shorter ones only equal lines are copies.
 THRESHOLD, SHORTEST = 2, 32
-#: Lines of a bucket that are compared as one block; larger buckets are pairs of blocks.
+#: Lines of a bucket that are compared as one block; larger buckets are dealt again by two segments, and what is still larger is pairs of blocks.
 BLOCK = 1024
 #: Bits of the filter that tells which lines' texts to fetch; a fixed size, whatever the input.
 FILTER_BITS = 1 << 24
 _SLICE_BITS = 1 << 15
-_BYTES_AT_ONCE, _REMEMBERED, _PAIRS_AT_ONCE = 1 << 22, 300_000, 8192
+_BYTES_AT_ONCE, _REMEMBERED, _PAIRS_AT_ONCE = 1 << 20, 200_000, 8192
+#: Segments of lines up to this length are hashed from prefix sums, all lines at a time; those of longer lines one by one.
+_LONG = 1 << 16
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
@@ -44,49 +49,95 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+@cache
+def _power_table() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64, for as many bytes as are hashed at a time."""
+    steps = np.full((2, _BYTES_AT_ONCE + 2 * _LONG), _BASE, np.uint64)
+    steps[1] = pow(_BASE, -1, 1 << 64)
+    steps[:, 0] = 1
+    return tuple(np.multiply.accumulate(x) for x in steps)
 
 
-def _power_table(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
-    if len(_powers[0]) < n:
-        for k, b in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(n, b, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers
+def _places(threshold: int, together: int) -> list[tuple[int, tuple[int, ...], tuple[int, ...]]]:
+    """(bytes that the indexed line is shorter, segments, their shifts in the longer line): where ``together`` of threshold + together segments can stand unchanged."""
+    n, out = threshold + together, []
+    for less in range(threshold + 1):
+        for some in combinations(range(n), together):
+            for shifts in product(range(-threshold, threshold + 1), repeat=together):
+                steps = np.diff([0, *shifts, less])  # edits before, between and behind the segments
+                if np.abs(steps).sum() <= threshold and (together > 1 or abs(shifts[0]) <= some[0] and abs(less - shifts[0]) <= threshold - some[0]):
+                    out.append((less, some, shifts))
+    return out
 
 
-def segment_keys(lines: list[bytes], threshold: int = THRESHOLD, shortest: int = SHORTEST) -> tuple[np.ndarray, np.ndarray]:
-    """(line, key) of all index and probe entries. A key is made of the indexed length, the segment's number and its bytes; its lowest bit is 0 for index entries.
+def segment_keys(lines: list[bytes], threshold: int = THRESHOLD, shortest: int = SHORTEST, together: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(line, key) of all index and probe entries. A key is made of the indexed length, the segments' numbers and their bytes; its lowest bit is 0 for index entries.
 
     A line is indexed under its own length and probes the indexes of lengths up to ``threshold`` below.
-    Substrings are hashed from prefix sums, all lines at a time.
     """
     length = np.array([len(x) for x in lines], np.int64)
-    data = np.frombuffer(b"".join(lines), np.uint8).astype(np.uint64) + np.uint64(1)
-    power, inverse = _power_table(len(data) + 1)
+    parts = [_keys_from_sums(lines[a:b], length[a:b], a, threshold, shortest, together) for a, b in _portions(length)]
+    for k in np.flatnonzero(length > _LONG).tolist():
+        parts.append(_keys_of_long(lines[k], k, threshold, shortest, together))
+    return tuple(np.concatenate([x[i] for x in parts]) if parts else np.zeros(0, t) for i, t in ((0, np.int64), (1, np.uint64)))
+
+
+def _portions(length: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of lines whose bytes, longer lines left out, fit the table of powers."""
+    ends, first = np.cumsum(np.where(length > _LONG + THRESHOLD, 0, length)), 0
+    while first < len(ends):
+        before = ends[first - 1] if first else 0
+        end = max(first + 1, int(np.searchsorted(ends, before + _BYTES_AT_ONCE, side="right")))
+        yield first, end
+        first = end
+
+
+def _segment(at_length, segments: int, i: int):
+    """(place, size) of segment i of lines of this length; the last ones are the longer ones."""
+    short, longer = at_length // segments, segments - at_length % segments
+    return i * short + np.maximum(0, i - longer), short + (i >= longer)
+
+
+def _keys_from_sums(lines: list[bytes], length: np.ndarray, offset: int, threshold: int, shortest: int, together: int) -> tuple[np.ndarray, np.ndarray]:
+    held = [x if len(x) <= _LONG + threshold else b"" for x in lines]
+    data = np.frombuffer(b"".join(held), np.uint8).astype(np.uint64) + np.uint64(1)
+    power, inverse = _power_table()
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(data * power[: len(data)], out=sums[1:])
-    starts, segments = starts_of(length), threshold + 1
-    rows, keys = [], []
-    for less in range(threshold + 1):
-        own = np.flatnonzero(length - less >= shortest)
-        at_length = length[own] - less
-        short, longer = at_length // segments, segments - at_length % segments
-        for i in range(segments):
-            place, size = i * short + np.maximum(0, i - longer), short + (i >= longer)
-            salt = _mix((at_length * segments + i).astype(np.uint64))
-            for shift in range(max(-i, less - (threshold - i)), min(i, less + (threshold - i)) + 1):
-                fits = (place + shift >= 0) & (place + shift + size <= length[own])
-                first = (starts[own] + place + shift)[fits]
-                key = _mix((sums[first + size[fits]] - sums[first]) * inverse[first]) ^ salt[fits]
-                probe = np.uint64(less != 0 or shift != 0)
-                rows.append(own[fits])
-                keys.append((key & ~np.uint64(1)) | probe)
+    starts, segments = starts_of(np.array([len(x) for x in held], np.int64)), threshold + together
+    rows, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for less, some, shifts in _places(threshold, together):
+        at_length = length - less
+        own = np.flatnonzero((at_length >= max(shortest, segments)) & (at_length <= _LONG))
+        key = (at_length[own] << 8).astype(np.uint64)
+        fits = np.ones(len(own), bool)
+        for i, shift in zip(some, shifts, strict=True):
+            place, size = _segment(at_length[own], segments, i)
+            fits &= (place + shift >= 0) & (place + shift + size <= length[own])
+            first = np.where(fits, starts[own] + place + shift, 0)
+            size = np.where(fits, size, 0)
+            key = _mix(_mix(key + np.uint64(i + 1)) ^ _mix((sums[first + size] - sums[first]) * inverse[first]))
+        rows.append(own[fits] + offset)
+        keys.append((key[fits] & ~np.uint64(1)) | np.uint64(bool(less or any(shifts))))
     return np.concatenate(rows), np.concatenate(keys)
 
 
+def _keys_of_long(line: bytes, row: int, threshold: int, shortest: int, together: int) -> tuple[np.ndarray, np.ndarray]:
+    segments, keys, view = threshold + together, [], memoryview(line)
+    for less, some, shifts in _places(threshold, together):
+        at_length = len(line) - less
+        if at_length > max(_LONG, shortest - 1):
+            h = xxhash.xxh3_64(f"{at_length} {some}".encode())
+            for i, shift in zip(some, shifts, strict=True):
+                place, size = (int(x) for x in _segment(at_length, segments, i))
+                if place + shift < 0 or place + shift + size > len(line):
+                    break
+                h.update(view[place + shift : place + shift + size])
+            else:
+                keys.append(h.intdigest() & (_MASK - 1) | bool(less or any(shifts)))
+    return np.full(len(keys), row), np.array(keys, np.uint64)
+
+
 def within(lines: list[bytes], i: np.ndarray, j: np.ndarray, threshold: int = THRESHOLD) -> np.ndarray:
     """Whether lines[i] and lines[j] are within ``threshold`` edits, for many pairs at a time.
 
@@ -100,7 +151,7 @@ def within(lines: list[bytes], i: np.ndarray, j: np.ndarray, threshold: int = TH
     at = 0
     while at < len(order):
         most = int(max(length[i[order[at]]], length[j[order[at]]]))
-        n = max(1, min(_PAIRS_AT_ONCE, (1 << 24) // max(1, 2 * most)))
+        n = max(1, min(_PAIRS_AT_ONCE, (1 << 22) // max(1, most)))
         rows = order[at : at + n]
         at += n
         rows = rows[np.abs(length[i[rows]] - length[j[rows]]) <= threshold]
@@ -162,99 +213,126 @@ def _within(lines: list[bytes], length: np.ndarray, i: np.ndarray, j: np.ndarray
 
 
 def _lines(batches: Iterator[pa.RecordBatch], column: int, shortest: int) -> Iterator[list[bytes]]:
-    """Different lines of some megabytes at a time; a bounded memory keeps most repeats away."""
+    """Different lines of a megabyte at a time; a bounded memory keeps most repeats away."""
     seen: set[bytes] = set()
     out, size = [], 0
     for b in batches:
-        for text in utf8(b.column(column)):
-            for line in text.split(b"\n"):
-                if len(line) >= shortest and (d := _digest(line)) not in seen:
-                    seen.add(d)
-                    out.append(line)
-                    size += len(line)
-            if size >= _BYTES_AT_ONCE:
-                yield out
-                out, size = [], 0
-            if len(seen) > _REMEMBERED:
-                seen.clear()
+        for some in text_slices(b.column(column)):
+            for text in utf8(b.column(column)[some]):
+                for line in text.split(b"\n"):
+                    if len(line) >= shortest and (d := _digest(line)) not in seen:
+                        seen.add(d)
+                        out.append(line)
+                        size += len(line)
+                        if size >= _BYTES_AT_ONCE:
+                            yield out
+                            out, size = [], 0
+                if len(seen) > _REMEMBERED:
+                    seen.clear()
     if out:
         yield out
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (key, line) -> the rows of buckets with an index entry and two different lines."""
-    held = [np.zeros((2, 0), np.int64)]
+def _entries(batches: Iterator[list[bytes]], threshold: int, shortest: int, together: int) -> Iterator[pa.RecordBatch]:
+    for lines in batches:
+        ids = np.array([_short_id(_digest(x)) for x in lines], np.int64)
+        row, key = segment_keys(lines, threshold, shortest, together)
+        for c in range(0, len(row), 1 << 17):
+            yield pa.RecordBatch.from_arrays([pa.array(key[c : c + (1 << 17)].view(np.int64)), pa.array(ids[row[c : c + (1 << 17)]])], names=["key", "line_id"])
+
+
+def _shared_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, line) sorted by both -> those of buckets with an index entry and two different lines, once each.
 
-    def shared(key: np.ndarray, line: np.ndarray) -> pa.RecordBatch:
-        bucket = key >> 1
-        first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    Index entries come first in a bucket, so whether there is one shows in its first row. At most one row
+    of a bucket waits for a second line; nothing else is held from batch to batch.
+    """
+    bucket = last = waiting = None  # the open bucket, its last row, and its only row so far, if that is still to be passed on
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key, line = (c.to_numpy() for c in b.columns)
+        if waiting is not None:
+            key, line = np.r_[waiting[0], key], np.r_[waiting[1], line]
+            bucket = None
+        own = key >> 1
+        new = np.r_[own[0] != bucket if bucket is not None else True, own[1:] != own[:-1]]
+        first = np.flatnonzero(np.r_[True, new[1:]])
         size = np.diff(np.r_[first, len(key)])
+        indexed = key[first] & 1 == 0
         several = np.minimum.reduceat(line, first) != np.maximum.reduceat(line, first)
-        keep = np.repeat(several & (key[first] & 1 == 0), size)  # index entries come first
-        keep &= np.r_[True, (bucket[1:] != bucket[:-1]) | (line[1:] != line[:-1])]
-        return pa.RecordBatch.from_arrays([pa.array(bucket[keep]), pa.array((key[keep] & 1) == 0), pa.array(line[keep])], names=["bucket", "indexed", "line_id"])
-
+        if not new[0]:  # goes on from the batch before, where two different lines, or no index entry, have been seen
+            indexed[0], several[0] = last[2], True
+        keep = np.repeat(indexed & several, size)
+        same = np.r_[not new[0] and last[0] == key[0] and last[1] == line[0], (key[1:] == key[:-1]) & (line[1:] == line[:-1])]
+        bucket, waiting = own[-1], None
+        last = (key[-1], line[-1], indexed[-1])
+        if indexed[-1] and not several[-1]:
+            waiting = (key[-1], line[-1])
+        keep &= ~same
+        yield pa.RecordBatch.from_arrays([pa.array(own[keep]), pa.array((key[keep] & 1) == 0), pa.array(line[keep])], names=["bucket", "indexed", "line_id"])
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], columns: int, rows: int = 1 << 14) -> Iterator[pa.Table]:
+    """Sorted batches as tables of whole groups, equal in the first ``columns``, of some ``rows`` rows or megabytes."""
+    held: list[pa.RecordBatch] = []
     for b in batches:
-        if b.num_rows:
-            held.append(np.stack([c.to_numpy() for c in b.columns]))
-            if sum(x.shape[1] for x in held) >= 1 << 19:
-                rows = np.concatenate(held, axis=1)
-                cut = int(np.searchsorted(rows[0] >> 1, rows[0, -1] >> 1))
-                if cut:
-                    yield shared(*rows[:, :cut])
-                held = [rows[:, cut:]]
-    rows = np.concatenate(held, axis=1)
-    if rows.shape[1]:
-        yield shared(*rows)
-
-
-def _connect(parts: pa.Table, threshold: int) -> pa.Table:
-    """One block of a bucket, or two: verified links between its lines as a spanning forest (digests a, b)."""
-    block, indexed = parts["block"].to_numpy(), parts["indexed"].to_numpy()
-    first, second = parts["first"][0].as_py(), parts["second"][0].as_py()
-    lines = parts["line"].to_pylist()
-    parent = list(range(len(lines)))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    edges = []
-    others = np.flatnonzero(block == second)
-    for x in np.flatnonzero(block == first).tolist():
-        y = others[others > x] if first == second else others
-        y = y[indexed[y] | indexed[x]]
-        roots = find(x)
-        y = y[[find(k) != roots for k in y.tolist()]] if len(y) else y
-        for k in y[within(lines, np.full(len(y), x), y, threshold)].tolist():
-            p, q = find(x), find(k)
-            if p != q:
-                parent[q] = p
-                edges.append((x, k))
-    digest = {k: _digest(lines[k]) for e in edges for k in e}
-    return pa.table({"a": pa.array([digest[x] for x, _ in edges], pa.binary()), "b": pa.array([digest[y] for _, y in edges], pa.binary())})
-
-
-def line_links(docs: DataFrame, threshold: int = THRESHOLD, shortest: int = SHORTEST, block: int = BLOCK) -> DataFrame:
-    """Links ``a, b`` (digests) that connect all different lines within ``threshold`` edits of each other, over chains of such."""
-    sc = docs.sparkSession.sparkContext
-
-    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lines in _lines(batches, 0, shortest):
-            ids = np.array([_short_id(_digest(x)) for x in lines], np.int64)
-            row, key = segment_keys(lines, threshold, shortest)
-            for c in range(0, len(row), 1 << 18):
-                yield pa.RecordBatch.from_arrays([pa.array(key[c : c + (1 << 18)].view(np.int64)), pa.array(ids[row[c : c + (1 << 18)]])], names=["key", "line_id"])
-
-    keyed = docs.select("text").mapInArrow(entries, "key long, line_id long")
-    keyed = keyed.repartition(F.shiftright("key", 1)).sortWithinPartitions("key", "line_id")
-    members = materialize(keyed.mapInArrow(_buckets, "bucket long, indexed boolean, line_id long"), "buckets")
-
-    # the texts of those lines: a bit filter of fixed size spares the shuffle most of the others
-    wanted = members.select("line_id").distinct()
-    bit = F.pmod("line_id", F.lit(FILTER_BITS))
+        held.append(b)
+        if sum(x.num_rows for x in held) >= rows or sum(x.nbytes for x in held) >= 1 << 24:
+            t = pa.Table.from_batches(held).combine_chunks()
+            keys = np.column_stack([t.column(c).to_numpy() for c in range(columns)])
+            before = np.flatnonzero((keys != keys[-1]).any(axis=1))
+            cut = int(before[-1]) + 1 if len(before) else 0
+            if cut:
+                yield t.slice(0, cut)
+            held = t.slice(cut).to_batches()
+    if sum(x.num_rows for x in held):
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _connect(groups: Iterator[pa.Table], threshold: int) -> Iterator[pa.RecordBatch]:
+    """Groups (bucket, first, second; block, indexed, line): verified links between lines of both blocks, as a spanning forest (digests a, b).
+
+    Step s compares each line with the one s places on, in all groups at once; pairs that are connected by now are left out.
+    """
+    for t in groups:
+        keys = np.column_stack([t.column(c).to_numpy() for c in range(3)])
+        block, indexed, lines = t["block"].to_numpy(), t["indexed"].to_numpy(), t["line"].to_pylist()
+        n = len(lines)
+        first = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
+        left = np.repeat(np.r_[first[1:], n], np.diff(np.r_[first, n])) - np.arange(n)
+        across = keys[:, 1] != keys[:, 2]
+        root, edges, rows, step = np.arange(n), [], np.flatnonzero(left > 1), 1
+        while len(rows):
+            other = rows + step
+            wanted = (indexed[rows] | indexed[other]) & (root[rows] != root[other]) & (~across[rows] | (block[rows] != block[other]))
+            i, j = rows[wanted], other[wanted]
+            if len(i):
+                found = within(lines, i, j, threshold)
+                for x, y in zip(i[found].tolist(), j[found].tolist(), strict=True):
+                    edges.append((x, y))
+                if found.any():
+                    root = _united(root, i[found], j[found])
+            step += 1
+            rows = rows[left[rows] > step]
+        digest = {k: _digest(lines[k]) for e in edges for k in e}
+        yield pa.RecordBatch.from_arrays([pa.array([digest[e[k]] for e in edges], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+
+def _united(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Roots after uniting the trees of i with those of j."""
+    root = root.copy()
+    while True:
+        a, b = root[i], root[j]
+        if (a == b).all():
+            return root
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _bit_filter(ids: DataFrame) -> np.ndarray:
+    """FILTER_BITS bits, set where an id falls: a fixed size, whatever the input."""
 
     def fill(rows: pa.Table) -> pa.Table:
         bits = np.zeros(_SLICE_BITS, bool)
@@ -262,10 +340,27 @@ def line_links(docs: DataFrame, threshold: int = THRESHOLD, shortest: int = SHOR
         return pa.table({"slice": pa.array([rows["bit"][0].as_py() // _SLICE_BITS], pa.int64()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
 
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    slices = wanted.select(bit.alias("bit")).distinct().withColumn("slice", F.floor(F.col("bit") / _SLICE_BITS)).groupBy("slice").applyInArrow(fill, "slice long, bits binary")
+    bit = F.pmod("line_id", F.lit(FILTER_BITS)).alias("bit")
+    slices = ids.select(bit).distinct().withColumn("slice", F.floor(F.col("bit") / _SLICE_BITS)).groupBy("slice").applyInArrow(fill, "slice long, bits binary")
     for r in slices.collect():
         bits[r.slice * _SLICE_BITS // 8 : (r.slice + 1) * _SLICE_BITS // 8] = np.frombuffer(r.bits, np.uint8)
-    passing = sc.broadcast(bits)
+    return bits
+
+
+def line_links(docs: DataFrame, threshold: int = THRESHOLD, shortest: int = SHORTEST, block: int = BLOCK) -> DataFrame:
+    """Links ``a, b`` (digests) that connect all different lines within ``threshold`` edits of each other, over chains of such."""
+    sc = docs.sparkSession.sparkContext
+
+    def buckets(entries: DataFrame) -> DataFrame:
+        entries = entries.repartition(F.shiftright("key", 1)).sortWithinPartitions("key", "line_id")
+        return materialize(entries.mapInArrow(returning(_shared_buckets), "bucket long, indexed boolean, line_id long"), "buckets")
+
+    entries = lambda batches: _entries(_lines(batches, 0, shortest), threshold, shortest, 1)
+    members = buckets(docs.select("text").mapInArrow(returning(entries), "key long, line_id long"))
+
+    # the texts of those lines: a bit filter spares the shuffle most of the others
+    wanted = members.select("line_id").distinct()
+    passing = sc.broadcast(_bit_filter(wanted))
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filter_ = passing.value
@@ -275,46 +370,57 @@ def line_links(docs: DataFrame, threshold: int = THRESHOLD, shortest: int = SHOR
             hit = np.flatnonzero(filter_[b >> 3] >> (7 - (b & 7)).astype(np.uint8) & 1)
             yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array([lines[k] for k in hit.tolist()], pa.binary())], names=["line_id", "line"])
 
-    found = docs.select("text").mapInArrow(texts, "line_id long, line binary").join(wanted, "line_id", "left_semi").distinct()
+    found = docs.select("text").mapInArrow(returning(texts), "line_id long, line binary").join(wanted, "line_id", "left_semi").distinct()
+
+    # lines of buckets above a block are dealt again, by all pairs of one segment more
+    large = members.groupBy("bucket").count().filter(F.col("count") > block).select("bucket")
+    if not large.isEmpty():
+        found, large = materialize(found, "texts"), materialize(large, "large")
+        again = found.join(members.join(large, "bucket").select("line_id").distinct(), "line_id", "left_semi").select("line")
+        pairs = lambda batches: _entries((b.column(0).slice(c, 1 << 12).to_pylist() for b in batches for c in range(0, b.num_rows, 1 << 12)), threshold, shortest, 2)
+        members = members.join(large, "bucket", "left_anti").unionByName(buckets(again.mapInArrow(returning(pairs), "key long, line_id long")))
+
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     placed = members.join(sizes, "bucket").withColumn("block", F.pmod(F.col("line_id"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("bucket", "indexed", "line_id", "block", F.least("block", "_with").alias("first"), F.greatest("block", "_with").alias("second"))
-    return placed.join(found, "line_id").groupBy("bucket", "first", "second").applyInArrow(lambda t: _connect(t, threshold), "a binary, b binary")
+    placed = placed.select("bucket", F.least("block", "_with").alias("first"), F.greatest("block", "_with").alias("second"), "block", "indexed", "line_id")
+    placed = placed.join(found, "line_id").drop("line_id").repartition("bucket", "first", "second").sortWithinPartitions("bucket", "first", "second")
+    return placed.mapInArrow(returning(lambda batches: _connect(whole_groups(batches, 3), threshold)), "a binary, b binary")
 
 
-def occurrences(docs: DataFrame, shortest: int = SHORTEST, short: bool = False) -> DataFrame:
-    """``doc_id, text_hash, line_no, digest`` of every line that is looked at. Lines are numbered from 0."""
+def occurrences(docs: DataFrame) -> DataFrame:
+    """``doc_id, text_hash, line_no, digest`` of every line that is not blank. Lines are numbered from 0."""
     schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("line_no", pa.int32()), ("digest", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, hashes = b.column(0).cast(pa.int64()), b.column(1)
-            rows, numbers, digests = [], [], []
-            for k, text in enumerate(utf8(b.column(2))):
-                for number, line in enumerate(text.split(b"\n")):
-                    if len(line) >= shortest or (short and line.strip()):
-                        rows.append(k)
-                        numbers.append(number)
-                        digests.append(_digest(line))
-            take = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([ids.take(take), hashes.take(take), pa.array(numbers, pa.int32()), pa.array(digests, pa.binary())], schema=schema)
+            for some in text_slices(b.column(2)):
+                rows, numbers, digests = [], [], []
+                for k, text in enumerate(utf8(b.column(2)[some]), some.start):
+                    for number, line in enumerate(text.split(b"\n")):
+                        if line.strip():
+                            rows.append(k)
+                            numbers.append(number)
+                            digests.append(_digest(line))
+                take = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([ids.take(take), hashes.take(take), pa.array(numbers, pa.int32()), pa.array(digests, pa.binary())], schema=schema)
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, line_no int, digest binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(returning(run), "doc_id long, text_hash long, line_no int, digest binary")
 
 
-def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, shortest: int = SHORTEST, block: int = BLOCK, short: bool = False) -> DataFrame:
+def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, shortest: int = SHORTEST, block: int = BLOCK) -> DataFrame:
     """``doc_id, text_hash, removed array<int>``: for every different (doc_id, text) with any, the numbers of its lines that repeat an earlier one.
 
-    Lines of at least ``shortest`` bytes form classes: equal ones, and those connected by links of at
-    most ``threshold`` edits. With ``short``, equal lines of fewer bytes form classes too, but for those of
-    white space only. Of each class the line with the smallest (doc_id, line number) stays, a
-    null doc_id being last; the others repeat it. Rows that repeat (same id and text) stand for the same
-    lines and keep the same. Null texts have no lines. An empty table gives an empty one.
+    Lines form classes: equal ones of any length, those of ASCII white space alone left out, and lines
+    of at least ``shortest`` bytes that are connected by links of at most ``threshold`` edits. Of each class the
+    line with the smallest (doc_id, line number) stays, a null doc_id being last; the others repeat it.
+    Rows that repeat (same id and text) stand for the same lines and keep the same. Null and empty texts
+    have no lines to repeat. Lines are compared whole, however long. An empty table gives an empty one.
     """
     edges = line_links(docs, threshold, shortest, block)
     roots = connected_components(edges).select(F.col("node").alias("digest"), "root")
-    lines = materialize(occurrences(docs, shortest, short), "lines")
+    lines = materialize(occurrences(docs), "lines")
     place = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("line_no"))
     by_digest = lines.groupBy("digest").agg(F.min(place).alias("place"), F.count("*").alias("n")).join(roots, "digest", "left")
     by_digest = materialize(by_digest.select("digest", F.coalesce("root", "digest").alias("root"), "place", "n"), "classes")
@@ -324,17 +430,20 @@ def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, shortest: int =
     return removed.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list("line_no")).alias("removed"))
 
 
-def deduplicate(docs: DataFrame, threshold: int = THRESHOLD, shortest: int = SHORTEST, short: bool = False) -> DataFrame:
+def deduplicate(docs: DataFrame, threshold: int = THRESHOLD, shortest: int = SHORTEST) -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text``. A document of which no line but blank ones is left was a copy, and goes; see :func:`repeated_lines`.
 
-    Other columns stay as they are; documents without a repeated line, null texts included, stay whole.
+    Other columns stay as they are, whatever their names; documents without a repeated line, null texts
+    included, stay whole.
     """
-    removed = repeated_lines(docs, threshold, shortest, short=short).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("removed").alias("_removed"))
-    joined = docs.withColumn("_text_hash", F.xxhash64("text")).join(removed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
-    left = F.filter(F.split("text", "\n"), lambda line, k: ~F.array_contains("_removed", k))
-    text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    removed = repeated_lines(docs, threshold, shortest).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("removed").alias("_removed"))
+    carried = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    own_id, own_text = (F.col(f"c{docs.columns.index(c)}") for c in ("doc_id", "text"))
+    joined = carried.join(removed, own_id.eqNullSafe(F.col("_id")) & (F.xxhash64(own_text) == F.col("_hash")), "left")
+    left = F.filter(F.split(own_text, "\n"), lambda line, k: ~F.array_contains("_removed", k))
+    text = F.when(F.col("_removed").isNull(), own_text).otherwise(F.array_join(left, "\n"))
     goes = F.col("_removed").isNotNull() & ~F.exists(left, lambda line: line.rlike(r"[^ \t\n\x0B\f\r]"))
-    return joined.filter(~goes).select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns])
+    return joined.filter(~goes).select(*[(text if c == "text" else F.col(f"c{i}")).alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
@@ -348,8 +457,8 @@ def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
 OP6_SQL = r"""
 WITH RECURSIVE l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents),
-d AS (SELECT line, strlen(line) AS n, row_number() OVER (ORDER BY line) AS k FROM (SELECT DISTINCT line FROM l WHERE strlen(line) >= 32)),
-e AS (SELECT a.k AS a, b.k AS b FROM d a JOIN d b ON a.k <> b.k AND b.n BETWEEN a.n - 2 AND a.n + 2 AND levenshtein(a.line, b.line) <= 2),
+d AS (SELECT line, strlen(line) AS n, row_number() OVER (ORDER BY line) AS k FROM (SELECT DISTINCT line FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]'))),
+e AS (SELECT a.k AS a, b.k AS b FROM d a JOIN d b ON a.k <> b.k AND a.n >= 32 AND b.n >= 32 AND b.n BETWEEN a.n - 2 AND a.n + 2 AND levenshtein(a.line, b.line) <= 2),
 reach AS (SELECT k AS a, k AS b FROM d UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
 c AS (SELECT a AS k, min(b) AS root FROM reach GROUP BY a),
 o AS (SELECT l.doc_id, l.line_no, c.root, row_number() OVER (PARTITION BY c.root ORDER BY l.doc_id, l.line_no) AS r
