@@ -50,9 +50,35 @@ def _named(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
 
 
-def mix(docs: DataFrame, schedule: Sequence[tuple[float, float]] = SCHEDULE, share: float = 1.5, most: float = 2.0, bucket_digits: int = 3) -> DataFrame:
+_OWN = ("mix_size", "mix_source_size", "mix_target", "mix_positions")
+
+
+def _mixed(docs: DataFrame, schedule: Sequence[tuple[float, float]] = SCHEDULE, share: float = 1.5, most: float = 2.0, bucket_digits: int = 3) -> DataFrame:
+    """The columns of ``docs`` as c0, c1 ... plus the mix's own."""
+    source = F.col("source")
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")))
+    d = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)], word_count("text").alias("mix_size"), key.alias("key"), source.alias("source"), _named(source).alias("named"))
+    d = d.withColumn("bucket", F.substring("key", 1, bucket_digits))
+    buckets = d.groupBy("named", "bucket").agg(F.min("source").alias("source"), F.sum("mix_size").alias("words"))
+    before = Window.partitionBy("named").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    targets = source_targets(buckets.groupBy("source").agg(F.sum("words").alias("source_size")), schedule, share, most)
+    buckets = buckets.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
+    targets = targets.withColumn("named", _named(F.col("source"))).drop("source")
+    buckets = buckets.drop("source").join(targets, "named").select(F.col("named").alias("s"), F.col("bucket").alias("b"), "before", "source_size", "w0", "w1", "target")
+    inside = Window.partitionBy("named", "bucket").orderBy("key", "mix_size").rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("inside", F.coalesce(F.sum("mix_size").over(inside), F.lit(0)))
+    d = d.join(buckets, (d["named"] == buckets["s"]) & (d["bucket"] == buckets["b"]))
+    offset = F.col("before") + F.col("inside")
+    copies = [F.when((offset + p * F.col("source_size")) * 2 + F.col("mix_size") < F.col("target") * 2, _time((offset + p * F.col("source_size")) / F.col("target"), F.col("w0"), F.col("w1"))) for p in range(int(most))]
+    return d.withColumns({"mix_positions": F.array_compact(F.array(*copies)), "mix_source_size": F.col("source_size"), "mix_target": F.col("target")})
+
+
+def mix(docs: DataFrame, **parameters) -> DataFrame:
     """The columns of ``docs`` plus ``mix_size, mix_source_size, mix_target, mix_positions``.
 
+    ``parameters``: ``schedule`` (start and end weights of the sources in order, repeating), ``share`` of all
+    words that the mix takes, ``most`` times that it takes a document, ``bucket_digits`` of the hash.
+
     Each source's documents stand in the order of ``md5`` of their id; the mix walks that stream of
     words, from its start again after its end, up to the source's target. ``mix_positions`` holds the
     training time in [0, 1] of every time a document is taken: the inverse, at the document's offset,
@@ -64,32 +90,17 @@ def mix(docs: DataFrame, schedule: Sequence[tuple[float, float]] = SCHEDULE, sha
     third of all rows is spread over thousands of keys. Texts are shuffled once, by these keys.
 
     Null or empty texts have size 0: they add nothing, and are taken as often as their place says.
-    Null sources are one source, last in order; a null id sorts as the empty text. Rows that repeat
-    count once each. An empty table gives an empty one. Existing columns of these names are replaced.
+    Null sources are one source, last in order; a null id sorts by the text, or as the empty text. Rows
+    that repeat count once each, ties in the hash stand by size. An empty table gives an empty one. Existing
+    columns of the four names are replaced; all others keep their names and values.
     """
-    size, key = word_count("text"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    own = ["mix_size", "mix_source_size", "mix_target", "mix_positions"]
-    d = docs.drop(*own, "_key", "_bucket", "_source").withColumns({"mix_size": size, "_key": key, "_source": _named(F.col("source"))})
-    d = d.withColumn("_bucket", F.substring("_key", 1, bucket_digits))
-    buckets = d.groupBy("_source", "_bucket").agg(F.min("source").alias("source"), F.sum("mix_size").alias("_words"))
-    before = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    targets = source_targets(buckets.groupBy("source").agg(F.sum("_words").alias("source_size")), schedule, share, most)
-    buckets = buckets.withColumn("_before", F.coalesce(F.sum("_words").over(before), F.lit(0)))
-    targets = targets.withColumn("_source", _named(F.col("source"))).drop("source")
-    buckets = buckets.join(targets, "_source").select(F.col("_source").alias("_s"), F.col("_bucket").alias("_b"), "_before", "source_size", "w0", "w1", "target")
-    inside = Window.partitionBy("_source", "_bucket").orderBy("_key", "mix_size").rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("_inside", F.coalesce(F.sum("mix_size").over(inside), F.lit(0)))
-    d = d.join(buckets, (d["_source"] == buckets["_s"]) & (d["_bucket"] == buckets["_b"]))
-    offset = F.col("_before") + F.col("_inside")
-    copies = [F.when((offset + p * F.col("source_size")) * 2 + F.col("mix_size") < F.col("target") * 2, _time((offset + p * F.col("source_size")) / F.col("target"), F.col("w0"), F.col("w1"))) for p in range(int(most))]
-    d = d.withColumns({"mix_positions": F.array_compact(F.array(*copies)), "mix_source_size": F.col("source_size"), "mix_target": F.col("target")})
-    return d.select(*[c for c in docs.columns if c not in own], *own)
+    return _mixed(docs, **parameters).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns) if c not in _OWN], *_OWN)
 
 
 def training_order(docs: DataFrame, **parameters) -> DataFrame:
-    """One row of ``docs`` for every time the mix takes it, range-sorted by training position."""
-    taken = mix(docs, **parameters).withColumn("mix_position", F.explode("mix_positions"))
-    return taken.sort("mix_position", "doc_id").select(*docs.columns)
+    """One row of ``docs`` for every time the mix takes it, range-sorted by training position; columns keep their names and values."""
+    taken = _mixed(docs, **parameters).withColumn("position", F.explode("mix_positions"))
+    return taken.sort("position", f"c{docs.columns.index('doc_id')}").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op3_source_mixing(spark, sf_dir: str) -> DataFrame:
@@ -100,7 +111,7 @@ def op3_source_mixing(spark, sf_dir: str) -> DataFrame:
 
 OP3_SQL = r"""
 WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-                  md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
+                  md5(coalesce(CAST(doc_id AS VARCHAR), text, '')) AS k FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM d GROUP BY source),
 w AS (SELECT *, CASE (rank - 1) % 3 WHEN 0 THEN 4.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 1.0::DOUBLE END AS w0,
              CASE (rank - 1) % 3 WHEN 0 THEN 2.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 3.0::DOUBLE END AS w1, source_size * 2.0::DOUBLE AS cap FROM s),
