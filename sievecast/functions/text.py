@@ -42,12 +42,38 @@ def djb2(c: Column) -> Column:
     return F.aggregate(F.filter(b, lambda x: x != ""), F.lit(5381).cast("long"), lambda h, x: F.pmod(h * 33 + F.ascii(x), F.lit(1 << 32)))
 
 
+_WORD = 1 << 32
+
+
+def _times(x: Column, y: Column) -> Column:
+    """x * y modulo 2**32 in two halves, so no product leaves 64 bits."""
+    return F.pmod(F.pmod(x * F.shiftright(y, 16), F.lit(1 << 16)) * (1 << 16) + x * y.bitwiseAND(F.lit(0xFFFF).cast("long")), F.lit(_WORD))
+
+
 def hash_lines(c: Column, first: int, last: int) -> Column:
-    """djb2 chained over all suffixes of each of the lines first to last (1-based). Its cost is the square of a line's length; ASCII texts."""
-    lines = F.slice(F.split(c, "\n"), first, last - first + 1)
-    suffixes = F.flatten(F.transform(lines, lambda x: F.when(F.length(x) > 0, F.transform(F.sequence(F.lit(1), F.length(x)), lambda k: F.substr(x, k))).otherwise(F.array().cast("array<string>"))))
-    step = lambda h, s: F.aggregate(F.filter(F.split(s, ""), lambda x: x != ""), h, lambda g, x: F.pmod(g * 33 + F.ascii(x), F.lit(1 << 32)))
-    return F.aggregate(suffixes, F.lit(5381).cast("long"), step)
+    """djb2 chained over all suffixes of each of the lines first to last (1-based), byte by byte.
+
+    A byte is the map h -> 33 h + byte, so a suffix is an affine map h -> a h + b, and so is the chain of all
+    suffixes. One fold from a line's end takes both along: the suffix that begins here, and the chain of it
+    and those behind it. So a line costs its length, not the square of it.
+    """
+    start = F.struct(*[F.lit(v).cast("long").alias(k) for k, v in (("a", 1), ("b", 0), ("chain_a", 1), ("chain_b", 0))])
+
+    def step(s: Column, byte: Column) -> Column:
+        a, b = _times(s["a"], F.lit(33).cast("long")), F.pmod(_times(s["a"], F.ascii(byte).cast("long")) + s["b"], F.lit(_WORD))
+        return F.struct(a.alias("a"), b.alias("b"), _times(s["chain_a"], a).alias("chain_a"), F.pmod(_times(s["chain_a"], b) + s["chain_b"], F.lit(_WORD)).alias("chain_b"))
+
+    def line(h: Column, x: Column) -> Column:
+        bytes_ = F.reverse(F.filter(F.split(x, ""), lambda t: t != ""))
+        chain = F.aggregate(bytes_, start, step, lambda s: F.struct(s["chain_a"].alias("a"), s["chain_b"].alias("b")))
+        return F.aggregate(F.array(chain), h, lambda g, m: F.pmod(_times(g, m["a"]) + m["b"], F.lit(_WORD)))
+
+    return F.aggregate(F.slice(F.split(bytes_view(c), "\n"), first, last - first + 1), F.lit(5381).cast("long"), line)
+
+
+def in_range(line: Column, first: Column, last: Column) -> Column:
+    """Whether a line lies in a range of lines, both ends included."""
+    return (line >= first) & (line <= last)
 
 
 def count_matches(content: Column, needle: Column) -> Column:

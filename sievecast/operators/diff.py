@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 
-def changed_line_numbers(before: Column, after: Column) -> Column:
-    """Numbers of the lines whose exact text is nowhere in ``before``; for a new file (null or empty), of all lines that aren't empty. A moved line is no change."""
-    lines = F.split(after, "\n")
-    old = F.split(F.coalesce(before, F.lit("")), "\n")
-    new_file = F.coalesce(before, F.lit("")) == ""
-    numbered = F.transform(lines, lambda x, k: F.struct((k + 1).alias("line"), x.alias("text")))
-    # array_except of the texts first: one hash set a row instead of a scan of the old lines for each new one
-    fresh = F.array_except(lines, old)
-    kept = F.filter(numbered, lambda s: F.when(new_file, s["text"] != "").otherwise(F.array_contains(fresh, s["text"])))
-    return F.transform(kept, lambda s: s["line"])
+@F.pandas_udf(ArrayType(IntegerType()))
+def changed_line_numbers(before: pd.Series, after: pd.Series) -> pd.Series:
+    """Numbers of the lines whose exact text is nowhere in ``before``; for a new file (null or empty), of all lines that aren't empty. A moved line is no change; a null ``after`` has no lines.
+
+    One hash set a file, so its cost grows with the lines. Column functions look a value up in an array or
+    map by going through it, and a join would shuffle every line of both versions.
+    """
+
+    def one(old: str | None, new: str | None) -> list[int] | None:
+        if new is None:
+            return None
+        known = set(old.split("\n")) if old else {""}
+        return [k for k, x in enumerate(new.split("\n"), 1) if x not in known]
+
+    return pd.Series([one(x, y) for x, y in zip(before, after, strict=True)], dtype=object)
 
 
 def changed_lines(edits: DataFrame) -> DataFrame:
@@ -37,10 +44,13 @@ def preexisting_counts(matches: DataFrame, edits: DataFrame) -> DataFrame:
 
 
 def new_lint(diagnostics: DataFrame, edits: DataFrame) -> DataFrame:
-    """Lint results of an edit: all of a new file, all without a line, else those on changed lines."""
-    flags = edits.select("file_path", (F.coalesce("before", F.lit("")) == "").alias("_new"), changed_line_numbers(F.col("before"), F.col("after")).alias("_changed"))
-    d = diagnostics.join(flags, "file_path", "left")
-    return d.filter(F.coalesce("_new", F.lit(True)) | (F.coalesce("line", F.lit(0)) == 0) | F.array_contains("_changed", F.col("line"))).drop("_new", "_changed")
+    """Lint results of an edit: all of a new file or one without an edit, all without a line, else those on changed lines."""
+    new_file = F.coalesce("before", F.lit("")) == ""
+    kept = diagnostics.join(edits.filter(~new_file).select("file_path").distinct(), "file_path", "left_anti")
+    edited = diagnostics.join(edits.filter(~new_file).select("file_path").distinct(), "file_path", "left_semi")
+    whole, lined = F.coalesce("line", F.lit(0)) == 0, F.coalesce("line", F.lit(0)) != 0
+    on_line = edited.filter(lined).join(changed_lines(edits).distinct(), ["file_path", "line"], "left_semi")
+    return kept.unionByName(edited.filter(whole)).unionByName(on_line.select(*diagnostics.columns))
 
 
 def line_range(edits: DataFrame) -> DataFrame:

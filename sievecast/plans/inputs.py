@@ -54,12 +54,20 @@ DIAGNOSTIC = {
 DIAGNOSTICS_SQL = "d AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in DIAGNOSTIC.items()) + " FROM lineitem)"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Narrow rows that texts are about to be made of: dealt over all cores where the file has fewer splits than that, so that the texts are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").selectExpr(f"{PATH} AS file_path", f"{CONTENT} AS content")
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus", "o_totalprice"))
+    return orders.selectExpr(f"{PATH} AS file_path", f"{CONTENT} AS content")
 
 
 def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").selectExpr(f"{PATH} AS file_path", f"CASE WHEN {_K} % 10 = 0 THEN '' ELSE {BEFORE} END AS before", f"{CONTENT} AS after")
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus", "o_totalprice"))
+    return orders.selectExpr(f"{PATH} AS file_path", f"CASE WHEN {_K} % 10 = 0 THEN '' ELSE {BEFORE} END AS before", f"{CONTENT} AS after")
 
 
 def diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:

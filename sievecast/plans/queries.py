@@ -65,7 +65,10 @@ def djb2_hash(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", text.djb2(F.concat("p_name", "p_type")).alias("h"))
 
 
-@query()
+_SUFFIXES = "flatten(list_transform(string_split(content, chr(10))[1:2], lambda x: flatten(list_transform(range(1, len(x) + 1), lambda k: list_transform(string_split(x[k:], ''), lambda t: ascii(t)::HUGEINT)))))"
+
+
+@query(f"WITH {CODE_SQL} SELECT file_path, list_reduce(list_prepend(5381::HUGEINT, {_SUFFIXES}), lambda h, x: (h * 33 + x) % 4294967296)::BIGINT AS h FROM code")
 def range_hash(spark, sf_dir):
     return code(spark, sf_dir).select("file_path", text.hash_lines(F.col("content"), 1, 2).alias("h"))
 
@@ -167,7 +170,7 @@ FROM code LEFT JOIN c ON code.file_path = c.file_path"""
 def dir_summary(spark, sf_dir):
     """The flagship: scan, guard, mask, metrics, rules, summary by file."""
     files = sources.guarded(code(spark, sf_dir))
-    return report.directory_summary(files, rules.all_matches(files))
+    return report.directory_summary(rules.match_arrays(files))
 
 
 @query(
@@ -225,7 +228,7 @@ WHERE NOT EXISTS (SELECT 1 FROM suppressions s WHERE s.file_path = h.file_path A
 )
 def suppress_apply(spark, sf_dir):
     files = code(spark, sf_dir)
-    hits = rules.pattern_hits(files).join(F.broadcast(rules.rule_specs(spark)), "pattern")
+    hits = rules.pattern_hits(files).join(rules.rule_specs(spark), "pattern")
     return suppress.unsuppressed(hits, suppress.parse_suppressions(files)).groupBy("file_path", "line", "pattern").agg(F.count("*").alias("n"))
 
 
