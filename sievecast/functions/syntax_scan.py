@@ -1,0 +1,279 @@
+"""Findings of syntax in a masked text, from its tokens and matched brackets: imports, calls and assignments of names, nesting, numbers.
+
+One pass makes the tokens; each rule then walks them. It is no parser: where statements end without a
+semicolon is told by line ends and keywords, and types are not told from values.
+"""
+
+from __future__ import annotations
+
+import re
+from bisect import bisect_left
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
+
+#: Numbers, words (bytes above ASCII are letters), operators of several signs, and any other character but white space and what is masked.
+_TOKEN = re.compile(r"0[xXbBoO][0-9a-fA-F_]+n?|[0-9][0-9_]*(?:\.[0-9_]+)?(?:[eE][+-]?[0-9]+)?n?|[A-Za-z_$#\x80-\xff][A-Za-z0-9_$#\x80-\xff]*|\.\.\.|\?\.|=>|[=!]==?|[<>]=|[-+*/%&|^]=|&&|\|\||\?\?|[^\s\x01]")
+_WORD = re.compile(r"[A-Za-z_$#\x80-\xff]")
+_CLOSER = {"(": ")", "[": "]", "{": "}"}
+_OPENERS, _CLOSERS = frozenset(_CLOSER), frozenset(_CLOSER.values())
+#: Words that begin a statement, so the one before has ended.
+_STARTS = frozenset("if for while do switch try return throw const let var function class import export break continue".split())
+#: Words that stand between operands, and words that wait for one.
+_BETWEEN = frozenset("in of instanceof as satisfies extends else catch finally".split())
+_WAITING = _BETWEEN | frozenset("return typeof void delete new await yield throw case async export default".split())
+_LOOPS = frozenset("for while with".split())
+_MEMBER = frozenset((".", "?."))
+_FOUND = StructType().add("kind", StringType()).add("line", IntegerType()).add("col", IntegerType()).add("name", StringType()).add("n", IntegerType())
+
+
+class Source:
+    """The tokens of a masked text: ``text``, ``place``, ``line`` of each, and of each bracket its partner (the end where it has none)."""
+
+    def __init__(self, masked: str, rows: list[int]):
+        found = [(m[0], m.start()) for m in _TOKEN.finditer(masked)]
+        self.text, self.place = [t for t, _ in found], [p for _, p in found]
+        self.line = [bisect_left(rows, p) for p in self.place]
+        self.partner, stack = [len(found)] * len(found), []
+        for i, t in enumerate(self.text):
+            if t in _OPENERS:
+                stack.append(i)
+            elif t in _CLOSERS and any(_CLOSER[self.text[k]] == t for k in stack[-3:]):
+                while _CLOSER[self.text[stack[-1]]] != t:
+                    stack.pop()
+                self.partner[i], self.partner[stack[-1]] = stack[-1], i
+                stack.pop()
+
+    def at(self, i: int) -> str:
+        return self.text[i] if 0 <= i < len(self.text) else ""
+
+    def after(self, i: int) -> int:
+        """The token behind the bracket that opens at i."""
+        return self.partner[i] + 1
+
+    def _new_line(self, i: int) -> bool:
+        """Whether a line break parts a statement from token i: two operands stand side by side, or the token begins one."""
+        if self.line[i] == self.line[i - 1]:
+            return False
+        t, before = self.text[i], self.text[i - 1]
+        operand = before in _CLOSERS or (before[0].isalnum() or before[0] in "_$" or before[0] >= "\x80") and before not in _WAITING
+        return (t in _STARTS and t != "function") or (operand and (t[0].isalnum() or t[0] in "_$" or t[0] >= "\x80") and t not in _BETWEEN)
+
+    def expression_end(self, i: int) -> int:
+        """Where an expression that begins at i ends: before a comma, semicolon or closing bracket of its own level, or a line that begins another statement."""
+        begin = i
+        while i < len(self.text):
+            t = self.text[i]
+            if t in (";", ",") or t in _CLOSERS or (i > begin and self._new_line(i)):
+                return i
+            i = self.after(i) if t in _OPENERS else i + 1
+        return len(self.text)
+
+    def statement_end(self, i: int) -> int:
+        """Where a statement that begins at i ends, its semicolon with it."""
+        t = self.at(i)
+        if t == "{":
+            return self.after(i)
+        if t == "if" or t in _LOOPS:
+            paren = i + 1 + (self.at(i + 1) == "await")
+            if self.at(paren) == "(":
+                end = self.statement_end(self.after(paren))
+                return self.statement_end(end + 1) if t == "if" and self.at(end) == "else" else end
+        if t == "do":
+            end = self.statement_end(i + 1)
+            end = self.after(end + 1) if self.at(end) == "while" and self.at(end + 1) == "(" else end
+            return end + (self.at(end) == ";")
+        if t in ("switch", "function", "class", "async") or (t == "try" and self.at(i + 1) == "{"):
+            while i < len(self.text) and self.text[i] not in ("{", ";"):
+                i = self.after(i) if self.text[i] in _OPENERS else i + 1
+            end = self.after(i) if self.at(i) == "{" else i
+            while t == "try" and self.at(end) in ("catch", "finally"):
+                end = self.after(end + 1) if self.at(end + 1) == "(" else end + 1
+                end = self.after(end) if self.at(end) == "{" else end
+            return end
+        while i < len(self.text):
+            end = self.expression_end(i)
+            if self.at(end) != ",":
+                return end + (self.at(end) == ";")
+            i = end + 1
+        return len(self.text)
+
+
+def dangerous(s: Source, names: frozenset[str]) -> list[tuple[int, str]]:
+    """(token, name) of calls of these names, plain or as members, and of assignments to members of these names.
+
+    What is called or assigned is a match as a whole: others in its arguments, in its right side or in
+    the object that it is a member of are part of it. Declarations, constructors and plain assignments are none.
+    """
+    out, i = [], 0
+    while i < len(s.text):
+        name, before = s.text[i], s.at(i - 1)
+        opened = i + 1 + (s.at(i + 1) == "?.")
+        if name in names and s.at(opened) == "(" and before not in ("function", "new", "*", "get", "set") and s.at(s.after(opened)) != "{":
+            end = s.after(opened)
+        elif name in names and before in _MEMBER and s.at(i + 1) == "=":
+            end = s.expression_end(i + 2)
+        else:
+            i += 1
+            continue
+        if before in _MEMBER:
+            first = _object_start(s, i - 1)
+            while out and out[-1][0] >= first:
+                out.pop()
+        out.append((i, name))
+        i = end
+    return out
+
+
+def _object_start(s: Source, dot: int) -> int:
+    """The first token of the chain of members, calls and indexes before a dot."""
+    i = dot
+    while s.at(i) in _MEMBER:
+        i -= 1
+        while s.at(i) in (")", "]") and s.partner[i] < i:
+            i = s.partner[i] - 1
+        if not _WORD.match(s.at(i)):
+            return i + 1
+        if s.at(i - 1) not in _MEMBER:
+            return i
+        i -= 1
+    return i
+
+
+def unused_imports(s: Source) -> list[tuple[int, str]]:
+    """(token, local name) of default and named imports that no other part of the text names, but as a member. The first of equal names counts; namespace and dynamic imports do not."""
+    imported, used, i = {}, set(), 0
+    while i < len(s.text):
+        t = s.text[i]
+        if t == "import" and s.at(i - 1) not in _MEMBER and s.at(i + 1) not in ("(", ".", "?."):
+            i += 1
+            while i < len(s.text) and s.text[i] not in ("from", ";") and not (s.text[i] in _STARTS and s.line[i] > s.line[i - 1]):
+                t, following = s.text[i], s.at(i + 1)
+                if t == "*":
+                    i += 3
+                    continue
+                if _WORD.match(t) and following != "as" and not (t == "type" and (_WORD.match(following) or following == "{") and following != "from"):
+                    imported.setdefault(t, i)
+                i += 2 if t == "as" and following == "as" else 1
+            i += s.at(i) == "from"
+            continue
+        if _WORD.match(t) and s.at(i - 1) not in _MEMBER:
+            used.add(t)
+        i += 1
+    return [(i, name) for name, i in imported.items() if name not in used and name != "as"]
+
+
+def deep(s: Source, above: int) -> list[tuple[int, str, int]]:
+    """(token, kind, depth) of control structures and functions that stand deeper than ``above``. An else, catch or finally is one level below its if or try."""
+    out, todo = [], [(0, len(s.text), 0)]
+
+    def inner(i: int, first: int, end: int, depth: int) -> None:
+        if depth > above:
+            out.append((i, s.text[i], depth))
+        if first < end:
+            todo.append((first, end, depth))
+
+    while todo:
+        i, stop, depth = todo.pop()
+        while i < stop:
+            t = s.text[i]
+            member = s.at(i - 1) in _MEMBER or s.at(i + 1) == ":"
+            if member:
+                i += 1
+                continue
+            if t == "if" and s.at(i + 1) == "(":
+                end, body = s.statement_end(i), s.statement_end(s.after(i + 1))
+                inner(i, i + 1, body, depth + 1)
+                if s.at(body) == "else" and body < end:
+                    inner(body, body + 1, end, depth + 2)
+                i = end
+            elif t == "try" and s.at(i + 1) == "{":
+                end, at = s.statement_end(i), s.after(i + 1)
+                inner(i, i + 2, at, depth + 1)
+                while at < end:
+                    following = s.after(at + 1) if s.at(at + 1) == "(" else at + 1
+                    following = s.after(following) if s.at(following) == "{" else following
+                    inner(at, at + 1, min(following, end), depth + 2)
+                    at = max(following, at + 1)
+                i = end
+            elif t in ("for", "while", "do", "switch") and s.at(i + 1) in ("(", "{", "await"):
+                end = s.statement_end(i)
+                inner(i, i + 1, end, depth + 1)
+                i = max(end, i + 1)
+            elif t == "function":
+                end = s.statement_end(i)
+                inner(i, i + 1, end, depth + 1)
+                i = max(end, i + 1)
+            elif t == "=>":
+                end = s.after(i + 1) if s.at(i + 1) == "{" else s.expression_end(i + 1)
+                head = s.partner[i - 1] if s.at(i - 1) == ")" and s.partner[i - 1] < i else i - 1
+                inner(max(head, 0), i + 1, end, depth + 1)
+                i = max(end, i + 1)
+            else:
+                i += 1
+    return sorted(out)
+
+
+def magic_numbers(s: Source) -> list[tuple[int, str]]:
+    """(token, number) of numbers but 0, 1 and those of one digit, outside of array literals, for loops, enums, exports and type annotations."""
+    skipped, spans, i = [], [], 0
+    for i, t in enumerate(s.text):
+        if t == "[" and not (_WORD.match(s.at(i - 1)) and s.at(i - 1) not in ("return", "of", "in", "case", "typeof")) and s.at(i - 1) not in (")", "]", "?."):
+            spans.append((i, s.partner[i]))
+        elif t == "for" and s.at(i - 1) not in _MEMBER and s.at(i + 1) in ("(", "await"):
+            spans.append((i, s.statement_end(i)))
+        elif t in ("enum", "export") and s.at(i - 1) not in _MEMBER and _WORD.match(s.at(i + 1)):
+            spans.append((i, s.statement_end(i + 1) if t == "export" else s.after(i + 2) if s.at(i + 2) == "{" else i))
+        elif t == "type" and _WORD.match(s.at(i + 1)) and s.at(i + 2) in ("=", "<"):
+            spans.append((i, s.expression_end(i + 1)))
+    end = -1
+    for first, last in sorted(spans):
+        if last > end:
+            skipped.append((max(first, end), last))
+            end = last
+    out, k = [], 0
+    for i, t in enumerate(s.text):
+        while k < len(skipped) and skipped[k][1] < i:
+            k += 1
+        if not ("0" <= t[0] <= "9") or (k < len(skipped) and skipped[k][0] <= i):
+            continue
+        digits = t.rstrip("n").replace("_", "")
+        value = int(digits, 0) if digits[:1] == "0" and digits[1:2].isalpha() else float(digits)
+        if value in (0, 1) or len(re.sub(r"[-.]", "", t)) <= 1:
+            continue
+        out.append((i, t))
+    return out
+
+
+def scan(masked: str, names: frozenset[str], above: int) -> list[dict]:
+    """All findings of a masked text, with lines and byte columns from 1. A text that nests beyond Python's recursion gives what was found before."""
+    rows = [m.start() for m in re.finditer("\n", masked)]
+    s = Source(masked, rows)
+    out = []
+
+    def add(kind: str, found: list[tuple]) -> None:
+        for i, name, *n in found:
+            place, line = s.place[i], s.line[i]
+            out.append({"kind": kind, "line": line + 1, "col": place - (rows[line - 1] if line else -1), "name": name.encode("latin-1").decode("utf-8", "replace"), "n": n[0] if n else None})
+
+    add("danger", dangerous(s, names))
+    add("import", unused_imports(s))
+    try:
+        add("nesting", deep(s, above))
+        add("number", magic_numbers(s))
+    except RecursionError:
+        pass
+    return out
+
+
+def findings(masked: Column, names: tuple[str, ...], above: int) -> Column:
+    """:func:`scan` of each text: an array of structs (kind, line, col, name, n). Takes the mask of a byte view; null has none."""
+    wanted = frozenset(names)
+
+    @F.pandas_udf(ArrayType(_FOUND))
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: scan(x, wanted, above) if x else [])
+
+    return run(masked)

@@ -35,6 +35,25 @@ def merge(defaults: DataFrame, user: DataFrame) -> DataFrame:
     return defaults.join(user, "name", "left_anti").unionByName(user)
 
 
+_CONFIG = "struct<linters:array<struct<name:string,format:string,extensions:array<string>>>,overrideDefaults:boolean>"
+
+
+def configured(projects: DataFrame, rows=LINTERS) -> DataFrame:
+    """``project, name, format, extensions, origin``: the tools of each project by its configuration (project, config JSON).
+
+    ``linters`` override defaults of the same name and add others; with ``overrideDefaults`` they stand
+    alone. No or broken JSON leaves the defaults. The defaults are a few fixed rows, so each project is
+    made up in its row.
+    """
+    tool = lambda n, f, e, origin: F.struct(n.alias("name"), f.alias("format"), e.alias("extensions"), F.lit(origin).alias("origin"))
+    defaults = F.array(*[tool(F.lit(n), F.lit(f), F.array(*map(F.lit, e)), "default") for n, f, e in rows])
+    parsed = projects.select("project", F.from_json("config", _CONFIG).alias("_c"))
+    user = F.coalesce(F.transform("_c.linters", lambda t: tool(t["name"], t["format"], F.coalesce(t["extensions"], F.array().cast("array<string>")), "user")), F.array())
+    p = parsed.select("project", F.coalesce("_c.overrideDefaults", F.lit(False)).alias("_alone"), user.alias("_user"))
+    kept = F.filter(defaults, lambda d: ~F.exists("_user", lambda u: u["name"] == d["name"]))
+    return p.select("project", F.inline(F.when(F.col("_alone"), F.col("_user")).otherwise(F.concat(kept, F.col("_user")))))
+
+
 def overlay(defaults: DataFrame, user: DataFrame) -> DataFrame:
     """Field by field: the user's value where there is one."""
     fields = [c for c in defaults.columns if c != "name"]
@@ -43,9 +62,18 @@ def overlay(defaults: DataFrame, user: DataFrame) -> DataFrame:
 
 
 def applicable(files: DataFrame, tool_table: DataFrame) -> DataFrame:
-    """``file_path, name``: each tool that takes a file, by the end of its path; no extensions means all. The tools are a few rows."""
-    fits = (F.size("extensions") == 0) | F.exists("extensions", lambda e: F.col("file_path").endswith(e))
-    return files.select("file_path").join(F.broadcast(tool_table), fits).select("file_path", "name")
+    """``file_path, name``: each tool that takes a file, by the end of its path; no extensions means all.
+
+    An equi-join: a path is looked up by each of its ends that begins with a dot, a tool by each of its extensions.
+    """
+    parts = F.split(F.substring_index("file_path", "/", -1), r"\.")
+    end = lambda k: F.concat(F.lit("."), F.array_join(F.slice(parts, k + 1, F.size(parts)), "."))
+    ends = files.select("file_path", F.explode(F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), end))).alias("_end"))
+    by_end = tool_table.filter(F.size("extensions") > 0).select("name", F.explode(F.array_distinct("extensions")).alias("_end"))
+    every = tool_table.filter(F.size("extensions") == 0).agg(F.collect_list("name").alias("_names"))
+    found = ends.join(by_end, "_end").select("file_path", "name").distinct()
+    always = every.first()["_names"]
+    return found.unionByName(files.select("file_path", F.explode(F.array(*map(F.lit, always))).alias("name"))) if always else found
 
 
 def available(tool_table: DataFrame, installed: DataFrame) -> DataFrame:

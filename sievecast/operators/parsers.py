@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Phrases of messages about a tool's own configuration.
+#: Phrases of messages about a tool's own configuration.
 CONFIG_NOISE = ("file ignored", "no matching configuration", "no eslint configuration")
 TEXT_NOISE = ("File ignored", "No files matching")
 COLUMNS = ("file_path", "tool", "line", "col", "severity", "rule", "message", "has_fix")

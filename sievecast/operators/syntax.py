@@ -1,8 +1,6 @@
 """Rules of syntax over masked texts: imports, nesting, dangerous calls, numbers, parameter lists.
 
-A tokenizer's view, not a parser's: brace depth stands for block depth. It needs no grammar and runs as
-column expressions, but for parameter lists, whose brackets take a stack; a parser can be plugged in as a
-rule of the registry.
+One scan of a file's tokens serves all rules but parameter lists, which have a scanner of their own.
 """
 
 from __future__ import annotations
@@ -11,86 +9,81 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.parameters import parameter_lists
-from ..functions.patterns import hits, views
+from ..functions.patterns import views
+from ..functions.syntax_scan import findings
 
-#: Name, rule, message, severity.
+#: Name, rule, message, severity, fix.
 DANGEROUS = (
-    ("eval", "eval-detected", "eval() executes arbitrary code", "error"),
-    ("exec", "shell-exec", "child_process.exec uses shell (injection risk)", "error"),
-    ("innerHTML", "xss-innerhtml", "innerHTML is vulnerable to XSS", "warning"),
-    ("outerHTML", "xss-outerhtml", "outerHTML is vulnerable to XSS", "warning"),
-    ("system", "shell-system", "system() executes shell commands (injection risk)", "error"),
-    ("documentWrite", "xss-document-write", "document.write is vulnerable to XSS and breaks CSP", "warning"),
+    ("eval", "eval-detected", "eval() executes arbitrary code", "error", "Use JSON.parse or a safe template engine."),
+    ("exec", "shell-exec", "child_process.exec uses shell (injection risk)", "error", "Use execFile or spawn instead — they don't invoke a shell."),
+    ("innerHTML", "xss-innerhtml", "innerHTML is vulnerable to XSS", "warning", "Use textContent or a sanitization library like DOMPurify."),
+    ("outerHTML", "xss-outerhtml", "outerHTML is vulnerable to XSS", "warning", "Use textContent or a sanitization library like DOMPurify."),
+    ("system", "shell-system", "system() executes shell commands (injection risk)", "error", "Use a parameterized subprocess API."),
+    ("documentWrite", "xss-document-write", "document.write is vulnerable to XSS and breaks CSP", "warning", "Use DOM manipulation APIs instead."),
 )
-_NAMES = "|".join(d[0] for d in DANGEROUS)
-_CALL = rf"(?<![A-Za-z0-9_$])(?:{_NAMES})(?![A-Za-z0-9_$])\s*(?:\(|=(?!=))"
-_NUMBER = r"(?<![A-Za-z0-9_$.])[0-9][0-9_]*(?:\.[0-9]+)?(?![A-Za-z0-9_$])"
-_IMPORT = r"(?m)^\s*import\s+(?!\*)([^;'\"\x01]*?)\s+from\b"
-_BLOCK = r"(?<![A-Za-z0-9_$])(?:if|for|while|switch|catch)(?![A-Za-z0-9_$])|(?<![A-Za-z0-9_$])(?:else|try|finally)(?=\s*\{)|[{}]"
+WARNING_DEPTH, ERROR_DEPTH, WARNING_PARAMETERS, ERROR_PARAMETERS = 4, 6, 5, 8
+_COLUMNS = ("file_path", "line", "col", "rule", "message", "severity", "fix")
 
 
-def _rows(files: DataFrame, regex: str, whole: bool = False) -> DataFrame:
-    m = views(files.select("file_path", "content")).withColumnRenamed("_plain", "masked")
-    return m.select("file_path", "masked", F.inline(hits(F.col("masked"), F.col("_text"), regex, "", whole)))
+def _found(files: DataFrame, kind: str | None = None) -> DataFrame:
+    """``file_path, kind, line, col, name, n``: one scan a file."""
+    m = views(files.select("file_path", "content")).select("file_path", F.inline(findings(F.col("_plain"), tuple(d[0] for d in DANGEROUS), WARNING_DEPTH)))
+    return m if kind is None else m.filter(F.col("kind") == kind)
 
 
-def _as(df: DataFrame, rule: Column, message: Column, severity: Column) -> DataFrame:
-    return df.select("file_path", "line", "col", rule.alias("rule"), message.alias("message"), severity.alias("severity"))
+def _matches(found: DataFrame, prefix: str) -> DataFrame:
+    name, n = F.col("name"), F.col("n").cast("string")
+
+    def spec(rule: Column, message: Column, severity: Column, fix: Column) -> Column:
+        return F.struct(F.concat(F.lit(f"{prefix}/"), rule).alias("rule"), message.alias("message"), severity.alias("severity"), fix.alias("fix"))
+
+    lit = F.lit
+    danger = F.element_at(F.create_map(*[x for d, r, m, s, f in DANGEROUS for x in (lit(d), spec(lit(r), lit(m), lit(s), lit(f)))]), name)
+    kinds = {
+        "import": spec(lit("unused-import"), F.concat(name, lit(" is imported and not used")), lit("info"), F.concat(lit("Remove the import of "), name, lit("."))),
+        "nesting": spec(lit("deep-nesting"), F.concat(lit("nesting depth "), n), F.when(F.col("n") > ERROR_DEPTH, "error").otherwise("warning"), lit("Extract the nested logic into a separate function.")),
+        "number": spec(lit("magic-number"), F.concat(lit("magic number "), name), lit("hint"), lit("Extract into a named constant.")),
+        "parameters": spec(lit("long-params"), F.concat(name, lit(" has "), n, lit(" parameters")), F.when(F.col("n") > ERROR_PARAMETERS, "error").otherwise("warning"), lit("Use an options object or destructuring to reduce parameter count.")),
+    }
+    made = F.when(F.col("kind") == "danger", danger)
+    for kind, what in kinds.items():
+        made = made.when(F.col("kind") == kind, what)
+    return found.withColumn("_made", made).select("file_path", "line", "col", "_made.*").select(*_COLUMNS)
 
 
 def dangerous_calls(files: DataFrame, prefix: str = "sievecast") -> DataFrame:
-    """Calls of, or assignments to, the names of the table, as members too."""
-    specs = files.sparkSession.createDataFrame([(n, f"{prefix}/{r}", m, s) for n, r, m, s in DANGEROUS], "name string, rule string, message string, severity string")
-    found = _rows(files, _CALL).withColumn("name", F.regexp_extract("snippet", r"\A([A-Za-z]+)", 1))
-    return _as(found.join(F.broadcast(specs), "name"), F.col("rule"), F.col("message"), F.col("severity"))
+    """Calls of the names of the table, plain or as members, and assignments to such members."""
+    return _matches(_found(files, "danger"), prefix)
 
 
 def magic_numbers(files: DataFrame, prefix: str = "sievecast") -> DataFrame:
-    """Numbers of more than one digit, but for those in lists, loop heads and enums, as far as a line shows it."""
-    found = _rows(files, _NUMBER).withColumn("number", F.regexp_extract("snippet", r"\A([0-9_.]+)", 1))
-    line = F.element_at(F.split("masked", "\n"), F.col("line"))
-    inside = line.rlike(r"\bfor\s*\(") | line.rlike(r"\benum\b") | line.rlike(r"\[[^\]]*[0-9]")
-    digits = F.length(F.regexp_replace("number", r"[-.]", ""))
-    return _as(found.filter((digits > 1) & ~inside), F.lit(f"{prefix}/magic-number"), F.concat(F.lit("magic number "), F.col("number")), F.lit("hint"))
+    """Numbers of more than one digit, but for those in array literals, for loops, enums, exports and types."""
+    return _matches(_found(files, "number"), prefix)
 
 
-def long_parameter_lists(files: DataFrame, prefix: str = "sievecast", warning: int = 5, error: int = 8) -> DataFrame:
-    """Functions, arrows and methods with more parameters than that."""
-    m = views(files.select("file_path", "content")).select("file_path", parameter_lists("_plain").alias("found"))
-    m = m.select("file_path", F.inline("found")).filter(F.col("n") > warning)
-    return _as(m, F.lit(f"{prefix}/long-params"), F.concat("name", F.lit(" has "), F.col("n").cast("string"), F.lit(" parameters")), F.when(F.col("n") > error, "error").otherwise("warning"))
+def deep_blocks(files: DataFrame, prefix: str = "sievecast") -> DataFrame:
+    """Control structures and functions that stand more than WARNING_DEPTH deep in others."""
+    return _matches(_found(files, "nesting"), prefix)
 
 
-def deep_blocks(files: DataFrame, prefix: str = "sievecast", warning: int = 4, error: int = 6) -> DataFrame:
-    """Every control structure that stands deeper than ``warning`` blocks. One fold over a file's braces and keywords."""
-    m = views(files.select("file_path", "content"))
-    m = m.select("file_path", hits(F.col("_plain"), F.col("_text"), _BLOCK, "").alias("found"))
-    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<struct<line:int,col:int,depth:int>>").alias("out"))
+def unused_imports(files: DataFrame, prefix: str = "sievecast") -> DataFrame:
+    """Imported names that stand nowhere but in imports; namespace and dynamic imports are left out."""
+    return _matches(_found(files, "import"), prefix)
 
-    def step(s, h):
-        first = F.substring(h["snippet"], 1, 1)
-        depth = F.when(first == "{", s["depth"] + 1).when(first == "}", F.greatest(s["depth"] - 1, F.lit(0))).otherwise(s["depth"])
-        deep = ~first.isin("{", "}") & (s["depth"] + 1 > warning)
-        out = F.when(deep, F.concat(s["out"], F.array(F.struct(h["line"].alias("line"), h["col"].alias("col"), (s["depth"] + 1).alias("depth"))))).otherwise(s["out"])
-        return F.struct(depth.alias("depth"), out.alias("out"))
 
-    m = m.select("file_path", F.inline(F.aggregate("found", start, step, lambda s: s["out"])))
-    return _as(m, F.lit(f"{prefix}/deep-nesting"), F.concat(F.lit("nesting depth "), F.col("depth").cast("string")), F.when(F.col("depth") > error, "error").otherwise("warning"))
+def _long_lists(found: Column) -> Column:
+    long = F.filter(found, lambda p: p["n"] > WARNING_PARAMETERS)
+    return F.transform(long, lambda p: F.struct(F.lit("parameters").alias("kind"), p["line"].alias("line"), p["col"].alias("col"), p["name"].alias("name"), p["n"].alias("n")))
 
 
-def unused_imports(files: DataFrame, prefix: str = "sievecast") -> DataFrame:
-    """Imported names that stand nowhere but in imports; namespace and dynamic imports are left out."""
-    found = _rows(files, _IMPORT, whole=True)
-    clause = F.regexp_extract("matched", _IMPORT, 1)
-    names = F.filter(F.transform(F.split(F.regexp_replace(clause, r"[{}]", ","), ","), lambda x: F.regexp_replace(x, r"(?s)^.*\bas\b|^\s*type\b|\s+", "")), lambda x: x != "")
-    rest = F.regexp_replace(F.regexp_replace("masked", _IMPORT, ""), r"(?m)^\s*import\b[^;\n]*", "")
-    used = F.array_distinct(F.regexp_extract_all(rest, F.lit(r"[A-Za-z0-9_$]+"), F.lit(0)))
-    m = found.select("file_path", "line", "col", F.explode(F.array_except(names, used)).alias("name"))
-    return _as(m, F.lit(f"{prefix}/unused-import"), F.concat("name", F.lit(" is imported and not used")), F.lit("info"))
+def long_parameter_lists(files: DataFrame, prefix: str = "sievecast") -> DataFrame:
+    """Functions, arrows and methods with more than WARNING_PARAMETERS parameters."""
+    m = views(files.select("file_path", "content")).select("file_path", F.inline(_long_lists(parameter_lists("_plain"))))
+    return _matches(m, prefix)
 
 
 def all_rules(files: DataFrame, prefix: str = "sievecast") -> DataFrame:
-    out = dangerous_calls(files, prefix)
-    for rule in (magic_numbers, long_parameter_lists, deep_blocks, unused_imports):
-        out = out.unionByName(rule(files, prefix))
-    return out
+    """The matches of all rules: one scan and one mask a file."""
+    m = views(files.select("file_path", "content"))
+    found = F.concat(findings(F.col("_plain"), tuple(d[0] for d in DANGEROUS), WARNING_DEPTH), _long_lists(parameter_lists("_plain")))
+    return _matches(m.select("file_path", F.inline(found)), prefix)

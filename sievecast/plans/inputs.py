@@ -21,6 +21,7 @@ _PARTS = [
     f"CASE WHEN {_K} % 5 = 2 THEN concat('    eval (code); obj.eval(1); alert(', chr(39), 'hi', chr(39), ');') ELSE '    /* eval(x) debugger */' END, chr(10)",
     f"CASE WHEN {_K} % 6 = 3 THEN concat('    password = \"', o_orderpriority, ' value\";') ELSE '    api_key: \"short\";' END, chr(10)",
     f"CASE {_K} % 7 WHEN 0 THEN '    try {{ f(); }} catch (e) {{ }}' WHEN 1 THEN '    try {{ f(); }} catch (e) {{ log(e); }}' ELSE '    el.innerHTML = 3500;' END, chr(10)",
+    f"CASE {_K} % 13 WHEN 0 THEN '    try {{ g(); }} catch (e) {{ {{}} log(e); }} const exec = 1;' WHEN 1 THEN '    try {{ g(); }} catch (f(x)) {{ {{ }} }} el.outerHTML == 1;' ELSE '' END, chr(10)",
     f"CASE {_K} % 11 WHEN 0 THEN '    debugger; // sievecast-disable-line eval-detected, debugger-statement' WHEN 1 THEN '    // sievecast-disable-next-line' WHEN 2 THEN '# sievecast-disable-file no-alert' ELSE '' END, chr(10)",
     f"CASE WHEN {_K} % 11 < 3 THEN '    debugger; console.warn(2);' ELSE '' END, chr(10)",
     f"repeat('}}', CAST({_K} % 8 AS INT)), chr(10), '}}', chr(10)",

@@ -121,7 +121,7 @@ _RE2 = {
     "console-log": ("m", r"(?:^|[^A-Za-z0-9_$])console\.(?:log|warn|error|info|debug)\s*\("),
     "alert": ("m", r"(?:^|[^A-Za-z0-9_$.])alert\s*\("),
     "hardcoded-secret": ("q", "(?i)(?:^|[^a-z_])(?:api_key|apikey|secret|password|passwd|auth_token|access_token|private_key)\\s*[=:]\\s*[''\"`]\\x02{8,}[''\"`]"),
-    "empty-catch": ("q", r"(?:^|[^A-Za-z0-9_$])catch\s*(?:\([^()]*\)\s*)?\{[\s\x01\x02{]*\}"),
+    "empty-catch": ("m", r"(?:^|[^A-Za-z0-9_$])catch\s*(?:\((?:[^()]|\([^()]*\))*\)\s*)?\{[\s\x01]*(?:\{[\s\x01]*\}[\s\x01]*)*\}"),
 }
 _HITS = " UNION ALL ".join(f"SELECT file_path, line, '{p}' AS pattern, len(regexp_extract_all(x, '{regex}')) AS n FROM (SELECT file_path, unnest(string_split({c}, chr(10))) AS x, generate_subscripts(string_split({c}, chr(10)), 1) AS line FROM masked)" for p, (c, regex) in _RE2.items())
 _BY_LINE = f"hits AS (SELECT file_path, CAST(line AS INTEGER) AS line, pattern, CAST(n AS BIGINT) AS n FROM ({_HITS}) WHERE n > 0)"
@@ -510,7 +510,10 @@ def syntax_rules(spark, sf_dir):
     return syntax.all_rules(code(spark, sf_dir))
 
 
-@query(f"WITH {_MASKED} SELECT file_path, line, 'sievecast/xss-innerhtml' AS rule FROM (SELECT file_path, CAST(generate_subscripts(s, 1) AS INTEGER) AS line, unnest(s) AS x FROM (SELECT file_path, string_split(m, chr(10)) AS s FROM masked)) WHERE regexp_matches(x, 'innerHTML *=')")
+_MASKED_LINES = "lines AS (SELECT file_path, CAST(generate_subscripts(s, 1) AS INTEGER) AS line, unnest(s) AS x FROM (SELECT file_path, string_split(m, chr(10)) AS s FROM masked))"
+
+
+@query(f"WITH {_MASKED}, {_MASKED_LINES} SELECT file_path, line, 'sievecast/xss-innerhtml' AS rule FROM lines WHERE regexp_matches(x, 'innerHTML *=')")
 def syntax_inner_html(spark, sf_dir):
     return syntax.dangerous_calls(code(spark, sf_dir)).filter("rule = 'sievecast/xss-innerhtml'").select("file_path", "line", "rule")
 
@@ -518,3 +521,165 @@ def syntax_inner_html(spark, sf_dir):
 @query(f"WITH {CODE_SQL} SELECT file_path, concat('f', regexp_extract(file_path, 'f([0-9]+)', 1), ' has ', CAST(2 + CAST(regexp_extract(file_path, 'f([0-9]+)', 1) AS BIGINT) % 9 AS VARCHAR), ' parameters') AS message, CASE WHEN CAST(regexp_extract(file_path, 'f([0-9]+)', 1) AS BIGINT) % 9 > 6 THEN 'error' ELSE 'warning' END AS severity FROM code WHERE CAST(regexp_extract(file_path, 'f([0-9]+)', 1) AS BIGINT) % 9 > 3")
 def syntax_long_params(spark, sf_dir):
     return syntax.long_parameter_lists(code(spark, sf_dir)).select("file_path", "message", "severity")
+
+
+@query(
+    f"""WITH {_MASKED}, {_MASKED_LINES}, c AS (SELECT file_path, line, 'sievecast/eval-detected' AS rule, len(regexp_extract_all(x, '\\beval\\s*\\(')) AS n FROM lines
+UNION ALL SELECT file_path, line, 'sievecast/xss-innerhtml', len(regexp_extract_all(x, '\\.innerHTML\\s*=[^=]')) FROM lines)
+SELECT file_path, line, rule, n FROM c WHERE n > 0"""
+)
+def syntax_dangerous(spark, sf_dir):
+    return syntax.dangerous_calls(code(spark, sf_dir)).groupBy("file_path", "line", "rule").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_MASKED}, {_MASKED_LINES} SELECT file_path, line, concat('magic number ', unnest(regexp_extract_all(x, '(?:^|[^A-Za-z0-9_$.])([0-9]{{2,}})', 1))) AS message FROM lines")
+def syntax_numbers(spark, sf_dir):
+    return syntax.magic_numbers(code(spark, sf_dir)).select("file_path", "line", "message")
+
+
+@query(f"WITH {CODE_SQL}, k AS (SELECT file_path, CAST(regexp_extract(file_path, 'f([0-9]+)', 1) AS BIGINT) AS k FROM code) SELECT file_path, 2 AS line, 18 AS col, concat('c', k % 3, ' is imported and not used') AS message FROM k")
+def syntax_unused_imports(spark, sf_dir):
+    return syntax.unused_imports(code(spark, sf_dir)).select("file_path", "line", "col", "message")
+
+
+@query(
+    f"""WITH {CODE_SQL}, k AS (SELECT file_path, CAST(regexp_extract(file_path, 'f([0-9]+)', 1) AS BIGINT) AS k FROM code), m AS (SELECT *, k % 8 AS m FROM k),
+n AS (SELECT file_path, greatest(m - 3, 0) + CAST(k % 4 <> 1 AND m >= 3 AS INT) + (CAST(k % 7 < 2 AS INT) + CAST(k % 13 < 2 AS INT)) * (CAST(m >= 3 AS INT) + CAST(m >= 2 AS INT)) AS n FROM m)
+SELECT file_path, CAST(n AS BIGINT) AS n FROM n WHERE n > 0"""
+)
+def syntax_nesting(spark, sf_dir):
+    return syntax.deep_blocks(code(spark, sf_dir)).groupBy("file_path").agg(F.count("*").alias("n"))
+
+
+# Reports, harvests and configurations.
+_REPORTED = "r AS (SELECT session_id, id, concat('src/g', CAST(CAST(split_part(id, ':', 1) AS BIGINT) % 3 AS STRING), '.ts') AS file_path, CASE WHEN line % 5 = 0 THEN 0 ELSE line END AS line, severity, message, rule, status, score, last_seen, CASE WHEN line % 3 = 0 THEN concat('s ', CAST(line AS STRING)) END AS snippet, CASE WHEN has_fix THEN concat('fix ', rule) END AS fix FROM {})"
+
+
+@query(
+    f"""WITH {_SCORES}, {_REPORTED.format("scored")},
+a AS (SELECT *, row_number() OVER (PARTITION BY session_id, file_path ORDER BY score DESC, line, id) AS k, count(*) OVER (PARTITION BY session_id, file_path) AS n FROM r WHERE status <> 'resolved'),
+s AS (SELECT session_id, file_path, max(score) AS best, concat(chr(10), chr(10), file_path, ' (', max(n), CASE WHEN max(n) = 1 THEN ' issue)' ELSE ' issues)' END,
+  string_agg(concat(chr(10), '- [', CASE severity WHEN 'error' THEN 'ERROR' WHEN 'warning' THEN 'WARN' WHEN 'info' THEN 'INFO' ELSE 'HINT' END, '] ', CASE WHEN line > 0 THEN concat('line ', line) ELSE 'whole file' END, ' — ', message, ' [', rule, ']',
+    CASE WHEN snippet IS NOT NULL THEN concat(chr(10), '    ', snippet) ELSE '' END, CASE WHEN fix IS NOT NULL THEN concat(chr(10), '    Fix: ', fix) ELSE '' END), '' ORDER BY k),
+  CASE WHEN max(n) > 20 THEN concat(chr(10), '- …and ', max(n) - 20, ' more in this file') ELSE '' END) AS section FROM a WHERE k <= 20 GROUP BY session_id, file_path),
+f AS (SELECT session_id, string_agg(section, '' ORDER BY best DESC, file_path) AS files FROM s GROUP BY session_id),
+g AS (SELECT session_id, string_agg(concat(chr(10), '- ', file_path, CASE WHEN line > 0 THEN concat(':', line) ELSE '' END, ' — ', message, ' [', rule, ']'), '' ORDER BY k) AS gone FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY last_seen DESC, id) AS k FROM r WHERE status = 'resolved') WHERE k <= 10 GROUP BY session_id),
+x AS (SELECT session_id, string_agg(concat(file_path, ' (eslint+', rule, ')'), ', ' ORDER BY file_path, rule) AS fixes FROM (SELECT DISTINCT session_id, file_path, rule FROM r WHERE fix IS NOT NULL AND CAST(session_id AS BIGINT) % 2 = 0) GROUP BY session_id),
+c AS (SELECT session_id, count(*) FILTER (status <> 'resolved') AS n, count(*) FILTER (status = 'resolved') AS r, count(*) FILTER (status <> 'resolved' AND severity = 'error') AS e, count(*) FILTER (status <> 'resolved' AND severity = 'warning') AS w, count(*) FILTER (status <> 'resolved' AND severity = 'info') AS i, count(*) FILTER (status <> 'resolved' AND severity = 'hint') AS h FROM r GROUP BY session_id)
+SELECT session_id, concat('Active: ', n, CASE WHEN n > 0 THEN concat(' (', concat_ws(', ', CASE WHEN e > 0 THEN concat(e, ' error') END, CASE WHEN w > 0 THEN concat(w, ' warning') END, CASE WHEN i > 0 THEN concat(i, ' info') END, CASE WHEN h > 0 THEN concat(h, ' hint') END), ')') ELSE '' END, '. Resolved: ', c.r, '.', coalesce(files, ''),
+  CASE WHEN c.r > 0 THEN concat(chr(10), chr(10), 'Resolved this cycle (', c.r, '):', gone, CASE WHEN c.r > 10 THEN concat(chr(10), '- …and ', c.r - 10, ' more') ELSE '' END) ELSE '' END, CASE WHEN fixes IS NOT NULL THEN concat(chr(10), chr(10), 'Suggested fixes: ', fixes, '.') ELSE '' END,
+  chr(10), chr(10), CASE WHEN n > 0 THEN 'Next: address the active issues above before continuing.' WHEN c.r > 0 THEN 'Next: clean run — keep going.' ELSE 'Next: review the suggested fixes; apply if appropriate.' END) AS report
+FROM c LEFT JOIN f USING (session_id) LEFT JOIN g USING (session_id) LEFT JOIN x USING (session_id)"""
+)
+def diagnostic_report(spark, sf_dir):
+    _scored(spark, sf_dir).createOrReplaceTempView("scored_diagnostics")
+    r = spark.sql(f"WITH {_REPORTED.format('scored_diagnostics')} SELECT * FROM r")
+    fixes = r.filter("fix IS NOT NULL AND CAST(session_id AS BIGINT) % 2 = 0").select("session_id", "file_path", F.array(F.lit("eslint"), "rule").alias("fixers")).distinct()
+    return report.diagnostic_report(r, fixes)
+
+
+@query(
+    f"""WITH {DIAGNOSTICS_SQL}, f AS (SELECT concat('src/g', CAST(session_id AS BIGINT) % 500, '.ts') AS file_path, line, col, rule, severity, message, CAST(session_id AS BIGINT) % 500 % 9 = 0 AS unread FROM d WHERE last_seen % 50 < CAST(session_id AS BIGINT) % 500 % 4),
+k AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY line, col, rule, severity, message) AS k FROM f),
+n AS (SELECT file_path, bool_or(unread) AS unread, count(*) AS n, bool_or(severity = 'error') AS e, bool_or(severity = 'warning') AS w, string_agg(concat(chr(10), '    [', upper(severity), '] ', message, ' [', rule, ']', CASE WHEN line > 0 THEN concat(':', line) ELSE '' END), '' ORDER BY k) FILTER (k <= 10) AS shown FROM k GROUP BY file_path)
+SELECT file_path, CASE WHEN NOT unread AND e THEN 'Errors' WHEN unread OR w THEN 'Warnings' ELSE 'Info' END AS label,
+  CASE WHEN unread THEN concat('- `', file_path, '` — Cannot read file') ELSE concat('- `', file_path, '` (', n, ' issue(s))', shown, CASE WHEN n > 10 THEN concat(chr(10), '    ...and ', n - 10, ' more') ELSE '' END) END AS entry FROM n"""
+)
+def directory_report(spark, sf_dir):
+    d = diagnostics(spark, sf_dir).withColumn("g", F.col("session_id").cast("long") % 500).filter(F.col("last_seen") % 50 < F.col("g") % 4)
+    matched = d.groupBy("g").agg(F.collect_list(F.struct("line", "col", "rule", "severity", "message")).alias("matches"))
+    return report.directory_report(matched.select(F.concat(F.lit("src/g"), "g", F.lit(".ts")).alias("file_path"), F.when(F.col("g") % 9 > 0, F.lit("x")).alias("content"), "matches"))
+
+
+@query(f"WITH {_SCORES}, n AS (SELECT session_id, count(*) FILTER (status <> 'resolved' AND severity = 'error') AS a, count(*) FILTER (status = 'resolved' AND severity = 'error') AS r, count(*) FILTER (has_fix) AS f FROM scored GROUP BY session_id) SELECT session_id, CASE WHEN a > 0 THEN 'Next: address the active issues above before continuing.' WHEN r > 0 THEN 'Next: clean run — keep going.' WHEN f > 0 THEN 'Next: review the suggested fixes; apply if appropriate.' ELSE 'Next: continue.' END AS next FROM n")
+def next_directive(spark, sf_dir):
+    n = diagnostics(spark, sf_dir).groupBy("session_id").agg(F.count_if((F.col("status") != "resolved") & (F.col("severity") == "error")).alias("a"), F.count_if((F.col("status") == "resolved") & (F.col("severity") == "error")).alias("r"), F.count_if("has_fix").alias("f"))
+    return n.select("session_id", report.next_step(F.col("a"), F.col("r"), F.col("f")).alias("next"))
+
+
+_PAYLOADS = """CASE event_id % 4 WHEN 0 THEN concat('{"details":{"diagnostics":[{"id":"d', CAST(user_id % 7 AS STRING), '","filePath":"a.ts","line":5,"column":2,"severity":"error","rule":"r","message":"m","hasFix":true},{"severity":"odd"}]}}') WHEN 1 THEN 'no json' WHEN 2 THEN '{"details":{}}' END"""
+_NO_ID = """sha256('{"file_path":"","line":0,"col":0,"severity":"warning","rule":"","message":""}')"""
+_HARVEST_SQL = f"h AS (SELECT CAST(user_id AS VARCHAR) AS session_id, event_id AS seen, concat('d', user_id % 7) AS id, 'a.ts' AS file_path, 5 AS line, 'error' AS severity, true AS has_fix FROM events WHERE event_id % 4 = 0 UNION ALL SELECT CAST(user_id AS VARCHAR), event_id, {_NO_ID}, '', 0, 'warning', false FROM events WHERE event_id % 4 = 0)"
+
+
+def _harvested(spark, sf_dir) -> DataFrame:
+    return lifecycle.harvest(table(spark, sf_dir, "events").selectExpr("CAST(user_id AS STRING) AS session_id", "event_id AS seq", f"{_PAYLOADS} AS payload"))
+
+
+@query(f"WITH {_HARVEST_SQL} SELECT * FROM h")
+def harvest_results(spark, sf_dir):
+    return _harvested(spark, sf_dir).select("session_id", "seen", "id", "file_path", "line", "severity", "has_fix")
+
+
+@query(f"""WITH {_HARVEST_SQL}, o AS (SELECT session_id, id, CASE WHEN CAST(session_id AS BIGINT) % 2 = 0 THEN 'resolved' ELSE 'emitted' END AS status, min(seen) AS first_seen, min(seen) AS last_seen FROM h WHERE seen % 8 = 0 GROUP BY session_id, id),
+n AS (SELECT session_id, id, min(seen) AS first_seen, max(seen) AS last_seen FROM h WHERE seen % 16 = 4 GROUP BY session_id, id)
+SELECT coalesce(o.session_id, n.session_id) AS session_id, coalesce(o.id, n.id) AS id, CASE WHEN n.id IS NOT NULL THEN 'emitted' ELSE o.status END AS status, least(coalesce(o.first_seen, n.first_seen), coalesce(n.first_seen, o.first_seen)) AS first_seen, greatest(coalesce(o.last_seen, n.last_seen), coalesce(n.last_seen, o.last_seen)) AS last_seen FROM o FULL JOIN n ON o.session_id = n.session_id AND o.id = n.id""")
+def revive_records(spark, sf_dir):
+    h = _harvested(spark, sf_dir)
+    old = h.filter("seen % 8 = 0").groupBy("session_id", "id").agg(F.min("seen").alias("first_seen"), F.min("seen").alias("last_seen")).withColumn("status", F.when(F.col("session_id").cast("long") % 2 == 0, "resolved").otherwise("emitted"))
+    return lifecycle.revive(old, h.filter("seen % 16 = 4"))
+
+
+@query(f"WITH {CODE_SQL}, f AS (SELECT file_path, CAST(CAST(regexp_extract(file_path, 'f([0-9]+)', 1) AS BIGINT) % 16 AS INTEGER) AS line, content FROM code), s AS (SELECT file_path, line, CASE WHEN line > 0 THEN regexp_replace(string_split(content, chr(10))[line], '\\s+$', '') END AS t FROM f) SELECT file_path, line, CASE WHEN t = '' THEN NULL WHEN len(t) > 120 THEN concat(t[1:119], '…') ELSE t END AS snippet FROM s")
+def finding_snippets(spark, sf_dir):
+    files = code(spark, sf_dir)
+    findings = files.select("file_path", (F.regexp_extract("file_path", "f([0-9]+)", 1).cast("long") % 16).cast("int").alias("line"))
+    return lifecycle.with_snippets(findings, files).select("file_path", "line", "snippet")
+
+
+_CONFIGS = """CASE p_partkey % 4 WHEN 0 THEN 'x{' WHEN 1 THEN '{"linters":[{"name":"eslint","format":"json","extensions":[".x"]},{"name":"own","format":"generic"}]}' WHEN 2 THEN '{"overrideDefaults":true,"linters":[{"name":"ruff","format":"json","extensions":[".py"]}]}' END"""
+_DEFAULT_NAMES = "unnest(['eslint', 'prettier', 'biome', 'ruff', 'black', 'clippy', 'rustfmt', 'golangci-lint', 'clang-tidy', 'rubocop', 'shellcheck', 'phpstan'])"
+
+
+@query(f"SELECT * FROM (SELECT p_partkey AS project, {_DEFAULT_NAMES} AS name, 'default' AS origin, p_partkey % 4 AS k FROM part WHERE p_partkey % 4 <> 2) WHERE NOT (k = 1 AND name = 'eslint') UNION ALL SELECT p_partkey, unnest(['eslint', 'own']), 'user', 1 FROM part WHERE p_partkey % 4 = 1 UNION ALL SELECT p_partkey, 'ruff', 'user', 2 FROM part WHERE p_partkey % 4 = 2")
+def config_json(spark, sf_dir):
+    p = table(spark, sf_dir, "part").selectExpr("p_partkey AS project", f"{_CONFIGS} AS config")
+    return config.configured(p).select("project", "name", "origin", (F.col("project") % 4).alias("k"))
+
+
+@query("WITH c(name, ext) AS (VALUES ('tsc', '.ts'), ('tsc', '.tsx'), ('tsc', '.mts'), ('tsc', '.cts'), ('mypy', '.py'), ('cargo-check', '.rs'), ('pyright', '.py'), ('pyright', '.pyi')), " + CODE_SQL + " SELECT file_path, name FROM code JOIN c ON suffix(file_path, ext)")
+def checker_applicability(spark, sf_dir):
+    return config.applicable(code(spark, sf_dir), config.tools(spark, config.CHECKERS))
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS name FROM part WHERE p_partkey % 3 = 0")
+def tool_availability(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("name"), "p_partkey")
+    return config.available(p.select("name"), p.filter("p_partkey % 3 = 0").select("name"))
+
+
+@query("WITH v AS (SELECT o_orderkey, CAST(o_orderkey % 13 AS INT) AS a, (o_orderkey % 80) / 10.0 AS ea FROM orders) SELECT CAST(o_orderkey AS VARCHAR) AS file_path, 'sievecast/deep-nesting' AS rule, CASE WHEN a > 10 THEN 'error' ELSE 'warning' END AS severity FROM v WHERE a > 6 UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'sievecast/high-entropy', 'info' FROM v WHERE ea > 6.5")
+def absolute_facts(spark, sf_dir):
+    v = table(spark, sf_dir, "orders").selectExpr("CAST(o_orderkey AS STRING) AS file_path", "CAST(o_orderkey % 13 AS INT) AS nesting_after", "CAST(0 AS INT) AS nesting_before", "(o_orderkey % 80) / 10.0 AS entropy_after", "0.0 AS entropy_before")
+    return rules.crossing_facts(v, absolute=True)
+
+
+_LINT = "CAST(CAST(regexp_extract(file_path, 'f([0-9]+)', 1) AS BIGINT) % 20 AS INT)"
+
+
+@query(f"WITH {_CHANGED}, l AS (SELECT file_path, before, {_LINT} AS line FROM edits) SELECT l.file_path, l.line FROM l LEFT JOIN changed c ON l.file_path = c.file_path AND l.line = c.line WHERE before = '' OR l.line = 0 OR c.line IS NOT NULL")
+def lint_new(spark, sf_dir):
+    e = edits(spark, sf_dir)
+    return diff.new_lint(e.selectExpr("file_path", f"{_LINT} AS line"), e)
+
+
+@query(f"WITH {CODE_SQL}, k AS (SELECT file_path, CAST(regexp_extract(file_path, 'f([0-9]+)', 1) AS BIGINT) AS k FROM code) SELECT file_path, concat('r', k % 5) AS rule FROM k WHERE k % 5 <> k % 4")
+def file_level_filter(spark, sf_dir):
+    k = F.regexp_extract("file_path", "f([0-9]+)", 1).cast("long")
+    files = code(spark, sf_dir).select("file_path", k.alias("k"))
+    matches = files.select("file_path", F.lit(0).alias("line"), F.concat(F.lit("r"), F.col("k") % 5).alias("rule"))
+    before = files.select("file_path", F.concat(F.lit("r"), F.col("k") % 4).alias("rule"))
+    return diff.new_matches(matches, edits(spark, sf_dir), before).select("file_path", "rule")
+
+
+@query(f"WITH {DIAGNOSTICS_SQL} SELECT id, touched_start >= 0 AND line BETWEEN touched_start AND touched_end AS inside FROM d")
+def line_in_range(spark, sf_dir):
+    return diagnostics(spark, sf_dir).select("id", ((F.col("touched_start") >= 0) & text.in_range(F.col("line"), F.col("touched_start"), F.col("touched_end"))).alias("inside"))
+
+
+@query(f"WITH {DIAGNOSTICS_SQL} SELECT file_path, 'biome' AS tool, line, col, severity, rule, message FROM d UNION ALL SELECT file_path, 'mypy', line, col, CASE severity WHEN 'info' THEN 'info' WHEN 'warning' THEN 'warning' ELSE 'error' END, rule, message FROM d")
+def parse_dispatch(spark, sf_dir):
+    biome = _output(spark, sf_dir, "biome", "json", F.to_json(F.struct(_list("line", F.col("col").alias("column"), "severity", "rule", "message").alias("issues"))))
+    kind = F.when(F.col("severity") == "info", "note").otherwise(F.col("severity"))
+    mypy = _output(spark, sf_dir, "mypy", "mypy-json", F.to_json(_list(kind.alias("severity"), F.col("rule").alias("code"), "line", F.col("col").alias("column"), "message")))
+    return parsers.parse(biome.unionByName(mypy)).drop("has_fix")

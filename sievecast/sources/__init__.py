@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 #: Folders that hold no sources of one's own, and extensions of source files.
 SKIPPED_FOLDERS = ("node_modules", ".git", ".pi", ".next", ".nuxt", ".cache", "dist", "build", "coverage", ".vscode", ".idea")
 EXTENSIONS = ("ts", "tsx", "js", "jsx", "mjs", "cjs", "py", "rs", "go", "java", "cpp", "cc", "cxx", "c", "h", "hpp", "rb", "php", "cs", "swift", "kt", "scala", "sh", "bash", "zsh", "css", "scss", "less", "json", "jsonc", "yaml", "yml", "toml", "md", "mdx", "html", "vue", "svelte", "lean")
+#: Lock files.
 LOCK_FILES = ("package-lock.json", "yarn.lock", "pnpm-lock.yaml", "bun.lockb", "Cargo.lock", "poetry.lock", "Gemfile.lock", "composer.lock")
 SYNTAX_EXTENSIONS = ("ts", "tsx", "js", "jsx", "mjs", "cjs")
 LONGEST, SNIFFED = 256_000, 8_192
@@ -42,10 +43,16 @@ def guarded(files: DataFrame) -> DataFrame:
     return files.filter(~skip_by_path(F.col("file_path"))).filter(~skip_by_content(F.col("content")))
 
 
-def read_directory(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
-    """``file_path, content`` of the source files below a folder; the first ``most`` by path if given. Bytes that aren't UTF-8 are replaced."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).load(path)
-    files = raw.filter(is_source(F.col("path"))).select(F.col("path").alias("file_path"), "content")
+def read_directory(spark: SparkSession, path: str, most: int | None = None, longest: int = 4 * LONGEST) -> DataFrame:
+    """``file_path, content`` of the source files below a folder; the first ``most`` by path if given. Bytes that aren't UTF-8 are replaced.
+
+    Paths and lengths are listed first, without contents; files of more than ``longest`` bytes (four a code
+    point of the guard's limit) are not read. A file that is listed but cannot be read has a null content, which
+    a summary counts as a warning.
+    """
+    source = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
+    listed = source.load(path).filter(F.col("length") <= longest).select(F.col("path").alias("file_path")).filter(is_source(F.col("file_path")) & ~skip_by_path(F.col("file_path")))
     if most is not None:
-        files = files.orderBy("file_path").limit(most)
-    return files.withColumn("content", F.decode("content", "UTF-8"))
+        listed = listed.orderBy("file_path").limit(most)
+    contents = source.load(path).filter(F.col("length") <= longest).filter(is_source(F.col("path"))).select(F.col("path").alias("file_path"), F.decode("content", "UTF-8").alias("content"))
+    return listed.join(contents, "file_path", "left")

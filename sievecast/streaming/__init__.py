@@ -10,16 +10,23 @@ from pyspark.sql import functions as F
 
 SCHEMA = "session_id string, seq long, turn int, active long, resolved long, report string"
 _STATE = "turn int, preamble boolean, active array<string>, resolved array<string>, pending boolean"
+#: After so long without an event, a session's state goes.
+IDLE_MS = 6 * 3600 * 1000
 PREAMBLE = "Diagnostics of your last edits follow."
 
 
 def _one(key: tuple[str], rows: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     """One session's events in the order of seq. Emits a report at each ``context`` that has something pending."""
+    if state.hasTimedOut:
+        state.remove()
+        return
     events = pd.concat(list(rows)).sort_values("seq")
+    ended = False
     turn, said, active, resolved, pending = state.get if state.exists else (0, False, [], [], False)
     active, resolved, out = dict.fromkeys(active), list(resolved), []
     for e in events.itertuples(index=False):
-        if e.kind == "session_start":
+        ended = e.kind == "session_end"
+        if e.kind in ("session_start", "session_end"):
             turn, said, active, resolved, pending = 0, False, {}, [], False
         elif e.kind == "tool_execution_end":
             own = {i for i in active if i.split("|", 1)[0] == e.file_path}
@@ -34,7 +41,11 @@ def _one(key: tuple[str], rows: Iterator[pd.DataFrame], state) -> Iterator[pd.Da
             text = f"Active: {len(active)}, resolved: {len(resolved)}"
             out.append((key[0], e.seq, turn, len(active), len(resolved), text if said else f"{PREAMBLE}\n{text}"))
             said, pending, resolved = True, False, []
-    state.update((turn, said, list(active), resolved, pending))
+    if ended:
+        state.remove()
+    else:
+        state.update((turn, said, list(active), resolved, pending))
+        state.setTimeoutDuration(IDLE_MS)
     yield pd.DataFrame(out, columns=["session_id", "seq", "turn", "active", "resolved", "report"])
 
 
@@ -42,11 +53,30 @@ def session_reports(events: DataFrame) -> DataFrame:
     """Events (session_id, seq, kind, file_path, ids) of a stream -> one report for each ``context`` after a change.
 
     State is kept by session and bounded by its open diagnostics; a session's resolved ones go with the
-    report that names them. Events of one micro-batch are taken in the order of seq.
+    report that names them. Events of one micro-batch are taken in the order of seq. The state of a session
+    goes when it ends, or after IDLE_MS without an event.
     """
-    return events.groupBy("session_id").applyInPandasWithState(_one, SCHEMA, _STATE, "append", "NoTimeout")
+    return events.groupBy("session_id").applyInPandasWithState(_one, SCHEMA, _STATE, "append", "ProcessingTimeTimeout")
 
 
 def event_counts(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Events with a timestamp by window and kind; late ones are dropped after the watermark."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", window), "kind").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "kind", "n")
+
+
+def first_writes(events: DataFrame, late: str = "2 hours") -> DataFrame:
+    """``session_id, turn, file_path, content, ts`` of a stream of events: what each file was at a turn's first edit of it. Its keys are forgotten once the watermark has passed."""
+    edits = events.filter((F.col("kind") == "tool_call") & F.col("tool_name").isin("edit", "write"))
+    return edits.withWatermark("ts", late).dropDuplicatesWithinWatermark(["session_id", "turn", "file_path"]).select("session_id", "turn", "file_path", "content", "ts")
+
+
+def pending_files(events: DataFrame) -> DataFrame:
+    """``session_id, file_path, n, last_seq`` of files whose edits wait for their checks, as a queue that each batch of a stream updates (output mode update): edits count up, a check takes the file out (n = 0)."""
+    kinds = events.filter(F.col("kind").isin("tool_execution_end", "checked"))
+    g = kinds.groupBy("session_id", "file_path").agg(F.max("seq").alias("last_seq"), F.max(F.when(F.col("kind") == "checked", F.col("seq"))).alias("_checked"), F.count_if(F.col("kind") == "tool_execution_end").alias("_edits"))
+    return g.select("session_id", "file_path", F.when(F.coalesce("_checked", F.lit(-1)) >= F.col("last_seq"), 0).otherwise(F.col("_edits")).alias("n"), "last_seq")
+
+
+def write_batches(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"):
+    """Start a query that writes each micro-batch of a stream as Parquet below ``path``, in a folder of the batch's number, so that a batch that runs again replaces itself."""
+    return stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}")).start()
