@@ -558,11 +558,11 @@ _REPORTED = "r AS (SELECT session_id, id, concat('src/g', CAST(CAST(split_part(i
 @query(
     f"""WITH {_SCORES}, {_REPORTED.format("scored")},
 a AS (SELECT *, row_number() OVER (PARTITION BY session_id, file_path ORDER BY score DESC, line, id) AS k, count(*) OVER (PARTITION BY session_id, file_path) AS n FROM r WHERE status <> 'resolved'),
-s AS (SELECT session_id, file_path, max(score) AS best, concat(chr(10), chr(10), file_path, ' (', max(n), CASE WHEN max(n) = 1 THEN ' issue)' ELSE ' issues)' END,
+sec AS (SELECT session_id, file_path, max(score) AS best, concat(chr(10), chr(10), file_path, ' (', max(n), CASE WHEN max(n) = 1 THEN ' issue)' ELSE ' issues)' END,
   string_agg(concat(chr(10), '- [', CASE severity WHEN 'error' THEN 'ERROR' WHEN 'warning' THEN 'WARN' WHEN 'info' THEN 'INFO' ELSE 'HINT' END, '] ', CASE WHEN line > 0 THEN concat('line ', line) ELSE 'whole file' END, ' — ', message, ' [', rule, ']',
     CASE WHEN snippet IS NOT NULL THEN concat(chr(10), '    ', snippet) ELSE '' END, CASE WHEN fix IS NOT NULL THEN concat(chr(10), '    Fix: ', fix) ELSE '' END), '' ORDER BY k),
   CASE WHEN max(n) > 20 THEN concat(chr(10), '- …and ', max(n) - 20, ' more in this file') ELSE '' END) AS section FROM a WHERE k <= 20 GROUP BY session_id, file_path),
-f AS (SELECT session_id, string_agg(section, '' ORDER BY best DESC, file_path) AS files FROM s GROUP BY session_id),
+f AS (SELECT session_id, string_agg(section, '' ORDER BY best DESC, file_path) AS files FROM sec GROUP BY session_id),
 g AS (SELECT session_id, string_agg(concat(chr(10), '- ', file_path, CASE WHEN line > 0 THEN concat(':', line) ELSE '' END, ' — ', message, ' [', rule, ']'), '' ORDER BY k) AS gone FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY last_seen DESC, id) AS k FROM r WHERE status = 'resolved') WHERE k <= 10 GROUP BY session_id),
 x AS (SELECT session_id, string_agg(concat(file_path, ' (eslint+', rule, ')'), ', ' ORDER BY file_path, rule) AS fixes FROM (SELECT DISTINCT session_id, file_path, rule FROM r WHERE fix IS NOT NULL AND CAST(session_id AS BIGINT) % 2 = 0) GROUP BY session_id),
 c AS (SELECT session_id, count(*) FILTER (status <> 'resolved') AS n, count(*) FILTER (status = 'resolved') AS r, count(*) FILTER (status <> 'resolved' AND severity = 'error') AS e, count(*) FILTER (status <> 'resolved' AND severity = 'warning') AS w, count(*) FILTER (status <> 'resolved' AND severity = 'info') AS i, count(*) FILTER (status <> 'resolved' AND severity = 'hint') AS h FROM r GROUP BY session_id)

@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 SCHEMA = "session_id string, seq long, turn int, active long, resolved long, report string"
 _STATE = "turn int, preamble boolean, active array<string>, resolved array<string>, pending boolean"
-#: After so long without an event, a session's state goes.
+#: A session without an event for so long may be given up.
 IDLE_MS = 6 * 3600 * 1000
 PREAMBLE = "Diagnostics of your last edits follow."
 
 
-def _one(key: tuple[str], rows: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+def _one(key: tuple[str], rows: Iterator[pd.DataFrame], state, idle_ms: int | None = None) -> Iterator[pd.DataFrame]:
     """One session's events in the order of seq. Emits a report at each ``context`` that has something pending."""
     if state.hasTimedOut:
         state.remove()
@@ -45,18 +45,21 @@ def _one(key: tuple[str], rows: Iterator[pd.DataFrame], state) -> Iterator[pd.Da
         state.remove()
     else:
         state.update((turn, said, list(active), resolved, pending))
-        state.setTimeoutDuration(IDLE_MS)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
     yield pd.DataFrame(out, columns=["session_id", "seq", "turn", "active", "resolved", "report"])
 
 
-def session_reports(events: DataFrame) -> DataFrame:
+def session_reports(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """Events (session_id, seq, kind, file_path, ids) of a stream -> one report for each ``context`` after a change.
 
     State is kept by session and bounded by its open diagnostics; a session's resolved ones go with the
     report that names them. Events of one micro-batch are taken in the order of seq. The state of a session
-    goes when it ends, or after IDLE_MS without an event.
+    goes when it ends, and with ``idle_ms`` (IDLE_MS suits) also after so long without an event, for which the
+    query then looks at every trigger.
     """
-    return events.groupBy("session_id").applyInPandasWithState(_one, SCHEMA, _STATE, "append", "ProcessingTimeTimeout")
+    run = lambda key, rows, state: _one(key, rows, state, idle_ms)
+    return events.groupBy("session_id").applyInPandasWithState(run, SCHEMA, _STATE, "append", "ProcessingTimeTimeout" if idle_ms else "NoTimeout")
 
 
 def event_counts(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
