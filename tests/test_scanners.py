@@ -38,7 +38,11 @@ def plain_catches(source):
     out, i = [], 0
     while (at := source.find("catch", i)) >= 0:
         i = at + 5
-        if source[at - 1 : at].isalpha() or source[i : i + 1].isalpha() or source[i : i + 1] != "{":
+        if source[max(0, at - 1) : at].isalpha() or source[i : i + 1].isalpha():
+            continue
+        while source[i : i + 1] == " ":
+            i += 1
+        if source[i : i + 1] != "{":
             continue
         depth, code, i = 1, False, i + 1
         while i < len(source) and depth:
