@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import returning, table
 
 K, SCALE, EVERY = 10, 1024, 100
-#: Rows of one index, and queries that run against it in one task.
-INDEX_ROWS, QUERY_ROWS = 8192, 4096
+#: Rows of one index.
+INDEX_ROWS = 1 << 15
 #: Impacts are quantised to at most this many levels a dimension.
 LEVELS = 32
 #: The proof to stop is tried after each of so many equal shares of the postings.
@@ -87,7 +89,7 @@ class ImpactIndex:
         return possible[best], scores[best]
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE, index_rows: int = INDEX_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE, index_rows: int = INDEX_ROWS) -> DataFrame:
     """``query_id, rank, vec_id, score``: of each row of ``queries`` the k best rows of ``vectors`` (both vec_id, embedding).
 
     Components become ``floor(scale * x)``; the score is the integer inner product, ties go to the
@@ -97,35 +99,49 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCAL
     by ``query_id``, as in the SQL: rows of ``queries`` that share an id share its k ranks, with all their candidates. Extra
     columns are ignored; an empty table gives an empty one. Scores must fit in 62 bits.
 
-    Rows are dealt into indexes of some ``index_rows``, queries into blocks of some ``query_rows``; each
-    index meets each block in one task, and passes on k rows a query. A row is sent once for each block
-    of queries, so one time for up to ``query_rows`` of them.
+    Rows are dealt into indexes of some ``index_rows``. An index is built once, from the rows that come
+    first in its group; the queries that follow stream through it and leave k rows each. Every query is
+    sent to every index, every row to one. While there are fewer indexes than cores, queries are dealt
+    over several copies of each, so that all cores search.
     """
     whole = F.transform("embedding", lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("long"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x))
     take = lambda df: df.filter(F.col("vec_id").isNotNull() & F.coalesce(finite, F.lit(False)) & (F.size("embedding") > 0)).select("vec_id", whole.alias("v"))
     rows, asked = take(vectors), take(queries)
-    indexes, blocks = max(1, -(-rows.count() // index_rows)), max(1, -(-asked.count() // query_rows))
+    indexes = max(1, -(-rows.count() // index_rows))
+    copies = max(1, -(-vectors.sparkSession.sparkContext.defaultParallelism // indexes))
     everywhere = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    rows = rows.select("vec_id", "v", F.size("v").alias("width"), F.pmod(F.xxhash64("vec_id", "v"), F.lit(indexes)).cast("long").alias("index"), everywhere(blocks).alias("block"))
-    asked = asked.select("vec_id", "v", F.size("v").alias("width"), everywhere(indexes).alias("index"), F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("long").alias("block"))
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-
-    def run(some: pa.Table, wanted: pa.Table) -> pa.Table:
-        def arrays(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-            flat = t["v"].combine_chunks().flatten().to_numpy()
-            return t["vec_id"].to_numpy(), flat.reshape(t.num_rows, -1)
-
-        if not some.num_rows or not wanted.num_rows:
-            return schema.empty_table()
-        index, out = ImpactIndex(*arrays(some)), []
-        for own, query in zip(*arrays(wanted), strict=True):
-            found, scores = index.search(own, query, k)
-            out.append((np.full(len(found), own), index.ids[found], scores))
-        return pa.Table.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out, strict=True)], schema=schema)
-
-    keys = ["width", "index", "block"]
-    found = rows.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(run, "query_id long, vec_id long, score long")
+    dealt = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)).cast("long")
+    rows = rows.select(F.size("v").alias("width"), dealt(indexes).alias("index"), everywhere(copies).alias("copy"), F.lit(0).alias("asks"), "vec_id", "v")
+    asked = asked.select(F.size("v").alias("width"), everywhere(indexes).alias("index"), dealt(copies).alias("copy"), F.lit(1).alias("asks"), "vec_id", "v")
+    keys = ["width", "index", "copy"]
+    both = rows.unionByName(asked).repartition(*keys).sortWithinPartitions(*keys, "asks")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = index = None
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for b in batches:
+            columns = np.column_stack([c.to_numpy().astype(np.int64) for c in b.columns[:4]])
+            ids = b.column(4).to_numpy()
+            cuts = np.flatnonzero((columns[1:] != columns[:-1]).any(axis=1)) + 1
+            for first, last in zip(np.r_[0, cuts], np.r_[cuts, len(ids)], strict=True):
+                if first == last:
+                    continue
+                own, asks = tuple(columns[first, :3]), columns[first, 3]
+                if own != key:
+                    key, index, held = own, None, []
+                flat = b.column(5).slice(first, last - first).flatten().to_numpy().reshape(last - first, -1)
+                if not asks:
+                    held.append((ids[first:last], flat))
+                    continue
+                if index is None and held:
+                    index, held = ImpactIndex(*(np.concatenate(x) for x in zip(*held, strict=True))), []
+                if index is not None:
+                    found = [(own_id, *index.search(own_id, query, k)) for own_id, query in zip(ids[first:last], flat, strict=True)]
+                    sizes = [len(x) for _, x, _ in found]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat([q for q, _, _ in found], sizes).astype(np.int64)), pa.array(index.ids[np.concatenate([x for _, x, _ in found])]), pa.array(np.concatenate([x for _, _, x in found]))], names=["query_id", "vec_id", "score"])
+
+    found = both.mapInArrow(returning(run), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
