@@ -13,18 +13,20 @@ from pyspark.sql import functions as F
 from .common import materialize, table
 from .components import connected_components
 
-COSINE, TREES, LEAF = 0.98, 4, 256
-#: Vectors that the trees' directions and cuts are fitted on, at most; all vectors are dealt to leaves.
+COSINE, TREES, LEAF = 0.98, 4, 1024
+#: Vectors that the trees' directions and first cuts are fitted on, at most; all vectors are dealt to leaves.
 FIT_ROWS = 50_000
-#: A node that fewer of those reach is a leaf.
+#: A node that fewer of those reach is not cut by them; deeper cuts are at a median of what they would have been.
 LEAST_ROWS = 8
+#: Half the overlap at a cut, in deviations of a just-linked pair's difference along a random direction.
+SPILL = 0.5
 #: Rows of a leaf that are compared as one block; larger leaves are pairs of blocks, in as many tasks.
 BLOCK = 1024
 
 
 @dataclass
 class Tree:
-    """A heap of nodes: children of i are 2i + 1 and 2i + 2. A node without direction is a leaf."""
+    """A heap of nodes: children of i are 2i + 1 and 2i + 2. ``direction`` is by level; a node that is not ``inner`` is a leaf."""
 
     direction: np.ndarray
     cut: np.ndarray
@@ -33,33 +35,42 @@ class Tree:
 
     def leaves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) of unit vectors; a row within ``spill`` of a cut goes down both sides."""
-        row, node = np.arange(len(x)), np.zeros(len(x), np.int64)
+        row, node, level = np.arange(len(x)), np.zeros(len(x), np.int64), 0
+        along = x @ self.direction.T
         out_row, out_node = [], []
         while len(row):
             done = ~self.inner[node]
             out_row.append(row[done])
             out_node.append(node[done])
             row, node = row[~done], node[~done]
-            side = np.einsum("ij,ij->i", x[row], self.direction[node]) - self.cut[node]
+            if not len(row):
+                break
+            side = along[row, level] - self.cut[node]
+            level += 1
             left, right = side < self.spill, side >= -self.spill
             row, node = np.r_[row[left], row[right]], np.r_[2 * node[left] + 1, 2 * node[right] + 2]
         return np.concatenate(out_row) if out_row else row, np.concatenate(out_node) if out_node else node
 
 
 def grow(sample: np.ndarray, depth: int, spill: float, seed: int) -> Tree:
-    """Recursive splits at the median of a random direction. A node that too few sample rows reach, or that no cut divides, is a leaf."""
+    """Recursive splits at the median of a random direction, one direction a level and tree.
+
+    The sample sets the cuts, not the depth: where fewer than 2 * LEAST_ROWS of its rows reach a node, the cut is
+    the median of the nearest ancestor's rows. So leaves stay small however many vectors there are.
+    """
     draw, n, d = np.random.default_rng(seed), 2 ** (depth + 1) - 1, sample.shape[1]
-    tree = Tree(np.zeros((n, d), np.float64), np.zeros(n), np.zeros(n, bool), spill)
+    direction = draw.normal(size=(max(1, depth), d))
+    tree = Tree(direction / np.linalg.norm(direction, axis=1, keepdims=True), np.zeros(n), np.zeros(n, bool), spill)
     members = {0: sample}
     for node in range(2**depth - 1):
-        own = members.pop(node, None)
-        if own is None or len(own) < 2 * LEAST_ROWS:
+        own = members.pop(node)
+        if not len(own):
             continue
-        direction = draw.normal(size=d)
-        tree.direction[node] = direction / np.linalg.norm(direction)
-        p = own @ tree.direction[node]
+        p = own @ tree.direction[(node + 1).bit_length() - 1]
         tree.cut[node], tree.inner[node] = np.median(p), True
-        members[2 * node + 1], members[2 * node + 2] = own[p < tree.cut[node]], own[p >= tree.cut[node]]
+        below = own[p < tree.cut[node]], own[p >= tree.cut[node]]
+        for child, rows in zip((2 * node + 1, 2 * node + 2), below, strict=True):
+            members[child] = rows if len(rows) >= LEAST_ROWS else own
     return tree
 
 
@@ -173,10 +184,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, trees: int = TRE
     different lengths. ``n_links`` counts linked rows, ``component_id`` is the smallest ``vec_id``
     reachable by links, itself included; ``kept`` if that is the row's own.
 
-    The trees' cuts are fitted on at most ``fit_rows`` vectors; every vector is dealt to leaves. The spill
-    is two deviations of a just-linked pair's difference along a random direction, so one cut parts such
-    a pair with a chance under 0.2 %, and a link is lost only where all trees part it. Found pairs are
-    verified exactly. Leaves above ``block`` rows are compared block by block, in a task each.
+    The trees' cuts are fitted on at most ``fit_rows`` vectors; every vector is dealt to leaves, and the trees
+    are as deep as the vectors need. The overlap at a cut is a deviation of a just-linked pair's difference
+    along a random direction, so one cut parts such a pair with a chance of some 1.5 %, and a link is
+    lost only where all trees part it. Found pairs are verified exactly. Leaves above ``block`` rows are compared block by block, in a task each.
     Exact copies are compared once: members of a group of equal vectors link all with all, and with
     what the one of them does. Repeated rows (equal ids) are copies like others and come out as often;
     null ids link but name no component. Extra columns are ignored; an empty table gives an empty one.
@@ -192,8 +203,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, trees: int = TRE
     width = max((len(v) for v in sample), default=1)
     x = np.array([v for v in sample.to_pylist() if len(v) == width], np.float64).reshape(-1, width)
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-    depth = int(np.clip(np.ceil(np.log2(max(1, largest / leaf))), 0, max(0, np.log2(max(1, len(x) / LEAST_ROWS)))))
-    spill = float(np.sqrt(2 - 2 * cosine) / np.sqrt(width))
+    depth = int(np.ceil(np.log2(max(1, largest / leaf))))
+    spill = float(SPILL * np.sqrt(2 - 2 * cosine) / np.sqrt(width))
     dealt = materialize(_dealt(good, [grow(x, depth, spill, t) for t in range(trees)]), "leaves")
     sizes = dealt.groupBy("label", "leaf").agg(F.count("*").alias("members")).filter("members > 1")
     sizes = sizes.select("label", "leaf", F.ceil(F.col("members") / block).cast("int").alias("blocks"))
