@@ -109,31 +109,27 @@ def _planes(fps: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64)
 
 
-def _lanes(words: np.ndarray, n: int) -> np.ndarray:
-    return np.flatnonzero(np.unpackbits(words.view(np.uint8), bitorder="little")[:n])
+def _close_lanes(planes: np.ndarray, words: np.ndarray, lanes: np.ndarray, step: int, radius: int) -> np.ndarray:
+    """Places i, of the lanes set in these words, whose fingerprint differs from that of i + step in at most ``radius`` bits.
 
-
-def _close_lanes(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
-    """Lanes i at which a[i] and b[i] differ in at most ``radius`` bits.
-
-    Distances of 64 lanes a word are counted with carry-save adders: one bitwise counter digit a
-    plane word, saturating in ``over``. After every few planes, words whose lanes all exceed the
-    radius are abandoned.
+    A plane against itself, shifted by ``step`` places, gives one bit of difference of 64 pairs a word.
+    Distances are counted with carry-save adders: a bitwise counter digit a word, saturating in ``over``.
+    After every few planes, words whose lanes all exceed the radius are abandoned.
     """
-    n = len(a)
-    diff = _planes(a ^ b)  # the difference of two bit planes is the plane of the differences
-    digits = max(1, radius.bit_length())
-    at = np.arange(diff.shape[1])
-    over = np.zeros(len(at), np.uint64)
-    if n % 64:
-        over[-1] = ~np.uint64((1 << (n % 64)) - 1)
+    skip, shift = divmod(step, 64)
+    last, digits = planes.shape[1] - 1, max(1, radius.bit_length())  # the last word of a plane is empty
+    near, far = np.minimum(words + skip, last), np.minimum(words + skip + 1, last)
+    at, over = np.arange(len(words)), ~lanes
     count = np.zeros((digits, len(at)), np.uint64)
-    for plane in range(64):
-        carry = diff[plane, at]
+    for k, plane in enumerate(planes):
+        carry = plane[near[at]] >> np.uint64(shift)
+        if shift:
+            carry |= plane[far[at]] << np.uint64(64 - shift)
+        carry ^= plane[words[at]]
         for d in range(digits):
             count[d], carry = count[d] ^ carry, count[d] & carry
         over |= carry
-        if plane % 6 == 5 or plane == 63:
+        if k % 6 == 5 or k == 63:
             above = np.zeros(len(at), np.uint64)  # count > radius, compared from the highest digit down
             equal = np.full(len(at), ~np.uint64(0))
             for d in reversed(range(digits)):
@@ -147,25 +143,28 @@ def _close_lanes(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
             if len(alive) < len(at):
                 at, over, count = at[alive], over[alive], count[:, alive]
             if not len(at):
-                return at
-    close = np.zeros(diff.shape[1], np.uint64)
-    close[at] = ~over
-    return _lanes(close, n)
+                break
+    word, lane = np.nonzero(np.unpackbits((~over).view(np.uint8), bitorder="little").reshape(-1, 64))
+    return words[at][word] * 64 + lane
 
 
 def close_pairs(keys: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs i < j of equal keys whose fingerprints link. ``keys`` is sorted.
 
-    Lane i of step s compares row i with row i + s; only rows whose bucket reaches that far take part.
+    The bit planes of all rows are made once. Step s compares each row with the one s places on; only
+    words with a row whose bucket reaches that far take part.
     """
     n = len(keys)
     new = np.r_[True, keys[1:] != keys[:-1]] if n else np.zeros(0, bool)
     end = np.r_[np.flatnonzero(new)[1:], n]
     left = np.repeat(end, np.diff(np.r_[np.flatnonzero(new), n])) - np.arange(n)  # rows from here to the bucket's end
+    planes = np.hstack([_planes(fps), np.zeros((64, 1), np.uint64)])
     found: list[tuple[np.ndarray, np.ndarray]] = []
     rows, step = np.flatnonzero(left > 1), 1
     while len(rows):
-        hit = rows[_close_lanes(fps[rows], fps[rows + step], radius)]
+        first = np.flatnonzero(np.r_[True, rows[1:] >> 6 != rows[:-1] >> 6])
+        lanes = np.bitwise_or.reduceat(np.uint64(1) << (rows & 63).astype(np.uint64), first)
+        hit = _close_lanes(planes, rows[first] >> 6, lanes, step, radius)
         found.append((hit, hit + step))
         step += 1
         rows = rows[left[rows] > step]
