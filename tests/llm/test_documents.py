@@ -250,3 +250,67 @@ def test_token_file_without_a_last_end(spark):
     blocks = spark.createDataFrame([("f", 0, 0, 3, [1]), ("f", 1, 3, 3, []), ("f", 2, 6, 3, [6]), ("g", 0, 0, 2, [0, 1])], "file string, block long, first long, tokens long, ends array<long>")
     got = {(r.file, r.ordinal, r.n_tokens) for r in tokenfiles.document_lengths(blocks).collect()}
     assert got == {("f", 0, 1), ("f", 1, 4), ("f", 2, 2), ("g", 0, 0), ("g", 1, 0)}
+
+
+def test_bit_planes_find_all_pairs():
+    """Buckets of many sizes, one of some thousands, against a plain count of differing bits."""
+    rng = np.random.default_rng(11)
+    keys = np.sort(rng.integers(0, 40, 3000) * (rng.random(3000) < 0.3))
+    fps = rng.choice(rng.integers(0, 1 << 63, 60, np.uint64), 3000) ^ (np.uint64(1) << rng.integers(0, 64, 3000).astype(np.uint64))
+    for radius in (0, 1, 2, 3):
+        i, j = simhash.close_pairs(keys, fps, radius)
+        want = {(a, a + 1 + b) for a in range(3000) for b in np.flatnonzero((np.bitwise_count(fps[a + 1 :] ^ fps[a]) <= radius) & (keys[a + 1 :] == keys[a])).tolist()}
+        assert len(i) == len(want) and set(zip(i.tolist(), j.tolist(), strict=True)) == want
+
+
+CLASHES = ("_key _bucket _source _inside _before _s _b w0 w1 target source_size mix_position mix_size position key bucket named before inside _id _hash _removed _text_hash digest removed stays root fp text_hash c0 c3 lang_pred score evidence held_out").split()
+
+
+def test_columns_of_any_name_stay(spark):
+    """Every name that the operators use inside, as a column of the input: values stay, and results are those without such columns."""
+    import corpus_pipeline
+
+    plain = [(i, f"the quick brown fox number {i // 2} jumps over the lazy dog\nline {i}", ("en", None)[i % 5 == 0], f"s{i % 3}") for i in range(30)] + [(None, None, "en", None), (None, "the end of it", "en", "s1")]
+    names = ["doc_id", "text", "lang", "source", *CLASHES]
+    with_clashes = spark.createDataFrame([(*r, *[f"{c}!"[:9] for c in CLASHES]) for r in plain], ", ".join(f"`{n}` {t}" for n, t in zip(names, ["long", "string", "string", "string"] + ["string"] * len(CLASHES), strict=True)))
+    alone = spark.createDataFrame(plain, "doc_id long, text string, lang string, source string")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got, want = stage(spark, with_clashes, SMALL), stage(spark, alone, SMALL)
+        assert got.columns == names, name
+        assert all(r[c] == f"{c}!"[:9] for r in got.collect() for c in CLASHES), name
+        assert Counter(tuple(r[:4]) for r in got.collect()) == Counter(tuple(r) for r in want.collect()), name
+
+
+def test_long_texts_in_parts():
+    """A text of many parts gives what it gives whole."""
+    rng = np.random.default_rng(12)
+    words = [bytes(rng.choice(list(b"abcdefgh"), rng.integers(1, 9)).astype(np.uint8)) for _ in range(400_000)]
+    text = b" ".join(words)
+    assert len(text) > 2 * simhash._BYTES_AT_ONCE
+    hashes = np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + 3]), 42) for i in range(len(words) - 2)], np.uint64)
+    want = sum(1 << b for b in range(64) if 2 * int((hashes >> np.uint64(b) & np.uint64(1)).sum()) > len(hashes))
+    assert int(simhash.fingerprints_of([text])[0]) == want
+    model = language.LanguageModel(("a", "b"), np.zeros(2), np.hstack([rng.normal(size=(2, 1 << 10)), np.zeros((2, 1))]).astype(np.float32))
+    logs, n = model.logs([text.decode(), "abc"])
+    whole, starts = language._grams([text.decode(), "abc"], np.array([len(text), 3]), model.orders, 1 << 10)
+    assert n.tolist() == [2 * len(text), 6]
+    assert np.allclose(logs, [sum(np.add.reduceat(own[h], starts, dtype=np.float64) for h in whole) for own in model.log_prob])
+
+
+def test_hot_segments(spark):
+    """Thousands of lines that share a segment are dealt again by two; no link is lost."""
+    rng = np.random.default_rng(13)
+    stem = "a segment that very many lines begin with: "
+    rest = ["".join(rng.choice(list("abcdefghij"), 84)) for _ in range(1500)]
+    twins = [x[:40] + "#" + x[41:] for x in rest[:50]]
+    df = spark.createDataFrame(list(enumerate(stem + x for x in rest + twins)), "doc_id long, text string")
+    removed = lines.repeated_lines(df, block=256).collect()
+    assert sorted(r.doc_id for r in removed) == list(range(1500, 1550))
+
+
+def test_language_rejects_what_no_language_explains(spark):
+    rng = np.random.default_rng(14)
+    known = [(i, f"the house number {i} and the garden with some flowers", "en") for i in range(300)]
+    noise = [(1000 + i, "".join(map(chr, rng.integers(0x3400, 0x9FFF, 60))), None) for i in range(10)]
+    kept = language.accepted(spark.createDataFrame(known + noise, "doc_id long, text string, lang string"))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(300))

@@ -37,7 +37,7 @@ def usable(v):
 
 def test_topk(spark, duck, odd_vectors):
     df = vectors(spark, odd_vectors)
-    got = topk.search(df, df.filter("vec_id % 10 = 0"), index_rows=50, query_rows=4).collect()
+    got = topk.search(df, df.filter("vec_id % 10 = 0"), index_rows=50).collect()
     whole = [(i, [math.floor(1024 * float(np.float32(x))) for x in v]) for i, v, _ in odd_vectors if i is not None and usable(v)]
     want = Counter()
     for q, v in whole:
@@ -85,6 +85,29 @@ def test_embedding_near_dedup(spark, duck, odd_vectors):
     assert spark_rows(out, columns) == duck_rows(duck, queries.ORACLE_SQL["op10_embedding_near_dedup"], columns)
 
 
+@pytest.mark.parametrize("depth", [5, 8, 11])
+def test_forest_recall_where_trees_split(depth):
+    """Just-linked pairs in 64 dimensions: few are parted by all trees, and the spill keeps the copies of a vector few."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(20_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    away = rng.normal(size=x.shape)
+    away -= (away * x).sum(axis=1, keepdims=True) * x
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    y = 0.9801 * x + (1 - 0.9801**2) ** 0.5 * away
+    spill = forest.SPILL * (2 - 2 * forest.COSINE) ** 0.5 / 8
+    together, copies = np.zeros(len(x), bool), 0
+    for seed in range(forest.TREES):
+        tree = forest.grow(x[:1000], depth, spill, seed)
+        leaves = [set(zip(*map(np.ndarray.tolist, tree.leaves(v)), strict=True)) for v in (x, y)]
+        together[[row for row, _ in leaves[0] & leaves[1]]] = True
+        copies += len(leaves[0]) / len(x)
+        sizes = np.bincount([leaf for _, leaf in leaves[0]])
+        assert sizes.max() < 3 * len(x) / 2 ** min(depth, 6)
+    assert together.mean() > 0.99
+    assert copies < 4 * 1.1**depth
+
+
 @pytest.fixture(scope="module")
 def coder():
     with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
