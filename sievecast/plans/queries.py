@@ -378,7 +378,10 @@ def report_header(spark, sf_dir):
     return report.header(diagnostics(spark, sf_dir), "session_id")
 
 
-@query()
+@query(
+    f"""WITH {_SCORES}, r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, line, id) AS k, count(*) OVER (PARTITION BY session_id) AS n FROM scored)
+SELECT session_id AS file_path, max(score) AS file_score, concat('### ', session_id, chr(10), string_agg(concat('- ', severity, CASE WHEN line > 0 THEN concat(' L', line) ELSE '' END, ': ', message, ' (', rule, ')'), chr(10) ORDER BY k), CASE WHEN max(n) > 20 THEN concat(chr(10), '+', max(n) - 20, ' more') ELSE '' END) AS section FROM r WHERE k <= 20 GROUP BY session_id"""
+)
 def report_sections(spark, sf_dir):
     return report.file_sections(_scored(spark, sf_dir).withColumn("file_path", F.col("session_id")))
 
