@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, materialize, starts_of, table, utf8
+from .common import fold, materialize, pieces_of, starts_of, table, utf8
 
 #: Word types are hashed to BUCKETS, their letter shapes to SHAPES; vectors have WIDTH dimensions, index vectors MARKS entries of +-1.
 BUCKETS, SHAPES, WIDTH, MARKS = 8192, 512, 64, 4
@@ -23,9 +23,24 @@ FIT_ROWS = 20_000
 THRESHOLD = 0.3
 _REMEMBERED = 600_000
 _WORDS_AT_ONCE = 1 << 17
-#: A word's shape: capitals, other letters (all bytes beyond ASCII too) and digits as one sign each, runs as one.
-_SIGNS = bytes(b"A"[0] if 65 <= c <= 90 else b"a"[0] if 97 <= c <= 122 or c > 127 else b"0"[0] if 48 <= c <= 57 else c for c in range(256))
-_RUN = re.compile(rb"(.)\1+", re.DOTALL)
+_RUN = re.compile(r"(.)\1+", re.DOTALL)
+
+
+class _Signs(dict):
+    """Code point -> its sign in a word's shape: capitals, other letters and digits of any script are one sign each, all else itself."""
+
+    def __missing__(self, c: int) -> str:
+        x = chr(c)
+        self[c] = "A" if x.isupper() else "a" if x.isalpha() else "0" if x.isdigit() else x
+        return self[c]
+
+
+_SIGNS = _Signs()
+
+
+def shape(word: bytes) -> bytes:
+    """Letters, capitals and digits as one sign each, runs as one: ``"Haus12"`` -> ``"Aa0"``."""
+    return _RUN.sub(r"\1", word.decode("utf-8", "replace").translate(_SIGNS)).encode()
 
 
 def _index_vectors(n: int, width: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,21 +72,33 @@ class WordIds:
             known.clear()
         for w in words:
             if w not in known:
-                known[w] = crc32(w.lower()) % BUCKETS * SHAPES + crc32(_RUN.sub(rb"\1", w.translate(_SIGNS))) % SHAPES
+                known[w] = crc32(w.lower()) % BUCKETS * SHAPES + crc32(shape(w)) % SHAPES
         return np.array(list(map(known.__getitem__, words)), np.int64)
 
 
 def _runs(column: pa.Array, ids: WordIds) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first text, end, word ids, words of each text) for some texts at a time."""
+    """(first text, end, word ids, words of each text) for texts of up to _WORDS_AT_ONCE words at a time, or one longer text."""
     parts, lengths, first = [], [], 0
-    texts = utf8(column)
-    for i, x in enumerate(texts):
-        own = ids(x.split())
-        parts.append(own)
-        lengths.append(len(own))
-        if sum(lengths) >= _WORDS_AT_ONCE or i + 1 == len(texts):
-            yield first, i + 1, np.concatenate(parts), np.array(lengths)
-            parts, lengths, first = [], [], i + 1
+    for i, x in enumerate(utf8(column)):
+        own = [ids(piece.split()) for piece in pieces_of(x)]
+        n = sum(map(len, own))
+        if parts and sum(lengths) + n > _WORDS_AT_ONCE:
+            yield first, i, np.concatenate(parts), np.array(lengths)
+            parts, lengths, first = [], [], i
+        parts += own
+        lengths.append(n)
+    if parts:
+        yield first, len(column), np.concatenate(parts), np.array(lengths)
+
+
+def _add_words(sums: np.ndarray, w: np.ndarray, lengths: np.ndarray, of_word: np.ndarray, of_shape: np.ndarray) -> None:
+    """Add the vectors of each text's words and shapes to its row, so many words at a time."""
+    text, cut = np.repeat(np.arange(len(lengths)), lengths), of_word.shape[1]
+    for c in range(0, len(w), _WORDS_AT_ONCE):
+        some, of = w[c : c + _WORDS_AT_ONCE], text[c : c + _WORDS_AT_ONCE]
+        starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+        sums[of[starts], :cut] += np.add.reduceat(of_word[some // SHAPES], starts, axis=0)
+        sums[of[starts], cut:] += np.add.reduceat(of_shape[some % SHAPES], starts, axis=0)
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
@@ -91,9 +118,11 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
                 bucket = w // SHAPES
                 inside = np.ones(len(w), bool)
                 inside[starts_of(lengths)[lengths > 0]] = False
-                right = np.flatnonzero(inside)
-                one, other = np.r_[bucket[right - 1], bucket[right]], np.r_[bucket[right], bucket[right - 1]]
-                total += np.bincount((one[:, None] * WIDTH + at[other]).ravel(), sign[other].ravel(), BUCKETS * WIDTH)
+                inner = np.flatnonzero(inside)
+                for c in range(0, len(inner), _WORDS_AT_ONCE):
+                    right = inner[c : c + _WORDS_AT_ONCE]
+                    one, other = np.r_[bucket[right - 1], bucket[right]], np.r_[bucket[right], bucket[right - 1]]
+                    total += np.bincount((one[:, None] * WIDTH + at[other]).ravel(), sign[other].ravel(), BUCKETS * WIDTH)
         if any_text:
             size = rows * WIDTH
             cuts = range(0, len(total), size)
@@ -122,10 +151,7 @@ def pooled(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
             doc_ids = b.column(0).cast(pa.int64())
             for first, end, w, lengths in _runs(b.column(1), ids):
                 sums = np.zeros((len(lengths), WIDTH + OWN_WIDTH + SHAPE_WIDTH), np.float64)
-                if len(w):
-                    some = lengths > 0
-                    starts = starts_of(lengths)[some]
-                    sums[some] = np.hstack([np.add.reduceat(of_word[w // SHAPES], starts, axis=0), np.add.reduceat(shapes[w % SHAPES], starts, axis=0)])
+                _add_words(sums, w, lengths, of_word, shapes)
                 sums /= np.maximum(lengths, 1)[:, None]
                 repeats = np.linalg.norm(sums[:, WIDTH : WIDTH + OWN_WIDTH], axis=1) / MARKS**0.5
                 f = np.column_stack([sums[:, :WIDTH], sums[:, WIDTH + OWN_WIDTH :], repeats, repeats**2, np.log1p(lengths)]).astype(np.float32)
@@ -191,7 +217,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, thre
 
     Word vectors come from all texts. The network is fitted on labelled rows whose ``crc32(doc_id)``
     modulo 5 is not 0, at most ``rows`` of them (those first by a hash of their id); a null or
-    contradictory label teaches nothing. Texts alone make a score: null texts count as empty, empty ones
+    contradictory label teaches nothing; of an id with several texts the least features count. Texts alone make a score: null texts count as empty, empty ones
     get a score as well. Rows that repeat come out as often; other columns are ignored; with nothing
     to learn from, scores are the share of label 1, or a half; an empty table gives an empty one.
     """
@@ -200,7 +226,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, thre
     usable = labels.select("doc_id", "quality").filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (fold("doc_id", 5) != 0))
     usable = usable.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("_most")).filter("quality = _most")
     sample = usable.select("doc_id", "quality").join(features.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    fitted = features.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality").agg(F.first("features").alias("features")).toPandas().sort_values("doc_id")
+    fitted = features.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality").agg(F.min("features").alias("features")).toPandas().sort_values("doc_id")
     x = np.array(fitted["features"].to_list(), np.float64).reshape(len(fitted), -1) if len(fitted) else np.zeros((0, WIDTH + SHAPE_WIDTH + 3))
     shared = docs.sparkSession.sparkContext.broadcast(fit(x, fitted["quality"].to_numpy(np.float64)))
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])

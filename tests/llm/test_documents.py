@@ -238,6 +238,76 @@ def test_quality(spark, docs, empty):
     assert constant == {0.5}
 
 
+def brute_quality_features(texts):
+    """Neighbours' index vectors summed word by word, then plain means over each text's words."""
+    def index(n, width, seed):
+        at, sign = quality._index_vectors(n, width, seed)
+        out = np.zeros((n, width))
+        for i in range(n):
+            out[i, at[i]] = sign[i]
+        return out
+
+    def bucket(w):
+        return crc32(w.lower()) % quality.BUCKETS
+
+    marks, vectors = index(quality.BUCKETS, quality.WIDTH, 1), np.zeros((quality.BUCKETS, quality.WIDTH))
+    for words in texts:
+        for a, b in zip(words, words[1:]):
+            vectors[bucket(a)] += marks[bucket(b)]
+            vectors[bucket(b)] += marks[bucket(a)]
+    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
+    of_shape, own = index(quality.SHAPES, quality.SHAPE_WIDTH, 2), index(quality.BUCKETS, quality.OWN_WIDTH, 3)
+    for words in texts:
+        n = max(len(words), 1)
+        mean = sum((own[bucket(w)] for w in words), np.zeros(quality.OWN_WIDTH)) / n
+        repeats = np.linalg.norm(mean) / quality.MARKS**0.5
+        word = sum((vectors[bucket(w)] for w in words), np.zeros(quality.WIDTH)) / n
+        shapes = sum((of_shape[crc32(quality.shape(w)) % quality.SHAPES] for w in words), np.zeros(quality.SHAPE_WIDTH)) / n
+        yield np.r_[word, shapes, repeats, repeats**2, np.log1p(len(words))]
+
+
+def test_quality_features_by_brute_force(spark, docs):
+    rows = docs.collect()
+    got = quality.pooled(docs, quality.word_vectors(docs)).collect()
+    want = list(brute_quality_features([text_of(r).split() for r in rows]))
+    assert Counter(r.doc_id for r in got) == Counter(r.doc_id for r in rows)
+    by_id = {}
+    for r, f in zip(rows, want, strict=True):
+        by_id.setdefault(r.doc_id, []).append(f)
+    for r in got:
+        assert min(np.abs(np.array(r.features) - f).max() for f in by_id[r.doc_id]) < 1e-4, r.doc_id
+
+
+def test_quality_of_long_texts_in_parts(monkeypatch):
+    """A text of many parts gives the sums it gives whole; shapes know letters of any script."""
+    import pyarrow as pa
+
+    texts = ["Der Hund 12 läuft. " * 2000, "", "kurz", None]
+    ids = quality.WordIds()
+    whole = list(quality._runs(pa.array(texts), ids))
+    of_word, of_shape = (np.random.default_rng(i).normal(size=(n, 5)) for i, n in ((1, quality.BUCKETS), (2, quality.SHAPES)))
+
+    def sums(parts):
+        out = np.zeros((len(texts), 10))
+        for first, end, w, lengths in parts:
+            quality._add_words(out[first:end], w, lengths, of_word, of_shape)
+        return out
+
+    before = sums(whole)
+    monkeypatch.setattr(quality, "_WORDS_AT_ONCE", 700)
+    parts = list(quality._runs(pa.array(texts), ids))
+    assert [p[:2] for p in parts] == [(0, 1), (1, 4)] and np.allclose(sums(parts), before)
+    assert quality.shape("ÄÖllé٣4-x".encode()) == b"Aa0-a"
+
+
+def test_quality_on_held_out_documents(spark):
+    middle = SMALL.replace("sf0.001", "sf0.01")
+    labels = spark.read.parquet(f"{middle}/labels.parquet").select("doc_id", "quality")
+    held = queries.QUERIES["op7_quality_classifier"](spark, middle).join(labels, "doc_id").filter("held_out and quality is not null").collect()
+    good, bad = ([r.score for r in held if r.quality == q] for q in (1, 0))
+    assert np.mean([a > b for a in good for b in bad]) > 0.9
+
+
 def test_token_counts(spark, docs, empty):
     want = Counter((r.doc_id, len(text_of(r).split())) for r in docs.collect())
     for file_bytes, block in ((1 << 28, 1 << 22), (100, 6)):
