@@ -21,17 +21,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, materialize, starts_of, table, utf8
+from .common import fold, materialize, pieces_of, starts_of, table, utf8
 
 #: Classes: this many frequent words of their own, and groups of all other words by their last SUFFIX bytes.
 OWN_WORDS, GROUPS, SUFFIX = 960, 64, 3
-WIDTH, NOISE, BATCH, RATE = 24, 32, 2048, 0.08
+WIDTH, NOISE, BATCH, RATE, ROUNDS = 24, 128, 1024, 0.05, 2
 #: Words whose counts every task holds; the counts of all others are joined. Bounds what is broadcast, not what counts.
 HELD_WORDS = 1 << 17
 #: Different words that a task counts before it passes them on.
 COUNTED_AT_ONCE = 300_000
 #: The end of a text, as a token. No word is empty.
 END = b""
+_WORDS_AT_ONCE = 1 << 18
 _SLICE = 8192
 
 
@@ -55,9 +56,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
             texts = utf8(b.column(0))
             counts[END] += len(texts)
             for x in texts:
-                counts.update(x.lower().split())
-                if len(counts) >= COUNTED_AT_ONCE:
-                    yield rows()
+                for piece in pieces_of(x.lower()):
+                    counts.update(piece.split())
+                    if len(counts) >= COUNTED_AT_ONCE:
+                        yield rows()
         if counts:
             yield rows()
 
@@ -102,7 +104,7 @@ def _scatter(ids: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
 class Trainer:
     """Adagrad steps of noise-contrastive estimation. A batch shares its noise words, so all products are matrix products."""
 
-    def __init__(self, start: Parameters, unigram: np.ndarray, noise: int = NOISE, rate: float = RATE, seed: int = 0):
+    def __init__(self, start: Parameters, unigram: np.ndarray, noise: int = NOISE, rate: float = RATE, seed: int | tuple = 0):
         self.p = Parameters(*(x.copy() for x in start.arrays()))
         self.squares = [np.full(x.shape, 1e-6, np.float32) for x in self.p.arrays()]
         self.cumulative, self.offset = np.cumsum(unigram), np.log(noise * unigram).astype(np.float32)
@@ -163,6 +165,29 @@ class WordTables:
         return at, classes, rare
 
 
+def _texts(column: pa.Array, tables: WordTables) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
+    """(first text, end, places, classes, words of each text, words not held) of some _WORDS_AT_ONCE words, or one longer text, in pieces."""
+    texts = utf8(column)
+    words, places, classes, rare, lengths, first = [], [], [], [], [], 0
+    for i, x in enumerate(texts):
+        lengths.append(1)
+        for piece in pieces_of(x.lower()):
+            own = piece.split()
+            words += own
+            lengths[-1] += len(own)
+            if len(words) >= _WORDS_AT_ONCE:
+                at, of, out = tables.ids(words)
+                places.append(at.astype(np.int32))
+                classes.append(of.astype(np.int32))
+                rare += out
+                words = []
+        words.append(END)
+        if places or len(words) >= _WORDS_AT_ONCE or i + 1 == len(texts):
+            at, of, out = tables.ids(words)
+            yield first, i + 1, np.concatenate([*places, at.astype(np.int32)]), np.concatenate([*classes, of.astype(np.int32)]), np.array(lengths), rare + out
+            words, places, classes, rare, lengths, first = [], [], [], [], [], i + 1
+
+
 def word_tables(counts: DataFrame, held: int = HELD_WORDS) -> WordTables:
     """The most frequent words come to the driver, at most ``held``; of all others only sums by group."""
     # by eighths of a power of two: few bins, of which the most frequent that together fit are held
@@ -193,38 +218,24 @@ def word_tables(counts: DataFrame, held: int = HELD_WORDS) -> WordTables:
     return WordTables({w: i for i, w in enumerate(words)}, np.array([c[w] for w in words], np.int64), classes, total, unigram, int(totals[0] or 0), int(totals[1]))
 
 
-def train(docs: DataFrame, tables: WordTables, rounds: int = 1, width: int = WIDTH) -> Parameters:
-    """Every task takes all its texts through SGD from the same start; their parameters are averaged by tokens, ``rounds`` times."""
+def train(docs: DataFrame, tables: WordTables, rounds: int = ROUNDS, width: int = WIDTH) -> Parameters:
+    """Every task takes all its texts through SGD from the same start; their parameters are averaged by tokens, and the next of ``rounds`` starts from them."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(tables)
     model = Parameters.initial(tables.unigram, width)
     schema = pa.schema([("slice", pa.int32()), ("tokens", pa.int64()), ("sums", pa.binary())])
     ddl = "slice int, tokens long, sums binary"
-    for _ in range(rounds):
+    for k in range(rounds):
         start = spark.sparkContext.broadcast(model)
 
-        def run(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], start=start, k=k) -> Iterator[pa.RecordBatch]:
             known = shared.value
-            trainer = Trainer(start.value, known.unigram, seed=TaskContext.get().partitionId())
-
-            def learn(words: list[bytes], lengths: list[int]) -> None:
-                _, ids, _ = known.ids(words)
-                w2, w1 = contexts(ids, starts_of(np.array(lengths)))
-                for i in range(0, len(ids), BATCH):
-                    trainer.step(w2[i : i + BATCH], w1[i : i + BATCH], ids[i : i + BATCH])
-
+            trainer = Trainer(start.value, known.unigram, seed=(k, TaskContext.get().partitionId()))
             for b in batches:
-                words, lengths = [], []
-                for x in utf8(b.column(0)):
-                    own = x.lower().split()
-                    words += own
-                    words.append(END)
-                    lengths.append(len(own) + 1)
-                    if len(words) >= 1 << 19:
-                        learn(words, lengths)
-                        words, lengths = [], []
-                if words:
-                    learn(words, lengths)
+                for _, _, _, ids, lengths, _ in _texts(b.column(0), known):
+                    w2, w1 = contexts(ids, starts_of(lengths))
+                    for i in range(0, len(ids), BATCH):
+                        trainer.step(w2[i : i + BATCH], w1[i : i + BATCH], ids[i : i + BATCH])
             if trainer.seen:
                 flat = trainer.p.flat().astype(np.float64) * trainer.seen
                 for i, c in enumerate(range(0, len(flat), _SLICE)):
@@ -275,36 +286,26 @@ def score(docs: DataFrame, tables: WordTables, counts: DataFrame, model: Paramet
         within = np.where(places < OWN_WORDS, 0.0, log_count - log_group[np.where(places < OWN_WORDS, 0, t.classes - OWN_WORDS)])
         row = TaskContext.get().partitionId() << 40
 
-        def some(words: list[bytes], lengths: list[int], ids: pa.Array, held: pa.Array) -> pa.RecordBatch:
-            nonlocal row
-            n = np.array(lengths)
-            starts = starts_of(n)
-            at, classes, rare = t.ids(words)
-            out = at < 0
-            w2, w1 = contexts(classes, starts)
-            p = token_log_probs(logs.value, w2, w1, classes).astype(np.float64)
-            p += np.where(out, -log_group[np.where(out, classes - OWN_WORDS, 0)], within[at])
-            plain = np.where(out, 0.0, log_count[at])
-            known = np.where(out, 0, t.counts[at] > 0)
-            cuts = np.r_[0, np.cumsum(np.add.reduceat(out, starts, dtype=np.int64))]
-            by_text = [Counter(rare[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            columns = [np.arange(row, row + len(n)), ids, held, n, np.add.reduceat(known, starts), np.add.reduceat(plain, starts) - n * base, np.add.reduceat(p, starts), [list(c) for c in by_text], [list(c.values()) for c in by_text]]
-            row += len(n)
-            return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(columns, schema.types, strict=True)], schema=schema)
-
         for b in batches:
             ids, held = b.column(0).cast(pa.int64()), b.column(1)
-            words, lengths, first = [], [], 0
-            for i, x in enumerate(utf8(b.column(2))):
-                own = x.lower().split()
-                words += own
-                words.append(END)
-                lengths.append(len(own) + 1)
-                if len(words) >= 1 << 18:
-                    yield some(words, lengths, ids[first : i + 1], held[first : i + 1])
-                    words, lengths, first = [], [], i + 1
-            if words:
-                yield some(words, lengths, ids[first:], held[first:])
+            for first, end, at, classes, n, rare in _texts(b.column(2), t):
+                starts, text = starts_of(n), np.repeat(np.arange(len(n), dtype=np.int32), n)
+                w2, w1 = contexts(classes, starts)
+                own, plain, known = np.zeros(len(n)), -n * base, np.zeros(len(n), np.int64)
+                for c in range(0, len(at), _WORDS_AT_ONCE):
+                    part = slice(c, c + _WORDS_AT_ONCE)
+                    place, of, out = at[part], text[part], at[part] < 0
+                    p = token_log_probs(logs.value, w2[part], w1[part], classes[part]).astype(np.float64)
+                    p += np.where(out, -log_group[np.where(out, classes[part] - OWN_WORDS, 0)], within[place])
+                    cuts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+                    own[of[cuts]] += np.add.reduceat(p, cuts)
+                    plain[of[cuts]] += np.add.reduceat(np.where(out, 0.0, log_count[place]), cuts)
+                    known[of[cuts]] += np.add.reduceat(~out & (t.counts[place] > 0), cuts, dtype=np.int64)
+                ends = np.r_[0, np.cumsum(np.add.reduceat(at < 0, starts, dtype=np.int64))]
+                by_text = [Counter(rare[x:y]) for x, y in zip(ends[:-1], ends[1:], strict=True)]
+                columns = [np.arange(row, row + len(n)), ids[first:end], held[first:end], n, known, plain, own, [list(c) for c in by_text], [list(c.values()) for c in by_text]]
+                row += len(n)
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(columns, schema.types, strict=True)], schema=schema)
 
     ddl = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, own double, rare array<binary>, times array<int>"
     scored = materialize(docs.select("doc_id", "held_out", "text").mapInArrow(run, ddl), "lm")
@@ -315,11 +316,11 @@ def score(docs: DataFrame, tables: WordTables, counts: DataFrame, model: Paramet
     return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), (F.col("base") + logs_).alias("base_score"), (F.col("own") + logs_).alias("score"))
 
 
-def score_texts(docs: DataFrame, rounds: int = 1) -> DataFrame:
+def score_texts(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row of ``docs``.
 
     Learns from rows whose ``crc32(doc_id)`` modulo 7 is not 2 (a null id counts as empty text). A null
-    text is empty: its one token is its end. Words never seen count 0 and share their group's spare
+    text is empty: its one token is its end. A long text is read in pieces, as one sequence. Words never seen count 0 and share their group's spare
     place. Rows that repeat come out as often; other columns are ignored; an empty table gives an
     empty one. With nothing to learn from, the base gives each token probability 1 and the model its start.
     """

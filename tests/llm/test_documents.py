@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from compare import SMALL, duck_rows, spark_rows
 
-from sievecast.llm import language, lines, lm, mixing, quality, queries, simhash, tokenfiles
+from sievecast.llm import common, language, lines, lm, mixing, quality, queries, simhash, tokenfiles
 
 
 def text_of(r):
@@ -93,6 +93,42 @@ def test_lm_is_normalised_and_better_than_its_base(spark):
     assert r.a > r.b
 
 
+def test_trained_lm_is_normalised_over_all_words(spark):
+    """In any context the probabilities of all words of the training texts, and of one unknown a group, add up to 1."""
+    texts = spark.read.parquet(f"{SMALL}/documents.parquet").select("text")
+    counts = lm.word_counts(texts)
+    tables = lm.word_tables(counts, held=3000)
+    model = lm.train(texts, tables)
+    logs, rows = lm.log_tables(model), counts.collect()
+    assert len(rows) > lm.OWN_WORDS + lm.GROUPS
+    _, classes, _ = tables.ids([bytes(r.word) for r in rows])
+    c = np.array([r.c for r in rows])
+    own = classes < lm.OWN_WORDS
+    within = np.where(own, 1.0, (c + 1) / tables.group_total[np.where(own, 0, classes - lm.OWN_WORDS)])
+    for w2, w1 in ((0, 0), (5, 700), (1000, 3)):
+        of_class = 10 ** lm.token_log_probs(logs, np.full(len(model.bias), w2), np.full(len(model.bias), w1), np.arange(len(model.bias))).astype(float)
+        unknown = (of_class[lm.OWN_WORDS :] / tables.group_total).sum()
+        assert (of_class[classes] * within).sum() + unknown == pytest.approx(1, abs=1e-3)
+
+
+def test_lm_of_long_texts_in_parts(spark, docs, monkeypatch):
+    """Words, classes and lengths of texts are the same in parts of any size."""
+    import pyarrow as pa
+
+    tables = lm.word_tables(lm.word_counts(docs), held=10)
+    column = pa.array([r.text for r in docs.collect()])
+
+    def whole():
+        parts = list(lm._texts(column, tables))
+        assert [p[0] for p in parts[1:]] == [p[1] for p in parts[:-1]] and parts[-1][1] == len(column)
+        return [np.concatenate([p[k] for p in parts]).tolist() for k in (2, 3, 4)], [w for p in parts for w in p[5]]
+
+    before = whole()
+    monkeypatch.setattr(lm, "_WORDS_AT_ONCE", 40)
+    monkeypatch.setattr(lm, "pieces_of", lambda x: common.pieces_of(x, 100))
+    assert whole() == before and sum(before[0][2]) == len(before[0][0])
+
+
 def test_mixing(spark, duck, docs, empty):
     out = mixing.mix(docs.drop("n_tokens")).collect()
     assert len(out) == docs.count()
