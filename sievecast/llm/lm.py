@@ -93,7 +93,7 @@ class Parameters:
 
 def _scatter(ids: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     """Sum of the rows of each id."""
-    order = np.argsort(ids, kind="stable")
+    order = np.argsort(ids.astype(np.uint16) if n < 1 << 16 else ids, kind="stable")  # short numbers are sorted by radix
     sorted_ids = ids[order]
     first = np.flatnonzero(np.r_[True, sorted_ids[1:] != sorted_ids[:-1]])
     out = np.zeros((n, rows.shape[1]), np.float32)
@@ -116,7 +116,13 @@ class Trainer:
         c1, c2, q = p.context[w1], p.context[w2], p.target[w]
         h = c1 @ p.first + c2 @ p.second
         true = 1 / (1 + np.exp((h * q).sum(axis=1) + p.bias[w] - self.offset[w]))
-        noise = -1 / (1 + np.exp(-(h @ p.target[others].T + p.bias[others] - self.offset[others])))
+        noise = h @ p.target[others].T  # the largest array of a step: all in place
+        noise += p.bias[others]
+        noise -= self.offset[others]
+        np.negative(noise, out=noise)
+        np.exp(noise, out=noise)
+        noise += 1
+        np.divide(-1, noise, out=noise)
         to_h = true[:, None] * q + noise @ p.target[others]
         d_target = _scatter(w, true[:, None] * h, n)
         np.add.at(d_target, others, noise.T @ h)
