@@ -165,3 +165,12 @@ def test_pipeline(spark, docs):
         assert step.count() <= (2 * before if name == "source_mixing" else before)
         before = step.count()
     assert pipeline.STAGES[-1][1](spark, step, SMALL).count() == before > 0
+
+
+def test_pipeline_on_an_empty_table(spark, empty):
+    import corpus_pipeline as pipeline
+
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, empty, SMALL)
+        assert out.columns == empty.columns and out.count() == 0, name
+    assert pipeline.STAGES[-1][1](spark, empty, SMALL).count() == 0
