@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, forest, language, lines, lm, mixing, quality, simhash, tokenfiles, topk
+from . import bpe, decontaminate, forest, infill, language, lines, lm, mixing, periodic, quality, simhash, tokenfiles, topk
 
 QUERIES = {
     "op1_language_id": language.op1_language_id,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_token_counts": tokenfiles.op8_token_counts,
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_embedding_near_dedup": forest.op10_embedding_near_dedup,
+    "op11_fill_in_middle": infill.op11_fill_in_middle,
+    "op12_decontamination": decontaminate.op12_decontamination,
+    "op13_periodic_runs": periodic.op13_periodic_runs,
 }
 
 ORACLE_SQL = {
@@ -23,4 +26,6 @@ ORACLE_SQL = {
     "op6_line_dedup": lines.OP6_SQL,
     "op8_token_counts": tokenfiles.OP8_SQL,
     "op10_embedding_near_dedup": forest.OP10_SQL,
+    "op11_fill_in_middle": infill.OP11_SQL,
+    "op12_decontamination": decontaminate.OP12_SQL,
 }
