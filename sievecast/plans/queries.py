@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import sources
 from ..functions import mask as masks
 from ..functions import metrics, score, text
-from ..operators import config, diff, lifecycle, parsers, report, rules, suppress, syntax
+from ..operators import ast_query, config, diff, lifecycle, parsers, report, rules, suppress, syntax
 from .inputs import CODE_SQL, DIAGNOSTICS_SQL, EDITS_SQL, code, diagnostics, edits, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -508,11 +508,6 @@ def coerce_defaults(spark, sf_dir):
     return lifecycle.coerce(raw).select("event_id", "severity", "line", "blast_radius")
 
 
-@query()
-def syntax_rules(spark, sf_dir):
-    return syntax.all_rules(code(spark, sf_dir))
-
-
 _MASKED_LINES = "lines AS (SELECT file_path, CAST(generate_subscripts(s, 1) AS INTEGER) AS line, unnest(s) AS x FROM (SELECT file_path, string_split(m, chr(10)) AS s FROM masked))"
 
 
@@ -528,11 +523,11 @@ def syntax_long_params(spark, sf_dir):
 
 @query(
     f"""WITH {_MASKED}, {_MASKED_LINES}, c AS (SELECT file_path, line, 'sievecast/eval-detected' AS rule, len(regexp_extract_all(x, '\\beval\\s*\\(')) AS n FROM lines
-UNION ALL SELECT file_path, line, 'sievecast/xss-innerhtml', len(regexp_extract_all(x, '\\.innerHTML\\s*=[^=]')) FROM lines)
-SELECT file_path, line, rule, n FROM c WHERE n > 0"""
+UNION ALL SELECT file_path, line, 'sievecast/xss-innerhtml', len(regexp_extract_all(x, '\\.innerHTML\\s*=[^=]')) FROM lines), own AS (SELECT file_path, string_split(content, chr(10)) AS s FROM code)
+SELECT file_path, line, rule, trim(s[line], ' ') AS snippet, n FROM c JOIN own USING (file_path) WHERE n > 0"""
 )
 def syntax_dangerous(spark, sf_dir):
-    return syntax.dangerous_calls(code(spark, sf_dir)).groupBy("file_path", "line", "rule").agg(F.count("*").alias("n"))
+    return syntax.dangerous_calls(code(spark, sf_dir)).groupBy("file_path", "line", "rule", "snippet").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {_MASKED}, {_MASKED_LINES} SELECT file_path, line, concat('magic number ', unnest(regexp_extract_all(x, '(?:^|[^A-Za-z0-9_$.])([0-9]{{2,}})', 1))) AS message FROM lines")
@@ -554,6 +549,69 @@ def syntax_nesting(spark, sf_dir):
     return syntax.deep_blocks(code(spark, sf_dir)).groupBy("file_path").agg(F.count("*").alias("n"))
 
 
+_KEY = "CAST(regexp_extract(file_path, 'f([0-9]+)', 1) AS BIGINT)"
+
+
+@query(
+    f"""WITH {_MASKED}, {_MASKED_LINES}, k AS (SELECT file_path, {_KEY} AS k FROM code), m AS (SELECT *, k % 8 AS m FROM k),
+found AS (SELECT file_path, 'sievecast/eval-detected' AS rule, 'error' AS severity, unnest(regexp_extract_all(x, '\\beval\\s*\\(')) AS t FROM lines
+UNION ALL SELECT file_path, 'sievecast/xss-innerhtml', 'warning', unnest(regexp_extract_all(x, '\\.innerHTML\\s*=[^=]')) FROM lines
+UNION ALL SELECT file_path, 'sievecast/magic-number', 'hint', unnest(regexp_extract_all(x, '(?:^|[^A-Za-z0-9_$.])([0-9]{{2,}})', 1)) FROM lines
+UNION ALL SELECT file_path, 'sievecast/unused-import', 'info', '' FROM k
+UNION ALL SELECT file_path, 'sievecast/long-params', CASE WHEN k % 9 > 6 THEN 'error' ELSE 'warning' END, '' FROM k WHERE k % 9 > 3),
+deep AS (SELECT file_path, unnest(range(5, m + 2)) AS depth FROM m
+UNION ALL SELECT file_path, m + 2 FROM m WHERE k % 4 <> 1 AND m >= 3
+UNION ALL SELECT file_path, m + unnest([2, 3]) FROM m WHERE k % 7 < 2 UNION ALL SELECT file_path, m + unnest([2, 3]) FROM m WHERE k % 13 < 2)
+SELECT file_path, rule, severity, count(*) AS n FROM (SELECT file_path, rule, severity FROM found UNION ALL SELECT file_path, 'sievecast/deep-nesting', CASE WHEN depth > 6 THEN 'error' ELSE 'warning' END FROM deep WHERE depth > 4) GROUP BY file_path, rule, severity"""
+)
+def syntax_rules(spark, sf_dir):
+    return syntax.all_rules(code(spark, sf_dir)).groupBy("file_path", "rule", "severity").agg(F.count("*").alias("n"))
+
+
+# What the template of the sources makes of a query's captures, line by line.
+@query(
+    f"""WITH {_MASKED}, {_MASKED_LINES}, own AS (SELECT file_path, string_split(content, chr(10)) AS s FROM code),
+found AS (SELECT file_path, line, x, unnest(regexp_extract_all(x, '[A-Za-z_]+\\.[A-Za-z_]+\\s*\\(')) AS t FROM lines)
+SELECT file_path, line, CAST(strpos(x, t) + CASE c WHEN 'object' THEN 0 ELSE strpos(t, '.') END AS INTEGER) AS col, c AS capture, CASE c WHEN 'object' THEN split_part(t, '.', 1) ELSE regexp_extract(t, '\\.([A-Za-z_]+)', 1) END AS name, trim(s[line], ' ') AS snippet
+FROM found JOIN own USING (file_path), (VALUES ('object'), ('method')) AS v(c)"""
+)
+def ast_query_captures(spark, sf_dir):
+    """Method calls of plain names: a query with fields and two captures."""
+    nodes = syntax.node_table(code(spark, sf_dir), ("call_expression", "member_expression", "identifier", "property_identifier"))
+    found = ast_query.run_query(nodes, "(call_expression function: (member_expression object: (identifier) @object property: (property_identifier) @method))")
+    return found.select("file_path", "line", "col", "capture", "name", "snippet")
+
+
+@query(
+    f"""WITH {_MASKED}, {_MASKED_LINES}, found AS (SELECT file_path, line, 'own/no-console' AS rule, 'warning' AS severity, len(regexp_extract_all(x, 'console\\.(log|warn)')) AS n FROM lines
+UNION ALL SELECT file_path, line, 'own/no-debugger', 'info', len(regexp_extract_all(x, '\\bdebugger\\b')) FROM lines
+UNION ALL SELECT file_path, line, 'own/empty-catch', 'error', len(regexp_extract_all(x, 'catch \\((?:e|f\\(x\\))\\) \\{{ \\}}')) FROM lines)
+SELECT file_path, line, rule, severity, CAST(n AS BIGINT) AS n FROM found WHERE n > 0"""
+)
+def ast_query_rules(spark, sf_dir):
+    """Custom rules, each a query: predicates, plain nodes, a block without statements."""
+    rules = [
+        ast_query.AstRule("console", '(call_expression function: (member_expression object: (identifier) @o property: (property_identifier) @p) (#eq? @o "console") (#any-of? @p "log" "warn"))', "console call", "warning", "own/no-console"),
+        ast_query.AstRule("debugger", "(debugger_statement) @d", "debugger", "info", "own/no-debugger"),
+        ast_query.AstRule("catch", "(catch_clause body: (statement_block) @b)", "empty catch", "error", "own/empty-catch"),
+    ]
+    nodes = syntax.node_table(code(spark, sf_dir), ("call_expression", "member_expression", "identifier", "property_identifier", "debugger_statement", "catch_clause", "statement_block"))
+    found, _ = ast_query.run_rules(nodes.filter("type <> 'statement_block' OR kids = 0"), rules)
+    # a match of the first rule has two captures
+    return found.groupBy("file_path", "line", "rule", "severity").agg(F.count("*").alias("_n")).select("file_path", "line", "rule", "severity", F.when(F.col("rule") == "own/no-console", (F.col("_n") / 2).cast("long")).otherwise(F.col("_n")).alias("n"))
+
+
+@query(
+    f"""WITH {CODE_SQL}, k AS (SELECT file_path, {_KEY} AS k FROM code), t AS (SELECT file_path, k, k % 8 AS m FROM k)
+SELECT file_path, 'try_statement' AS type, CAST(CAST(k % 7 < 2 AS INT) + CAST(k % 13 < 2 AS INT) AS BIGINT) AS n FROM t WHERE k % 7 < 2 OR k % 13 < 2
+UNION ALL SELECT file_path, 'while_statement', 1 FROM t WHERE k % 4 <> 1"""
+)
+def ast_contained(spark, sf_dir):
+    """Nodes that stand in a function, at any depth, by intervals."""
+    inside = syntax.contained(syntax.node_table(code(spark, sf_dir), ("function_declaration", "try_statement", "while_statement")), "function_declaration")
+    return inside.filter("type <> 'function_declaration'").groupBy("file_path", "type").agg(F.count("*").alias("n"))
+
+
 # Reports, harvests and configurations.
 _REPORTED = "r AS (SELECT session_id, id, concat('src/g', CAST(CAST(split_part(id, ':', 1) AS BIGINT) % 3 AS STRING), '.ts') AS file_path, CASE WHEN line % 5 = 0 THEN 0 ELSE line END AS line, severity, message, rule, status, score, last_seen, CASE WHEN line % 3 = 0 THEN concat('s ', CAST(line AS STRING)) END AS snippet, CASE WHEN has_fix THEN concat('fix ', rule) END AS fix FROM {})"
 
