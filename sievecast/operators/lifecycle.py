@@ -31,7 +31,7 @@ def evict(records: DataFrame, most: int = 500, by: tuple[str, ...] = ("session_i
     """Records without the oldest resolved ones over ``most`` of each session; active ones are never dropped."""
     w = Window.partitionBy(*by)
     resolved = F.col("status") == "resolved"
-    oldest = F.row_number().over(w.partitionBy(*by, resolved).orderBy("last_seen", "id"))
+    oldest = F.row_number().over(w.partitionBy(*by, resolved).orderBy("last_seen", *[c for c in ("id", "severity", "rule", "message", "file_path") if c in records.columns]))
     ranked = records.withColumn("_over", F.count("*").over(w) - most).withColumn("_rank", oldest)
     return ranked.filter(~(resolved & (F.col("_rank") <= F.col("_over")))).drop("_over", "_rank")
 

@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from ..functions.score import SEVERITIES
 
 PER_FILE, RESOLVED, PER_SEVERITY, PER_FILE_SUMMARY = 20, 10, 5, 10
+#: What ends every order, so that rows of one id and score stand in one order too. What ties in all of it reads the same.
+TIES = ("id", "severity", "rule", "message", "file_path", "snippet", "fix")
+
+
+def _ties(df: DataFrame) -> list[str]:
+    return [c for c in TIES if c in df.columns]
 
 
 def count_severities(diagnostics: DataFrame, *by: str) -> DataFrame:
@@ -16,21 +22,21 @@ def count_severities(diagnostics: DataFrame, *by: str) -> DataFrame:
 
 
 def top_by_file(scored: DataFrame, k: int = PER_FILE) -> DataFrame:
-    """The k best of each file by score, then line, then id, with ``rank``, the file's best score and how many more there are."""
+    """The k best of each file by score, then line, then TIES, with ``rank``, the file's best score and how many more there are."""
     by_file = Window.partitionBy("file_path")
-    ranked = scored.withColumn("rank", F.row_number().over(by_file.orderBy(F.desc("score"), "line", "id"))).filter(F.col("rank") <= k)
+    ranked = scored.withColumn("rank", F.row_number().over(by_file.orderBy(F.desc("score"), "line", *_ties(scored)))).filter(F.col("rank") <= k)
     totals = scored.groupBy("file_path").agg(F.max("score").alias("file_score"), F.greatest(F.count("*") - k, F.lit(0)).alias("more"))
     return ranked.join(totals, "file_path")
 
 
 def top_resolved(records: DataFrame, k: int = RESOLVED, by: str = "session_id") -> DataFrame:
-    w = Window.partitionBy(by).orderBy(F.desc("last_seen"), "id")
+    w = Window.partitionBy(by).orderBy(F.desc("last_seen"), *_ties(records))
     return records.filter("status = 'resolved'").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def widget(issues: DataFrame, k: int = PER_SEVERITY) -> DataFrame:
     """k issues of each severity, and how many more it has."""
-    ranked = issues.withColumn("rank", F.row_number().over(Window.partitionBy("severity").orderBy("file_path", "line", "id"))).filter(F.col("rank") <= k)
+    ranked = issues.withColumn("rank", F.row_number().over(Window.partitionBy("severity").orderBy("file_path", "line", *_ties(issues)))).filter(F.col("rank") <= k)
     totals = issues.groupBy("severity").agg(F.greatest(F.count("*") - k, F.lit(0)).alias("more"))
     return ranked.join(totals, "severity")
 
@@ -86,12 +92,12 @@ def _more(n: Column, most: int, tail: str) -> Column:
 
 
 def issue_sections(active: DataFrame, hidden: DataFrame | None = None, by: str = "session_id", k: int = PER_FILE) -> DataFrame:
-    """``by, file_path, best, section``: of each file its k best active issues with snippet and fix, by score, line and id; how many more; and how many older ones are ``hidden`` (by, file_path, n_preexisting)."""
+    """``by, file_path, best, section``: of each file its k best active issues with snippet and fix, by score, line and TIES; how many more; and how many older ones are ``hidden`` (by, file_path, n_preexisting)."""
     label = F.element_at(F.create_map(*[F.lit(x) for pair in LABELS for x in pair]), F.col("severity"))
     where = F.when(F.col("line") > 0, F.concat(F.lit("line "), F.col("line").cast("string"))).otherwise("whole file")
     entry = F.concat(F.lit("\n- ["), label, F.lit("] "), where, F.lit(" — "), F.col("message"), F.lit(" ["), F.col("rule"), F.lit("]"), _line(F.concat(F.lit("    "), F.col("snippet"))), _line(F.concat(F.lit("    Fix: "), F.col("fix"))))
     own = Window.partitionBy(by, "file_path")
-    ranked = active.withColumns({"_rank": F.row_number().over(own.orderBy(F.desc("score"), "line", "id")), "_n": F.count("*").over(own), "_entry": entry}).filter(F.col("_rank") <= k)
+    ranked = active.withColumns({"_rank": F.row_number().over(own.orderBy(F.desc("score"), "line", *_ties(active))), "_n": F.count("*").over(own), "_entry": entry}).filter(F.col("_rank") <= k)
     s = ranked.groupBy(by, "file_path").agg(F.max("_n").alias("n"), F.max("score").alias("best"), F.array_sort(F.collect_list(F.struct("_rank", "_entry"))).alias("entries"))
     s = s.withColumn("n_hidden", F.lit(0)) if hidden is None else s.join(hidden.select(by, "file_path", F.col("n_preexisting").alias("n_hidden")), [by, "file_path"], "left")
     older = F.when(F.col("n_hidden") > 0, F.concat(F.lit("\n- pre-existing issues hidden: "), F.col("n_hidden").cast("string"), F.lit(" (not blocking)"))).otherwise("")

@@ -46,6 +46,11 @@ def _only(found: Column, *types: str) -> Column:
     return F.filter(found, lambda n: n["type"].isin(*types))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, where a lambda would compute it for each element."""
+    return F.get(F.transform(F.array(value), body), _lit(0))
+
+
 def _match(line: Column, col: Column, rule: Column, message: Column, severity: Column, fix: Column) -> Column:
     return F.struct(line.alias("line"), col.alias("col"), rule.alias("rule"), message.alias("message"), severity.alias("severity"), fix.alias("fix"))
 
@@ -53,12 +58,15 @@ def _match(line: Column, col: Column, rule: Column, message: Column, severity: C
 def imports_rule(found: Column) -> Column:
     """Local names of default and named imports that nothing outside of imports names: no name, type or shorthand property. Names of members and properties are none; of equal imports the first counts; namespace and dynamic imports are left out."""
     clauses = F.transform(_only(found, "import_clause"), lambda n: n["pre"])
-    own = F.filter(found, lambda n: (n["type"] == "import_specifier") | ((n["type"] == "identifier") & _inside(n, "import_statement") & F.array_contains(clauses, n["parent"])))
+    local = lambda c: F.filter(found, lambda n: (n["type"] == "import_specifier") | ((n["type"] == "identifier") & _inside(n, "import_statement") & F.array_contains(c, n["parent"])))
     used = F.transform(F.filter(found, lambda n: n["type"].isin(*_NAMES) & ~_inside(n, "import_statement")), lambda n: n["name"])
-    names = F.transform(own, lambda n: n["name"])
-    unused = F.array_except(names, used)
-    kept = F.filter(own, lambda n, i: F.array_contains(unused, n["name"]) & (F.array_position(names, n["name"]) == i + 1))
-    return F.transform(kept, lambda n: _match(n["name_line"], n["name_col"], _lit("unused-import"), F.concat(n["name"], _lit(" is imported and not used")), _lit("info"), F.concat(_lit("Remove the import of "), n["name"], _lit("."))))
+
+    def unused(x: Column) -> Column:
+        kept = F.filter(x["own"], lambda n, i: F.array_contains(x["unused"], n["name"]) & (F.array_position(x["names"], n["name"]) == i + 1))
+        return F.transform(kept, lambda n: _match(n["name_line"], n["name_col"], _lit("unused-import"), F.concat(n["name"], _lit(" is imported and not used")), _lit("info"), F.concat(_lit("Remove the import of "), n["name"], _lit("."))))
+
+    named = lambda own: _let(F.transform(own, lambda n: n["name"]), lambda names: F.struct(own.alias("own"), names.alias("names"), F.array_except(names, used).alias("unused")))
+    return _let(_let(_let(clauses, local), named), unused)
 
 
 def nesting_rule(found: Column) -> Column:
@@ -72,10 +80,9 @@ def danger_rule(found: Column) -> Column:
     own = F.filter(found, lambda n: n["type"].isin("call_expression", "assignment_expression") & n["name"].isin(*[d[0] for d in DANGEROUS]))
     begin = F.struct(_lit(-1).alias("last"), F.array().cast("array<int>").alias("kept"))
     outer = F.aggregate(own, begin, lambda s, n: F.when(n["pre"] > s["last"], F.struct(n["last"].alias("last"), F.concat(s["kept"], F.array(n["pre"])).alias("kept"))).otherwise(s))["kept"]
-    kept = F.filter(own, lambda n: F.array_contains(outer, n["pre"]))
+    kept = _let(outer, lambda o: F.filter(own, lambda n: F.array_contains(o, n["pre"])))
     spec = F.create_map(*[x for d, r, m, s, f in DANGEROUS for x in (_lit(d), F.struct(_lit(r).alias("rule"), _lit(m).alias("message"), _lit(s).alias("severity"), _lit(f).alias("fix")))])
-    of = lambda n: F.element_at(spec, n["name"])
-    return F.transform(kept, lambda n: _match(n["name_line"], n["name_col"], of(n)["rule"], of(n)["message"], of(n)["severity"], of(n)["fix"]))
+    return F.transform(kept, lambda n: _let(F.element_at(spec, n["name"]), lambda d: _match(n["name_line"], n["name_col"], d["rule"], d["message"], d["severity"], d["fix"])))
 
 
 def numbers_rule(found: Column) -> Column:
@@ -112,7 +119,7 @@ def parsed(files: DataFrame, *rules: str) -> DataFrame:
 def _matches(files: DataFrame, prefix: str, *rules: str) -> DataFrame:
     own = rules or tuple(RULES)
     found = F.concat(*[RULES[r](F.col("_nodes")) for r in own])
-    m = parsed(files.select("file_path", "content"), *own).select("file_path", "content", F.col("_tree.nodes").alias("_nodes")).filter("_nodes IS NOT NULL")
+    m = parsed(files.select("file_path", "content"), *own).select("file_path", "content", F.col("_tree.nodes").alias("_nodes"))
     lined = m.select("file_path", F.split("content", "\n").alias("_lines"), F.explode(found).alias("m"))
     out = lined.select("file_path", "m.*", F.regexp_replace(F.get("_lines", F.col("m.line") - 1), r"^\s+|\s+$", "").alias("snippet"))
     return out.withColumn("rule", F.concat(_lit(f"{prefix}/"), F.col("rule"))).select(*_COLUMNS)

@@ -35,7 +35,7 @@ EDITS_SQL = f"edits AS (SELECT {PATH} AS file_path, CASE WHEN {_K} % 10 = 0 THEN
 
 #: Diagnostics of line items.
 DIAGNOSTIC = {
-    "id": "concat(CAST(l_orderkey AS STRING), ':', CAST(l_linenumber AS STRING))",
+    "id": "concat(CAST(l_orderkey AS STRING), ':', CAST(l_linenumber AS STRING), ':', CAST(l_partkey AS STRING), ':', CAST(l_suppkey AS STRING))",
     "file_path": "concat('src/f', CAST(l_orderkey AS STRING), '.ts')",
     "line": "CAST(l_linenumber * 10 + l_partkey % 10 AS INT)",
     "col": "CAST(l_suppkey % 80 AS INT)",

@@ -348,13 +348,13 @@ def count_severities(spark, sf_dir):
     return report.count_severities(diagnostics(spark, sf_dir), "file_path")
 
 
-@query(f"""WITH {_SCORES}, r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, line, id) AS rank, max(score) OVER (PARTITION BY session_id) AS file_score, greatest(count(*) OVER (PARTITION BY session_id) - 20, 0) AS more FROM scored)
+@query(f"""WITH {_SCORES}, r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, line, id, severity, rule, message, file_path) AS rank, max(score) OVER (PARTITION BY session_id) AS file_score, greatest(count(*) OVER (PARTITION BY session_id) - 20, 0) AS more FROM scored)
 SELECT session_id AS file_path, id, score, CAST(rank AS INTEGER) AS rank, file_score, more FROM r WHERE rank <= 20""")
 def file_ranking_topk(spark, sf_dir):
     return report.top_by_file(_scored(spark, sf_dir).withColumn("file_path", F.col("session_id"))).select("file_path", "id", "score", "rank", "file_score", "more")
 
 
-@query(f"WITH {DIAGNOSTICS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY last_seen DESC, id) AS rank FROM d WHERE status = 'resolved') SELECT session_id, id, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10")
+@query(f"WITH {DIAGNOSTICS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY last_seen DESC, id, severity, rule, message, file_path) AS rank FROM d WHERE status = 'resolved') SELECT session_id, id, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10")
 def resolved_topk(spark, sf_dir):
     return report.top_resolved(diagnostics(spark, sf_dir)).select("session_id", "id", "rank")
 
@@ -364,7 +364,7 @@ def status_rollup(spark, sf_dir):
     return report.overall_status(diagnostics(spark, sf_dir), "file_path")
 
 
-@query(f"WITH {DIAGNOSTICS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY severity ORDER BY file_path, line, id) AS rank, greatest(count(*) OVER (PARTITION BY severity) - 5, 0) AS more FROM d) SELECT severity, id, CAST(rank AS INTEGER) AS rank, more FROM r WHERE rank <= 5")
+@query(f"WITH {DIAGNOSTICS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY severity ORDER BY file_path, line, id, severity, rule, message, file_path) AS rank, greatest(count(*) OVER (PARTITION BY severity) - 5, 0) AS more FROM d) SELECT severity, id, CAST(rank AS INTEGER) AS rank, more FROM r WHERE rank <= 5")
 def widget_groups(spark, sf_dir):
     return report.widget(diagnostics(spark, sf_dir)).select("severity", "id", "rank", "more")
 
@@ -379,7 +379,7 @@ def report_header(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_SCORES}, r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, line, id) AS k, count(*) OVER (PARTITION BY session_id) AS n FROM scored)
+    f"""WITH {_SCORES}, r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, line, id, severity, rule, message, file_path) AS k, count(*) OVER (PARTITION BY session_id) AS n FROM scored)
 SELECT session_id AS file_path, max(score) AS file_score, concat('### ', session_id, chr(10), string_agg(concat('- ', severity, CASE WHEN line > 0 THEN concat(' L', line) ELSE '' END, ': ', message, ' (', rule, ')'), chr(10) ORDER BY k), CASE WHEN max(n) > 20 THEN concat(chr(10), '+', max(n) - 20, ' more') ELSE '' END) AS section FROM r WHERE k <= 20 GROUP BY session_id"""
 )
 def report_sections(spark, sf_dir):
@@ -424,7 +424,7 @@ def upsert_latest(spark, sf_dir):
     return lifecycle.latest(table(spark, sf_dir, "events").selectExpr("CAST(user_id AS STRING) AS id", "event_id AS seq", "event_type AS severity"))
 
 
-@query(f"""WITH {DIAGNOSTICS_SQL}, r AS (SELECT *, count(*) OVER (PARTITION BY session_id) - 500 AS over_, row_number() OVER (PARTITION BY session_id, status = 'resolved' ORDER BY last_seen, id) AS k FROM d)
+@query(f"""WITH {DIAGNOSTICS_SQL}, r AS (SELECT *, count(*) OVER (PARTITION BY session_id) - 500 AS over_, row_number() OVER (PARTITION BY session_id, status = 'resolved' ORDER BY last_seen, id, severity, rule, message, file_path) AS k FROM d)
 SELECT session_id, id, status FROM r WHERE NOT (status = 'resolved' AND k <= over_)""")
 def evict_resolved(spark, sf_dir):
     return lifecycle.evict(diagnostics(spark, sf_dir)).select("session_id", "id", "status")
@@ -618,13 +618,13 @@ _REPORTED = "r AS (SELECT session_id, id, concat('src/g', CAST(CAST(split_part(i
 
 @query(
     f"""WITH {_SCORES}, {_REPORTED.format("scored")},
-a AS (SELECT *, row_number() OVER (PARTITION BY session_id, file_path ORDER BY score DESC, line, id) AS k, count(*) OVER (PARTITION BY session_id, file_path) AS n FROM r WHERE status <> 'resolved'),
+a AS (SELECT *, row_number() OVER (PARTITION BY session_id, file_path ORDER BY score DESC, line, id, severity, rule, message, file_path) AS k, count(*) OVER (PARTITION BY session_id, file_path) AS n FROM r WHERE status <> 'resolved'),
 sec AS (SELECT session_id, file_path, max(score) AS best, concat(chr(10), chr(10), file_path, ' (', max(n), CASE WHEN max(n) = 1 THEN ' issue)' ELSE ' issues)' END,
   string_agg(concat(chr(10), '- [', CASE severity WHEN 'error' THEN 'ERROR' WHEN 'warning' THEN 'WARN' WHEN 'info' THEN 'INFO' ELSE 'HINT' END, '] ', CASE WHEN line > 0 THEN concat('line ', line) ELSE 'whole file' END, ' — ', message, ' [', rule, ']',
     CASE WHEN snippet IS NOT NULL THEN concat(chr(10), '    ', snippet) ELSE '' END, CASE WHEN fix IS NOT NULL THEN concat(chr(10), '    Fix: ', fix) ELSE '' END), '' ORDER BY k),
   CASE WHEN max(n) > 20 THEN concat(chr(10), '- …and ', max(n) - 20, ' more in this file') ELSE '' END) AS section FROM a WHERE k <= 20 GROUP BY session_id, file_path),
 f AS (SELECT session_id, string_agg(section, '' ORDER BY best DESC, file_path) AS files FROM sec GROUP BY session_id),
-g AS (SELECT session_id, string_agg(concat(chr(10), '- ', file_path, CASE WHEN line > 0 THEN concat(':', line) ELSE '' END, ' — ', message, ' [', rule, ']'), '' ORDER BY k) AS gone FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY last_seen DESC, id) AS k FROM r WHERE status = 'resolved') WHERE k <= 10 GROUP BY session_id),
+g AS (SELECT session_id, string_agg(concat(chr(10), '- ', file_path, CASE WHEN line > 0 THEN concat(':', line) ELSE '' END, ' — ', message, ' [', rule, ']'), '' ORDER BY k) AS gone FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY last_seen DESC, id, severity, rule, message, file_path) AS k FROM r WHERE status = 'resolved') WHERE k <= 10 GROUP BY session_id),
 x AS (SELECT session_id, string_agg(concat(file_path, ' (eslint+', rule, ')'), ', ' ORDER BY file_path, rule) AS fixes FROM (SELECT DISTINCT session_id, file_path, rule FROM r WHERE fix IS NOT NULL AND CAST(session_id AS BIGINT) % 2 = 0) GROUP BY session_id),
 c AS (SELECT session_id, count(*) FILTER (status <> 'resolved') AS n, count(*) FILTER (status = 'resolved') AS r, count(*) FILTER (status <> 'resolved' AND severity = 'error') AS e, count(*) FILTER (status <> 'resolved' AND severity = 'warning') AS w, count(*) FILTER (status <> 'resolved' AND severity = 'info') AS i, count(*) FILTER (status <> 'resolved' AND severity = 'hint') AS h FROM r GROUP BY session_id)
 SELECT session_id, concat('Active: ', n, CASE WHEN n > 0 THEN concat(' (', concat_ws(', ', CASE WHEN e > 0 THEN concat(e, ' error') END, CASE WHEN w > 0 THEN concat(w, ' warning') END, CASE WHEN i > 0 THEN concat(i, ' info') END, CASE WHEN h > 0 THEN concat(h, ' hint') END), ')') ELSE '' END, '. Resolved: ', c.r, '.', coalesce(files, ''),
@@ -633,21 +633,20 @@ SELECT session_id, concat('Active: ', n, CASE WHEN n > 0 THEN concat(' (', conca
 FROM c LEFT JOIN f USING (session_id) LEFT JOIN g USING (session_id) LEFT JOIN x USING (session_id)"""
 )
 def diagnostic_report(spark, sf_dir):
-    _scored(spark, sf_dir).createOrReplaceTempView("scored_diagnostics")
-    r = spark.sql(f"WITH {_REPORTED.format('scored_diagnostics')} SELECT * FROM r")
+    r = spark.sql(f"WITH {_REPORTED.format('{scored}')} SELECT * FROM r", scored=_scored(spark, sf_dir))
     fixes = r.filter("fix IS NOT NULL AND CAST(session_id AS BIGINT) % 2 = 0").select("session_id", "file_path", F.array(F.lit("eslint"), "rule").alias("fixers")).distinct()
     return report.diagnostic_report(r, fixes)
 
 
 @query(
-    f"""WITH {DIAGNOSTICS_SQL}, f AS (SELECT concat('src/g', CAST(session_id AS BIGINT) % 500, '.ts') AS file_path, line, col, rule, severity, message, CAST(session_id AS BIGINT) % 500 % 9 = 0 AS unread FROM d WHERE last_seen % 50 < CAST(session_id AS BIGINT) % 500 % 4),
+    f"""WITH {DIAGNOSTICS_SQL}, f AS (SELECT concat('src/g', CAST(session_id AS BIGINT) % 500, '.ts') AS file_path, line, col, rule, severity, message, CAST(session_id AS BIGINT) % 500 % 9 = 0 AS unread FROM d),
 k AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY line, col, rule, severity, message) AS k FROM f),
 n AS (SELECT file_path, bool_or(unread) AS unread, count(*) AS n, bool_or(severity = 'error') AS e, bool_or(severity = 'warning') AS w, string_agg(concat(chr(10), '    [', upper(severity), '] ', message, ' [', rule, ']', CASE WHEN line > 0 THEN concat(':', line) ELSE '' END), '' ORDER BY k) FILTER (k <= 10) AS shown FROM k GROUP BY file_path)
 SELECT file_path, CASE WHEN NOT unread AND e THEN 'Errors' WHEN unread OR w THEN 'Warnings' ELSE 'Info' END AS label,
   CASE WHEN unread THEN concat('- `', file_path, '` — Cannot read file') ELSE concat('- `', file_path, '` (', n, ' issue(s))', shown, CASE WHEN n > 10 THEN concat(chr(10), '    ...and ', n - 10, ' more') ELSE '' END) END AS entry FROM n"""
 )
 def directory_report(spark, sf_dir):
-    d = diagnostics(spark, sf_dir).withColumn("g", F.col("session_id").cast("long") % 500).filter(F.col("last_seen") % 50 < F.col("g") % 4)
+    d = diagnostics(spark, sf_dir).withColumn("g", F.col("session_id").cast("long") % 500)
     matched = d.groupBy("g").agg(F.collect_list(F.struct("line", "col", "rule", "severity", "message")).alias("matches"))
     return report.directory_report(matched.select(F.concat(F.lit("src/g"), "g", F.lit(".ts")).alias("file_path"), F.when(F.col("g") % 9 > 0, F.lit("x")).alias("content"), "matches"))
 
@@ -672,13 +671,13 @@ def harvest_results(spark, sf_dir):
     return _harvested(spark, sf_dir).select("session_id", "seen", "id", "file_path", "line", "severity", "has_fix")
 
 
-@query(f"""WITH {_HARVEST_SQL}, o AS (SELECT session_id, id, CASE WHEN CAST(session_id AS BIGINT) % 2 = 0 THEN 'resolved' ELSE 'emitted' END AS status, min(seen) AS first_seen, min(seen) AS last_seen FROM h WHERE seen % 8 = 0 GROUP BY session_id, id),
-n AS (SELECT session_id, id, min(seen) AS first_seen, max(seen) AS last_seen FROM h WHERE seen % 16 = 4 GROUP BY session_id, id)
+@query(f"""WITH {_HARVEST_SQL}, o AS (SELECT session_id, id, CASE WHEN CAST(session_id AS BIGINT) % 2 = 0 THEN 'resolved' ELSE 'emitted' END AS status, min(seen) AS first_seen, min(seen) AS last_seen FROM h WHERE seen % 8 < 4 GROUP BY session_id, id),
+n AS (SELECT session_id, id, min(seen) AS first_seen, max(seen) AS last_seen FROM h WHERE seen % 8 >= 4 GROUP BY session_id, id)
 SELECT coalesce(o.session_id, n.session_id) AS session_id, coalesce(o.id, n.id) AS id, CASE WHEN n.id IS NOT NULL THEN 'emitted' ELSE o.status END AS status, least(coalesce(o.first_seen, n.first_seen), coalesce(n.first_seen, o.first_seen)) AS first_seen, greatest(coalesce(o.last_seen, n.last_seen), coalesce(n.last_seen, o.last_seen)) AS last_seen FROM o FULL JOIN n ON o.session_id = n.session_id AND o.id = n.id""")
 def revive_records(spark, sf_dir):
     h = _harvested(spark, sf_dir)
-    old = h.filter("seen % 8 = 0").groupBy("session_id", "id").agg(F.min("seen").alias("first_seen"), F.min("seen").alias("last_seen")).withColumn("status", F.when(F.col("session_id").cast("long") % 2 == 0, "resolved").otherwise("emitted"))
-    return lifecycle.revive(old, h.filter("seen % 16 = 4"))
+    old = h.filter("seen % 8 < 4").groupBy("session_id", "id").agg(F.min("seen").alias("first_seen"), F.min("seen").alias("last_seen")).withColumn("status", F.when(F.col("session_id").cast("long") % 2 == 0, "resolved").otherwise("emitted"))
+    return lifecycle.revive(old, h.filter("seen % 8 >= 4"))
 
 
 @query(f"WITH {CODE_SQL}, f AS (SELECT file_path, CAST(CAST(regexp_extract(file_path, 'f([0-9]+)', 1) AS BIGINT) % 16 AS INTEGER) AS line, content FROM code), s AS (SELECT file_path, line, CASE WHEN line > 0 THEN regexp_replace(string_split(content, chr(10))[line], '\\s+$', '') END AS t FROM f) SELECT file_path, line, CASE WHEN t = '' THEN NULL WHEN len(t) > 120 THEN concat(t[1:119], '…') ELSE t END AS snippet FROM s")
