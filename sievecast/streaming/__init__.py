@@ -65,21 +65,3 @@ def session_reports(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
 def event_counts(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Events with a timestamp by window and kind; late ones are dropped after the watermark."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", window), "kind").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "kind", "n")
-
-
-def first_writes(events: DataFrame, late: str = "2 hours") -> DataFrame:
-    """``session_id, turn, file_path, content, ts`` of a stream of events: what each file was at a turn's first edit of it. Its keys are forgotten once the watermark has passed."""
-    edits = events.filter((F.col("kind") == "tool_call") & F.col("tool_name").isin("edit", "write"))
-    return edits.withWatermark("ts", late).dropDuplicatesWithinWatermark(["session_id", "turn", "file_path"]).select("session_id", "turn", "file_path", "content", "ts")
-
-
-def pending_files(events: DataFrame) -> DataFrame:
-    """``session_id, file_path, n, last_seq`` of files whose edits wait for their checks, as a queue that each batch of a stream updates (output mode update): edits count up, a check takes the file out (n = 0)."""
-    kinds = events.filter(F.col("kind").isin("tool_execution_end", "checked"))
-    g = kinds.groupBy("session_id", "file_path").agg(F.max("seq").alias("last_seq"), F.max(F.when(F.col("kind") == "checked", F.col("seq"))).alias("_checked"), F.count_if(F.col("kind") == "tool_execution_end").alias("_edits"))
-    return g.select("session_id", "file_path", F.when(F.coalesce("_checked", F.lit(-1)) >= F.col("last_seq"), 0).otherwise(F.col("_edits")).alias("n"), "last_seq")
-
-
-def write_batches(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"):
-    """Start a query that writes each micro-batch of a stream as Parquet below ``path``, in a folder of the batch's number, so that a batch that runs again replaces itself."""
-    return stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}")).start()
