@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from .. import sources
 from ..functions import mask as masks
 from ..functions import metrics, score, text
-from ..operators import ast_query, config, diff, lifecycle, parsers, report, rules, suppress, syntax
+from ..operators import asof, ast_query, config, diff, incremental, lifecycle, parsers, registry, report, rules, suppress, syntax
+from ..storage import shared_folder
+from ..streaming import feed, session
 from .inputs import CODE_SQL, DIAGNOSTICS_SQL, EDITS_SQL, code, diagnostics, edits, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -743,3 +745,87 @@ def parse_dispatch(spark, sf_dir):
     kind = F.when(F.col("severity") == "info", "note").otherwise(F.col("severity"))
     mypy = _output(spark, sf_dir, "mypy", "mypy-json", F.to_json(_list(kind.alias("severity"), F.col("rule").alias("code"), "line", F.col("col").alias("column"), "message")))
     return parsers.parse(biome.unionByName(mypy)).drop("has_fix")
+
+
+# Places: spans in ranges, nearest touched lines; tables that are kept up to date; registered patterns; sessions.
+_SPAN = {
+    "file_path": "concat('f', CAST(l_suppkey % 50 AS STRING))",
+    "id": "concat(CAST(l_orderkey AS STRING), ':', CAST(l_linenumber AS STRING), ':', CAST(l_partkey AS STRING))",
+    "first_line": "CAST(l_partkey * 37 % 20011 AS INT)",
+    "last_line": "CAST(l_partkey * 37 % 20011 + l_linenumber % 5 AS INT)",
+}
+_RANGE = {"file_path": "concat('f', CAST(o_custkey % 50 AS STRING))", "first_line": "CAST(o_orderkey * 13 % 20011 AS INT)", "last_line": "CAST(o_orderkey * 13 % 20011 + o_orderkey % 9 AS INT)"}
+_SESSION = {
+    "session_id": "CAST(user_id % 40 AS STRING)",
+    "seq": "event_id",
+    "kind": "CASE event_type WHEN 'view' THEN 'turn_end' WHEN 'signup' THEN 'tool_execution_end' WHEN 'error' THEN 'session_start' ELSE 'tool_call' END",
+    "tool_name": "CASE WHEN event_id % 3 = 0 THEN 'read' ELSE 'edit' END",
+    "file_path": "CAST(event_id % 5 AS STRING)",
+    "content": "props",
+}
+
+
+def _as(columns: dict[str, str]) -> list[str]:
+    return [f"{e} AS {n}" for n, e in columns.items()]
+
+
+@query(f"""WITH s AS (SELECT {', '.join(_as(_SPAN))} FROM lineitem), r AS (SELECT {', '.join(_as(_RANGE))} FROM orders)
+SELECT id, file_path, first_line, last_line, EXISTS (SELECT 1 FROM r WHERE r.file_path = s.file_path AND r.first_line <= s.first_line AND r.last_line >= s.last_line) AS inside FROM s""")
+def span_in_ranges(spark, sf_dir):
+    return asof.in_ranges(table(spark, sf_dir, "lineitem").selectExpr(*_as(_SPAN)), table(spark, sf_dir, "orders").selectExpr(*_as(_RANGE)))
+
+
+@query(f"""WITH d AS (SELECT {', '.join(_as(_SPAN))} FROM lineitem), t AS (SELECT DISTINCT file_path, first_line AS line FROM (SELECT {', '.join(_as(_RANGE))} FROM orders)),
+n AS (SELECT id, d.file_path, first_line, b.line AS before, a.line AS after FROM d ASOF LEFT JOIN t b ON d.file_path = b.file_path AND d.first_line >= b.line ASOF LEFT JOIN t a ON d.file_path = a.file_path AND d.first_line <= a.line)
+SELECT id, file_path, first_line AS line, CAST(least(first_line - before, after - first_line) AS BIGINT) AS distance, round(CASE WHEN before IS NULL AND after IS NULL THEN 50 ELSE greatest(0, 100.0::DOUBLE * (1 - least(first_line - before, after - first_line)::DOUBLE / 50)) END, 4) AS near FROM n""")
+def nearest_touched_line(spark, sf_dir):
+    d = table(spark, sf_dir, "lineitem").selectExpr(*_as(_SPAN)).select("id", "file_path", F.col("first_line").alias("line"))
+    touched = table(spark, sf_dir, "orders").selectExpr(*_as(_RANGE)).select("file_path", F.col("first_line").alias("line"))
+    return asof.nearest_touched(d, touched).withColumn("near", F.round("near", 4))
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS id, max(event_id) AS seq, arg_max(event_type, event_id) AS severity FROM events GROUP BY user_id")
+def change_feed(spark, sf_dir):
+    """The table that a feed of all events leaves behind: five batches, one of them twice, with a base in between."""
+    f = feed.ChangeFeed(shared_folder(spark, "feed"), every=2)
+    e = table(spark, sf_dir, "events").selectExpr("CAST(user_id AS STRING) AS id", "event_id AS seq", "event_type AS severity")
+    for number in (0, 1, 2, 2, 3, 4, 1):
+        f.apply(e.filter(F.col("seq") % 5 == number), number)
+    return f.current(spark)
+
+
+@query(f"""WITH {_MASKED}, {_SPLIT}, cost AS (SELECT file_path, CAST(sum(CASE WHEN t NOT IN ('{{', '}}') THEN 1 + depth ELSE 0 END) AS INTEGER) AS cognitive, CAST(max(depth) AS INTEGER) AS max_nesting FROM deep GROUP BY file_path)
+SELECT file_path, CAST(1 + len(list_filter({_CODE_TOKENS}, lambda t: t IN ('if', 'while', 'for', 'case', '&&', '||', '?'))) AS INTEGER) AS cyclomatic, cognitive, max_nesting FROM masked JOIN cost USING (file_path)""")
+def incremental_metrics(spark, sf_dir):
+    """Metrics of all files, half of them kept from a run before."""
+    store = incremental.MetricStore(shared_folder(spark, "metrics"))
+    files = code(spark, sf_dir)
+    store.run(files.filter("pmod(hash(file_path), 2) = 0"), 0)
+    return store.run(files, 1).select("file_path", "cyclomatic", "cognitive", "max_nesting")
+
+
+_WATCHED = ("obj", "innerHTML", "outerHTML", "catch", "while", "debugger", "console", "password", "api_key", "exec")
+
+
+@query(f"WITH {_MASKED}, {_MASKED_LINES}, f AS (SELECT file_path, line, w, len(regexp_extract_all(x, '\\b' || w || '\\b')) AS n FROM lines, (VALUES " + ", ".join(f"('{w}')" for w in _WATCHED) + ") AS v(w)) SELECT file_path, line, 'sievecast/no-' || w AS rule, CAST(n AS BIGINT) AS n FROM f WHERE n > 0")
+def registered_patterns(spark, sf_dir):
+    """Ten own patterns over all files in one scan."""
+    own = registry.Registry()
+    for w in _WATCHED:
+        own.add_pattern(f"no-{w}", rf"\b{w}\b", f"{w} is not wanted")
+    return own.pattern_matches(code(spark, sf_dir)).groupBy("file_path", "line", "rule").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH e AS (SELECT {', '.join(_as(_SESSION))} FROM events), k AS (SELECT *, kind = 'tool_call' AND tool_name = 'edit' AS edit FROM e),
+c AS (SELECT *, coalesce(sum(CASE WHEN kind IN ('tool_execution_end', 'session_start') THEN 1 ELSE 0 END) OVER w, 0) AS part FROM k WINDOW w AS (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+p AS (SELECT *, bool_or(edit) OVER (PARTITION BY session_id, part) AS changing FROM c),
+s AS (SELECT *, kind = 'session_start' AS reset, kind = 'tool_execution_end' AND NOT changing AS idle FROM p),
+g AS (SELECT *, coalesce(sum(CASE WHEN kind = 'turn_end' OR reset OR idle THEN 1 ELSE 0 END) OVER w, 0) AS span, coalesce(sum(CASE WHEN kind = 'turn_end' OR reset THEN 1 ELSE 0 END) OVER w, 0) AS turn_span, coalesce(sum(CASE WHEN reset THEN 1 ELSE 0 END) OVER w, 0) AS life FROM s WINDOW w AS (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT *, CAST(coalesce(sum(CASE WHEN kind = 'turn_end' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id, life ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS turn FROM g)
+SELECT session_id, min(seq) AS seq, arg_min(turn, seq) AS turn, 'snapshot' AS action, file_path, arg_min(content, seq) AS content FROM t WHERE edit GROUP BY session_id, span, file_path
+UNION ALL SELECT t.session_id, t.seq, t.turn, 'stale', d.file_path, NULL FROM t JOIN (SELECT DISTINCT session_id, span, file_path FROM t WHERE edit) d ON t.session_id = d.session_id AND t.span = d.span WHERE idle
+UNION ALL SELECT t.session_id, t.seq, t.turn, 'lint', d.file_path, NULL FROM t JOIN (SELECT DISTINCT session_id, turn_span, file_path FROM t WHERE edit) d ON t.session_id = d.session_id AND t.turn_span = d.turn_span WHERE kind = 'turn_end'""")
+def session_machine(spark, sf_dir):
+    """Snapshots, stale ones and lint queues of all sessions."""
+    e = table(spark, sf_dir, "events").selectExpr(*_as(_SESSION), "CAST(NULL AS STRING) AS command", "CAST(NULL AS array<struct<file_path:string,id:string>>) AS found")
+    return session.session_actions(e).select("session_id", "seq", "turn", "action", "file_path", "content")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .directory import SourceFiles
+
 #: Folders that hold no sources of one's own, and extensions of source files.
 SKIPPED_FOLDERS = ("node_modules", ".git", ".pi", ".next", ".nuxt", ".cache", "dist", "build", "coverage", ".vscode", ".idea")
 EXTENSIONS = ("ts", "tsx", "js", "jsx", "mjs", "cjs", "py", "rs", "go", "java", "cpp", "cc", "cxx", "c", "h", "hpp", "rb", "php", "cs", "swift", "kt", "scala", "sh", "bash", "zsh", "css", "scss", "less", "json", "jsonc", "yaml", "yml", "toml", "md", "mdx", "html", "vue", "svelte", "lean")
@@ -46,13 +48,14 @@ def guarded(files: DataFrame) -> DataFrame:
 def read_directory(spark: SparkSession, path: str, most: int | None = None, longest: int = 4 * LONGEST) -> DataFrame:
     """``file_path, content`` of the source files below a folder; the first ``most`` by path if given. Bytes that aren't UTF-8 are replaced.
 
-    Paths and lengths are listed first, without contents; files of more than ``longest`` bytes (four a code
-    point of the guard's limit) are not read. A file that is listed but cannot be read has a null content, which
-    a summary counts as a warning.
+    Paths are listed first, folder by folder, and the listing stops at ``most``; files of more than ``longest``
+    bytes (four a code point of the guard's limit) are left out. Then tasks read the chosen files' contents and no
+    others, and nothing is shuffled. A file that is listed but cannot be read has a null content, which a summary
+    counts as a warning; a folder that is not there has no files.
     """
-    source = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
-    listed = source.load(path).filter(F.col("length") <= longest).select(F.col("path").alias("file_path")).filter(is_source(F.col("file_path")) & ~skip_by_path(F.col("file_path")))
-    if most is not None:
-        listed = listed.orderBy("file_path").limit(most)
-    contents = source.load(path).filter(F.col("length") <= longest).filter(is_source(F.col("path"))).select(F.col("path").alias("file_path"), F.decode("content", "UTF-8").alias("content"))
-    return listed.join(contents, "file_path", "left")
+    spark.dataSource.register(SourceFiles)
+    pattern = "(?i)\\.(" + "|".join(EXTENSIONS) + ")$"
+    without = "(^|/)(" + "|".join(x.replace(".", "\\.") for x in LOCK_FILES) + ")$|\\.min\\.(js|css)$|\\.map$"
+    reader = spark.read.format("source_files").option("pattern", pattern).option("without", without).option("skippedFolders", ",".join(SKIPPED_FOLDERS)).option("longest", str(longest)).option("path", path)
+    reader = reader.option("pushdown", spark.conf.get("spark.sql.python.filterPushdown.enabled", "false"))
+    return (reader if most is None else reader.option("most", str(most))).load()
