@@ -39,6 +39,10 @@ def _own_folder() -> str:
     return "file://" + tempfile.mkdtemp(prefix="sievecast-")
 
 
+#: Tables that :func:`materialize` has written in this process and nothing has discarded.
+_written: list[DataFrame] = []
+
+
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` once to shared storage and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
@@ -46,6 +50,17 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._sievecast_path = path
+    _written.append(out)
+    return out
+
+
+def stage_result(make: Callable[[], DataFrame], name: str, before: DataFrame | None = None) -> DataFrame:
+    """What ``make`` gives, written; all that was written on the way to it, and the table ``before`` that it was made of, is discarded, as nothing reads it any more."""
+    mark = len(_written)
+    out = materialize(make(), name)
+    for df in [*_written[mark:], before]:
+        if df is not None and df is not out:
+            discard(df)
     return out
 
 
@@ -56,6 +71,7 @@ def discard(df: DataFrame) -> None:
         spark = df.sparkSession
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        _written[:] = [x for x in _written if x is not df]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -124,6 +140,42 @@ def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(columns, schema.types, strict=True)], schema=schema)
 
 
+def summed(parts: DataFrame, value: str, dtype: type, count: str | None = None) -> DataFrame:
+    """``parts`` with the rows of equal keys made one: ``value`` is an array of ``dtype`` in binary, added up, and so is ``count``; all other columns are the key.
+
+    Rows are dealt by key and sorted, and a task adds them up as they come: it holds one sum and one batch, however
+    many tasks have sent parts. In which order floats are added is open.
+    """
+    fields, at = parts.schema.names, parts.schema.names.index(value)
+    keys = [c for c in fields if c not in (value, count)]
+    places = [fields.index(c) for c in keys]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = total = schema = None
+        n = 0
+
+        def row() -> pa.RecordBatch:
+            own = dict(zip(keys, key, strict=True)) | {value: total.tobytes(), count: n}
+            return pa.RecordBatch.from_arrays([pa.array([own[f.name]], f.type) for f in schema], schema=schema)
+
+        for b in batches:
+            schema = b.schema
+            counts = b.column(fields.index(count)).to_pylist() if count else [0] * b.num_rows
+            for i, k in enumerate(zip(*(b.column(p).to_pylist() for p in places), strict=True)):
+                part = np.frombuffer(b.column(at)[i].as_buffer(), dtype)
+                if k != key:
+                    if key is not None:
+                        yield row()
+                    key, total, n = k, part.copy(), 0
+                else:
+                    total += part
+                n += counts[i]
+        if key is not None:
+            yield row()
+
+    return parts.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(returning(run), parts.schema)
+
+
 def starts_of(lengths: np.ndarray) -> np.ndarray:
     """Offsets at which runs of the given lengths begin."""
     out = np.zeros(len(lengths), np.int64)

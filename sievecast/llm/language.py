@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, returning, starts_of, table, text_slices
+from .common import fold, returning, starts_of, summed, table, text_slices
 
 ORDERS, BUCKETS, SMOOTHING = (2, 3), 1 << 16, 0.5
 UNKNOWN = "und"
@@ -139,12 +139,9 @@ def train(labelled: DataFrame, orders: tuple[int, ...] = ORDERS, buckets: int =
             cuts = range(0, buckets + 1, SLICE)
             yield pa.RecordBatch.from_arrays([pa.array([x] * len(cuts)), pa.array(range(len(cuts)), pa.int32()), pa.array([own[c : c + SLICE].tobytes() for c in cuts], pa.binary())], schema=counted)
 
-    def add(parts: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, np.int64) for x in parts["counts"].to_pylist())
-        return pa.Table.from_arrays([parts["lang"][:1], parts["slice"][:1], pa.array([total.tobytes()], pa.binary())], schema=counted)
-
     ddl = "lang string, slice int, counts binary"
-    rows = labelled.filter("lang is not null").select("text", "lang").mapInArrow(returning(count), ddl).groupBy("lang", "slice").applyInArrow(add, ddl).collect()
+    counts = labelled.filter("lang is not null").select("text", "lang").mapInArrow(returning(count), ddl)
+    rows = summed(counts, "counts", np.int64).collect()
     langs = tuple(sorted({r.lang for r in rows}))
     if len(langs) * buckets * 4 > MODEL_BYTES:
         raise ValueError(f"{len(langs)} languages of {buckets} buckets are over the {MODEL_BYTES} bytes to broadcast; give fewer buckets")

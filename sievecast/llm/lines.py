@@ -440,7 +440,9 @@ def deduplicate(docs: DataFrame, threshold: int = THRESHOLD, shortest: int = SHO
     carried = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
     own_id, own_text = (F.col(f"c{docs.columns.index(c)}") for c in ("doc_id", "text"))
     joined = carried.join(removed, own_id.eqNullSafe(F.col("_id")) & (F.xxhash64(own_text) == F.col("_hash")), "left")
-    left = F.filter(F.split(own_text, "\n"), lambda line, k: ~F.array_contains("_removed", k))
+    # the kept numbers by one hash set, and the lines by number from an array that is made once: a text costs its lines
+    kept = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_removed"))
+    left = F.get(F.transform(F.array(F.split(own_text, "\n")), lambda lines: F.transform(kept(lines), lambda k: F.get(lines, k))), F.lit(0))
     text = F.when(F.col("_removed").isNull(), own_text).otherwise(F.array_join(left, "\n"))
     goes = F.col("_removed").isNotNull() & ~F.exists(left, lambda line: line.rlike(r"[^ \t\n\x0B\f\r]"))
     return joined.filter(~goes).select(*[(text if c == "text" else F.col(f"c{i}")).alias(c) for i, c in enumerate(docs.columns)])

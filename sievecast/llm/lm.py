@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, materialize, pieces_of, starts_of, table, utf8
+from .common import fold, materialize, pieces_of, starts_of, summed, table, utf8
 
 #: Classes: this many frequent words of their own, and groups of all other words by their last SUFFIX bytes.
 OWN_WORDS, GROUPS, SUFFIX = 960, 64, 3
@@ -247,11 +247,7 @@ def train(docs: DataFrame, tables: WordTables, rounds: int = ROUNDS, width: int
                 for i, c in enumerate(range(0, len(flat), _SLICE)):
                     yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([trainer.seen]), pa.array([flat[c : c + _SLICE].tobytes()], pa.binary())], schema=schema)
 
-        def add(parts: pa.Table) -> pa.Table:
-            total = sum(np.frombuffer(x, np.float64) for x in parts["sums"].to_pylist())
-            return pa.Table.from_arrays([parts["slice"][:1], pa.array([sum(parts["tokens"].to_pylist())]), pa.array([total.tobytes()], pa.binary())], schema=schema)
-
-        parts = sorted(docs.select("text").mapInArrow(run, ddl).groupBy("slice").applyInArrow(add, ddl).collect(), key=lambda r: r.slice)
+        parts = sorted(summed(docs.select("text").mapInArrow(run, ddl), "sums", np.float64, "tokens").collect(), key=lambda r: r.slice)
         if parts:
             model = model.filled(np.concatenate([np.frombuffer(r.sums, np.float64) / r.tokens for r in parts]))
     return model

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, materialize, pieces_of, starts_of, table, utf8
+from .common import fold, materialize, pieces_of, starts_of, summed, table, utf8
 
 #: Word types are hashed to BUCKETS, their letter shapes to SHAPES; vectors have WIDTH dimensions, index vectors MARKS entries of +-1.
 BUCKETS, SHAPES, WIDTH, MARKS = 8192, 512, 64, 4
@@ -104,7 +104,7 @@ def _add_words(sums: np.ndarray, w: np.ndarray, lengths: np.ndarray, of_word: np
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """(BUCKETS, WIDTH): the sum of the index vectors of each word's neighbours over all texts, scaled to length 1.
 
-    A task adds up one matrix, whatever it reads; the matrices meet in groups of rows.
+    A task adds up one matrix, whatever it reads; the matrices are added up in groups of rows, exactly, as all sums are whole numbers.
     """
     schema = pa.schema([("slice", pa.int32()), ("sums", pa.binary())])
     rows = 512
@@ -126,16 +126,12 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         if any_text:
             size = rows * WIDTH
             cuts = range(0, len(total), size)
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(cuts)), pa.int32()), pa.array([total[c : c + size].astype(np.float32).tobytes() for c in cuts], pa.binary())], schema=schema)
-
-    def add(parts: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in parts["sums"].to_pylist())
-        return pa.Table.from_arrays([parts["slice"][:1], pa.array([total.astype(np.float32).tobytes()], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(cuts)), pa.int32()), pa.array([total[c : c + size].tobytes() for c in cuts], pa.binary())], schema=schema)
 
     ddl = "slice int, sums binary"
     out = np.zeros((BUCKETS, WIDTH), np.float32)
-    for r in docs.select("text").mapInArrow(run, ddl).groupBy("slice").applyInArrow(add, ddl).collect():
-        out[r.slice * rows : (r.slice + 1) * rows] = np.frombuffer(r.sums, np.float32).reshape(-1, WIDTH)
+    for r in summed(docs.select("text").mapInArrow(run, ddl), "sums", np.float64).collect():
+        out[r.slice * rows : (r.slice + 1) * rows] = np.frombuffer(r.sums).reshape(-1, WIDTH)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 

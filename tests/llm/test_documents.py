@@ -420,3 +420,54 @@ def test_language_rejects_what_no_language_explains(spark):
     noise = [(1000 + i, "".join(map(chr, rng.integers(0x3400, 0x9FFF, 60))), None) for i in range(10)]
     kept = language.accepted(spark.createDataFrame(known + noise, "doc_id long, text string, lang string"))
     assert sorted(r.doc_id for r in kept.collect()) == list(range(300))
+
+
+def test_sums_of_a_thousand_tasks(spark):
+    """A task that adds up parts holds one sum, whatever number of tasks has sent some."""
+    import tracemalloc
+
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    made = spark.range(0, 1000, 1, 1000).select((F.col("id") % 3).cast("int").alias("slice"), F.col("id").alias("tokens"), F.lit(np.arange(4, dtype=np.float64).tobytes()).alias("sums"))
+    got = {r.slice: (r.tokens, np.frombuffer(r.sums).tolist()) for r in common.summed(made, "sums", np.float64, "tokens").collect()}
+    assert got == {k: (sum(range(k, 1000, 3)), [float(x * len(range(k, 1000, 3))) for x in range(4)]) for k in range(3)}
+
+    held = {}
+
+    class Parts:
+        schema = made.schema
+
+        def repartition(self, *keys):
+            return self
+
+        sortWithinPartitions = repartition  # noqa: N815
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            held["run"] = run
+
+    common.summed(Parts(), "sums", np.float64, "tokens")
+    own = pa.schema([("slice", pa.int32()), ("tokens", pa.int64()), ("sums", pa.binary())])
+    part = np.ones(1 << 16).tobytes()
+    batches = (pa.RecordBatch.from_arrays([pa.array([k // 500], pa.int32()), pa.array([1]), pa.array([part])], schema=own) for k in range(1000))
+    tracemalloc.start()
+    sums = [np.frombuffer(b.column(2)[0].as_py())[0] for b in held["run"](batches)]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sums == [500.0, 500.0] and most < 8 * len(part)
+
+
+def test_deduplicate_costs_its_lines(spark):
+    import time
+    from hashlib import sha256
+
+    def seconds(n):
+        text = "\n".join(sha256(str(k).encode()).hexdigest() for k in range(n))
+        df = spark.createDataFrame([(1, text), (2, text + "\nlast"), (3, None)], "doc_id long, text string")
+        began = time.time()
+        out = {r.doc_id: r.text for r in lines.deduplicate(df).collect()}
+        assert out == {1: text, 2: "last", 3: None}
+        return time.time() - began
+
+    seconds(100)
+    assert seconds(40_000) < 4 * max(seconds(5_000), 2)
