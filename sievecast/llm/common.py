@@ -54,14 +54,16 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     return out
 
 
-def stage_result(make: Callable[[], DataFrame], name: str, before: DataFrame | None = None) -> DataFrame:
-    """What ``make`` gives, written; all that was written on the way to it, and the table ``before`` that it was made of, is discarded, as nothing reads it any more."""
-    mark = len(_written)
-    out = materialize(make(), name)
+def written() -> int:
+    """How many tables are written and not discarded: a mark for :func:`discard_since`."""
+    return len(_written)
+
+
+def discard_since(mark: int, keep: DataFrame, before: DataFrame | None = None) -> None:
+    """Discard what was written since a mark, but ``keep``, and the table ``before`` that it was made of: once ``keep`` is written, nothing reads them any more."""
     for df in [*_written[mark:], before]:
-        if df is not None and df is not out:
+        if df is not None and df is not keep:
             discard(df)
-    return out
 
 
 def discard(df: DataFrame) -> None:
