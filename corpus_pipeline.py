@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievecast.llm import bpe, language, lines, mixing, simhash
-from sievecast.llm.common import stage_result, table
+from sievecast.llm.common import discard_since, materialize, table, written
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,7 +73,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each stage's result is written and read back as the next one's input, and what it was made of discarded."""
-    docs, before = table(spark, sf_dir, "documents"), None
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = before = stage_result(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name, before)
+        mark, before = written(), docs
+        docs = materialize(stage(spark, before, sf_dir), name)
+        discard_since(mark, docs, before)
     return STAGES[-1][1](spark, docs, sf_dir)
