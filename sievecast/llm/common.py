@@ -142,14 +142,15 @@ def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(columns, schema.types, strict=True)], schema=schema)
 
 
-def summed(parts: DataFrame, value: str, dtype: type, count: str | None = None) -> DataFrame:
+def summed(parts: DataFrame, value: str, dtype: type, count: str | None = None, order: str | None = None) -> DataFrame:
     """``parts`` with the rows of equal keys made one: ``value`` is an array of ``dtype`` in binary, added up, and so is ``count``; all other columns are the key.
 
     Rows are dealt by key and sorted, and a task adds them up as they come: it holds one sum and one batch, however
-    many tasks have sent parts. In which order floats are added is open.
+    many tasks have sent parts. Parts of a key are added by ``order``, a whole number that the sum doesn't carry on;
+    without it, in which order floats are added is open.
     """
     fields, at = parts.schema.names, parts.schema.names.index(value)
-    keys = [c for c in fields if c not in (value, count)]
+    keys = [c for c in fields if c not in (value, count, order)]
     places = [fields.index(c) for c in keys]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +158,7 @@ def summed(parts: DataFrame, value: str, dtype: type, count: str | None = None)
         n = 0
 
         def row() -> pa.RecordBatch:
-            own = dict(zip(keys, key, strict=True)) | {value: total.tobytes(), count: n}
+            own = dict(zip(keys, key, strict=True)) | {value: total.tobytes(), count: n, order: 0}
             return pa.RecordBatch.from_arrays([pa.array([own[f.name]], f.type) for f in schema], schema=schema)
 
         for b in batches:
@@ -175,7 +176,8 @@ def summed(parts: DataFrame, value: str, dtype: type, count: str | None = None)
         if key is not None:
             yield row()
 
-    return parts.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(returning(run), parts.schema)
+    out = parts.repartition(*keys).sortWithinPartitions(*keys, *([order] if order else [])).mapInArrow(returning(run), parts.schema)
+    return out.drop(order) if order else out
 
 
 def starts_of(lengths: np.ndarray) -> np.ndarray:

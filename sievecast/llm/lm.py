@@ -6,6 +6,10 @@ frequent words are a class each; every other word belongs to a class by its last
 which its probability is its add-one share. So token probabilities are normalised, one unknown
 word a class included. As h is linear in the two contexts, two products ``R C Q'`` of all classes
 hold every score, and the normaliser is a table over pairs of contexts.
+
+Texts are turned into classes once and dealt to shards by a hash of the row. How many shards there are
+follows from the number of training tokens alone, so neither the tasks nor the files of the input
+matter: a shard is trained on its rows in the order of their hashes, with a seed of its own.
 """
 
 from __future__ import annotations
@@ -17,23 +21,31 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, materialize, pieces_of, starts_of, summed, table, utf8
+from .common import batch_of, discard, fold, materialize, pieces_of, starts_of, summed, table, utf8
 
 #: Classes: this many frequent words of their own, and groups of all other words by their last SUFFIX bytes.
 OWN_WORDS, GROUPS, SUFFIX = 960, 64, 3
 WIDTH, NOISE, BATCH, RATE, ROUNDS = 24, 128, 1024, 0.05, 2
+#: Training tokens of the first shard. Of n times as many there are n ** SHARD_POWER shards, so that shards and what each learns from both grow.
+SHARD_TOKENS, SHARD_POWER = 1 << 20, 0.75
+#: Tokens of a text that are dealt together; a longer text goes to several shards, each piece as a text of its own.
+PIECE = 1 << 16
 #: Words whose counts every task holds; the counts of all others are joined. Bounds what is broadcast, not what counts.
 HELD_WORDS = 1 << 17
+#: Longest word (bytes) that is held, so that the held words are bounded in bytes too.
+HELD_BYTES = 256
 #: Different words that a task counts before it passes them on.
 COUNTED_AT_ONCE = 300_000
 #: The end of a text, as a token. No word is empty.
 END = b""
 _WORDS_AT_ONCE = 1 << 18
 _SLICE = 8192
+_STEPS_AT_ONCE = 64
 
 
 def _group(word: bytes) -> int:
@@ -195,13 +207,14 @@ def _texts(column: pa.Array, tables: WordTables) -> Iterator[tuple[int, int, np.
 
 
 def word_tables(counts: DataFrame, held: int = HELD_WORDS) -> WordTables:
-    """The most frequent words come to the driver, at most ``held``; of all others only sums by group."""
+    """The most frequent words of up to HELD_BYTES come to the driver, at most ``held``; of all others only sums by group."""
     # by eighths of a power of two: few bins, of which the most frequent that together fit are held
     bin_ = F.floor(F.log2("c") * 8).cast("int")
-    by_bin = sorted(counts.groupBy(bin_.alias("bin")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r.bin)
+    short = counts.filter(F.length("word") <= HELD_BYTES)
+    by_bin = sorted(short.groupBy(bin_.alias("bin")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r.bin)
     fit = np.searchsorted(np.cumsum([r.n for r in by_bin]), held, side="right")
     least = by_bin[fit - 1].bin if fit else 1 << 30
-    top = counts.filter((bin_ >= least) | (F.length("word") == 0)).toArrow()
+    top = short.filter((bin_ >= least) | (F.length("word") == 0)).toArrow()
     c = dict(zip((bytes(w) for w in top["word"].to_pylist()), top["c"].to_pylist(), strict=True))
     c.setdefault(END, 0)
     words = [END, *sorted(c.keys() - {END}, key=lambda w: (-c[w], w))]
@@ -224,32 +237,98 @@ def word_tables(counts: DataFrame, held: int = HELD_WORDS) -> WordTables:
     return WordTables({w: i for i, w in enumerate(words)}, np.array([c[w] for w in words], np.int64), classes, total, unigram, int(totals[0] or 0), int(totals[1]))
 
 
+def shards_for(tokens: int) -> int:
+    """Number of shards for so many training tokens."""
+    return max(1, round((tokens / SHARD_TOKENS) ** SHARD_POWER))
+
+
+def sequences(docs: DataFrame, tables: WordTables) -> DataFrame:
+    """``key long, piece int, classes binary``: the texts of ``docs`` as classes of 16 bits, in pieces; the key is a hash of the whole row."""
+    shared = docs.sparkSession.sparkContext.broadcast(tables)
+    schema = pa.schema([("key", pa.int64()), ("piece", pa.int32()), ("classes", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = b.column(0).to_numpy()
+            for first, _, _, ids, lengths, _ in _texts(b.column(1), shared.value):
+                pieces = -(-lengths // PIECE)
+                of = np.repeat(np.arange(len(lengths)), pieces)
+                number = np.arange(len(of)) - np.repeat(starts_of(pieces), pieces)
+                cuts = np.r_[starts_of(lengths)[of] + number * PIECE, len(ids)] * 2
+                data = ids.astype(np.uint16).tobytes()
+                rows = [data[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+                yield batch_of(schema, keys[first + of], number, rows)
+
+    return docs.select(F.xxhash64(*docs.columns), "text").mapInArrow(run, "key long, piece int, classes binary")
+
+
+class _Shard:
+    """A shard's tokens as they come, taken through SGD in full batches wherever texts begin and end."""
+
+    def __init__(self, trainer: Trainer):
+        self.trainer, self.waiting, self.n = trainer, [], 0
+
+    def add(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        self.waiting.append((*contexts(ids, starts_of(lengths)), ids))
+        self.n += len(ids)
+        if self.n >= BATCH * _STEPS_AT_ONCE:
+            self._steps(self.n - self.n % BATCH)
+
+    def _steps(self, end: int) -> None:
+        w2, w1, w = (np.concatenate(x) for x in zip(*self.waiting, strict=True))
+        for i in range(0, end, BATCH):
+            part = slice(i, min(i + BATCH, end))
+            self.trainer.step(w2[part], w1[part], w[part])
+        self.waiting, self.n = [(w2[end:], w1[end:], w[end:])], self.n - end
+
+    def finish(self) -> Trainer:
+        if self.n:
+            self._steps(self.n)
+        return self.trainer
+
+
 def train(docs: DataFrame, tables: WordTables, rounds: int = ROUNDS, width: int = WIDTH) -> Parameters:
-    """Every task takes all its texts through SGD from the same start; their parameters are averaged by tokens, and the next of ``rounds`` starts from them."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(tables)
+    """Every shard goes through SGD from the same start; their parameters are averaged by tokens, and the next of ``rounds`` starts from them.
+
+    Parts are added in the order of shards, so reruns agree. Rows that are equal in all columns are in one shard.
+    """
+    spark, shards = docs.sparkSession, shards_for(tables.tokens)
+    shared = spark.sparkContext.broadcast(tables.unigram)
     model = Parameters.initial(tables.unigram, width)
-    schema = pa.schema([("slice", pa.int32()), ("tokens", pa.int64()), ("sums", pa.binary())])
-    ddl = "slice int, tokens long, sums binary"
+    schema = pa.schema([("slice", pa.int32()), ("shard", pa.int32()), ("tokens", pa.int64()), ("sums", pa.binary())])
+    ddl = "slice int, shard int, tokens long, sums binary"
+    rows = materialize(sequences(docs, tables), "classes")
+    dealt = rows.select(F.pmod(F.xxhash64("key", "piece"), F.lit(shards)).cast("int").alias("shard"), "key", "piece", "classes")
+    dealt = dealt.repartitionById(shards, "shard").sortWithinPartitions("shard", "key", "piece", "classes").select("shard", "classes")
     for k in range(rounds):
         start = spark.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch], start=start, k=k) -> Iterator[pa.RecordBatch]:
-            known = shared.value
-            trainer = Trainer(start.value, known.unigram, seed=(k, TaskContext.get().partitionId()))
-            for b in batches:
-                for _, _, _, ids, lengths, _ in _texts(b.column(0), known):
-                    w2, w1 = contexts(ids, starts_of(lengths))
-                    for i in range(0, len(ids), BATCH):
-                        trainer.step(w2[i : i + BATCH], w1[i : i + BATCH], ids[i : i + BATCH])
-            if trainer.seen:
+            def parts(shard: int, trainer: Trainer) -> Iterator[pa.RecordBatch]:
                 flat = trainer.p.flat().astype(np.float64) * trainer.seen
                 for i, c in enumerate(range(0, len(flat), _SLICE)):
-                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([trainer.seen]), pa.array([flat[c : c + _SLICE].tobytes()], pa.binary())], schema=schema)
+                    yield batch_of(schema, [i], [shard], [trainer.seen], [flat[c : c + _SLICE].tobytes()])
 
-        parts = sorted(summed(docs.select("text").mapInArrow(run, ddl), "sums", np.float64, "tokens").collect(), key=lambda r: r.slice)
-        if parts:
-            model = model.filled(np.concatenate([np.frombuffer(r.sums, np.float64) / r.tokens for r in parts]))
+            at = own = None
+            for b in batches:
+                of = b.column(0).to_numpy()
+                lengths = pc.binary_length(b.column(1)).to_numpy().astype(np.int64) // 2
+                cuts = np.flatnonzero(np.r_[True, of[1:] != of[:-1], True])
+                for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                    if of[x] != at:
+                        if own:
+                            yield from parts(at, own.finish())
+                        at = int(of[x])
+                        own = _Shard(Trainer(start.value, shared.value, seed=(k, at)))
+                    ids = np.frombuffer(b"".join(b.column(1)[x:y].to_pylist()), np.uint16).astype(np.int64)
+                    own.add(ids, lengths[x:y])
+            if own:
+                yield from parts(at, own.finish())
+
+        sums = sorted(summed(dealt.mapInArrow(run, ddl), "sums", np.float64, "tokens", "shard").collect(), key=lambda r: r.slice)
+        if sums:
+            model = model.filled(np.concatenate([np.frombuffer(r.sums, np.float64) / r.tokens for r in sums]))
+    discard(rows)
     return model
 
 
@@ -325,6 +404,7 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     text is empty: its one token is its end. A long text is read in pieces, as one sequence. Words never seen count 0 and share their group's spare
     place. Rows that repeat come out as often; other columns are ignored; an empty table gives an
     empty one. With nothing to learn from, the base gives each token probability 1 and the model its start.
+    How the input is split makes no difference to the model, and none to a score but in the last digits of sums.
     """
     docs = docs.select("doc_id", "text", (fold("doc_id", 7) == 2).alias("held_out"))
     learned = docs.filter("not held_out")

@@ -129,6 +129,52 @@ def test_lm_of_long_texts_in_parts(spark, docs, monkeypatch):
     assert whole() == before and sum(before[0][2]) == len(before[0][0])
 
 
+def test_lm_does_not_depend_on_how_its_input_is_split(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 1 << 14)
+    texts = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    tables = lm.word_tables(lm.word_counts(texts), held=3000)
+    assert lm.shards_for(tables.tokens) > 2
+    models = [lm.train(texts.repartition(n), tables, rounds=2) for n in (1, 8, 64)]
+    for m in models[1:]:
+        assert all(np.array_equal(x, y) for x, y in zip(models[0].arrays(), m.arrays(), strict=True))
+
+
+def test_lm_shards_grow_with_the_tokens():
+    assert [lm.shards_for(n) for n in (0, 1, lm.SHARD_TOKENS, 16 * lm.SHARD_TOKENS, 10_000 * lm.SHARD_TOKENS)] == [1, 1, 1, 8, 1000]
+
+
+def test_lm_sequences_hold_every_token_once(spark):
+    """Long texts come in pieces of at most PIECE tokens, equal texts of other ids under other keys, nulls as an end alone."""
+    long = " ".join(f"w{i % 700}" for i in range(2 * lm.PIECE + 5))
+    docs = spark.createDataFrame([(1, long), (2, "a b"), (3, "a b"), (4, None), (4, None), (5, ""), (6, "a" * 1000)], "doc_id long, text string")
+    tables = lm.word_tables(lm.word_counts(docs))
+    assert max(map(len, tables.place)) <= lm.HELD_BYTES and lm._group(b"a" * 1000) >= lm.OWN_WORDS
+    rows = lm.sequences(docs, tables).collect()
+    assert sorted(len(r.classes) // 2 for r in rows) == [1, 1, 1, 2, 3, 3, 6, lm.PIECE, lm.PIECE]
+    parts = [np.frombuffer(r.classes, np.uint16) for r in sorted(rows, key=lambda r: r.piece) if len(r.classes) > 10 or r.piece]
+    assert np.concatenate(parts).tolist() == tables.ids([*long.encode().split(), lm.END])[1].tolist()
+    assert len({r.key for r in rows if len(r.classes) == 6}) == 2
+
+
+def test_a_shard_takes_full_batches_wherever_texts_end():
+    steps = []
+
+    class Recorder:
+        def step(self, w2, w1, w):
+            steps.append((w2.copy(), w1.copy(), w.copy()))
+
+    rng = np.random.default_rng(4)
+    texts = [np.r_[rng.integers(1, 50, n), 0] for n in rng.integers(0, 9000, 40)]
+    shard = lm._Shard(Recorder())
+    for t in texts:
+        shard.add(t, np.array([len(t)]))
+    shard.finish()
+    ids, lengths = np.concatenate(texts), np.array([len(t) for t in texts])
+    assert [len(w) for _, _, w in steps[:-1]] == [lm.BATCH] * (len(ids) // lm.BATCH)
+    for have, want in zip(zip(*steps, strict=True), (*lm.contexts(ids, common.starts_of(lengths)), ids), strict=True):
+        assert np.array_equal(np.concatenate(have), want)
+
+
 def test_mixing(spark, duck, docs, empty):
     out = mixing.mix(docs.drop("n_tokens")).collect()
     assert len(out) == docs.count()
