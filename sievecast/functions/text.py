@@ -117,3 +117,11 @@ def char_diff(before: Column, after: Column) -> Column:
     head = common(before, after)
     tail = F.least(common(F.reverse(before), F.reverse(after)), F.ceil((shorter - head) / 2))
     return (longer - head - tail).cast("int")
+
+
+def change_summary(before: Column, after: Column) -> Column:
+    """What a fix did, for a report: the lines it added or took away, and both lengths in UTF-16 units, which the report calls bytes."""
+    lines = F.size(F.split(after, "\n")) - F.size(F.split(before, "\n"))
+    units = lambda c: (F.length(F.encode(c, "UTF-16BE")) / 2).cast("int")
+    sign = F.when(lines > 0, "+").when(lines == 0, "±").otherwise("")
+    return F.concat(sign, lines, F.lit(" lines ("), units(before), F.lit(" → "), units(after), F.lit(" bytes)"))

@@ -141,6 +141,21 @@ def _pattern_query(name: str, pattern: str | None):
 for _name, _pattern in (("pattern_eval", "eval"), ("pattern_debugger", "debugger"), ("pattern_console", "console-log"), ("pattern_empty_catch", "empty-catch"), ("pattern_secret", "hardcoded-secret"), ("pattern_alert", "alert"), ("pattern_all", None)):
     _pattern_query(_name, _pattern)
 
+_PLACES = " UNION ALL ".join(
+    f"SELECT file_path, line, k AS col, '{p}' AS pattern, substr(s, k, 80) AS snippet FROM (SELECT file_path, line, s, chr(3) || {c} AS y, unnest(range(1, len({c}) + 1)) AS k FROM lines WHERE regexp_matches({c}, '{regex}')) WHERE regexp_matches(substr(y, k), '{regex.replace("(?:^|", "^(?:", 1)}')"
+    for p, (c, regex) in _RE2.items()
+)
+
+
+@query(
+    f"""WITH {_MASKED}, lines AS (SELECT file_path, unnest(string_split(content, chr(10))) AS s, unnest(string_split(m, chr(10))) AS m, unnest(string_split(q, chr(10))) AS q, generate_subscripts(string_split(content, chr(10)), 1) AS line FROM masked),
+places AS ({_PLACES}) SELECT file_path, CAST(line AS INTEGER) AS line, CAST(col AS INTEGER) AS col, pattern, snippet FROM places"""
+)
+def pattern_places(spark, sf_dir):
+    """Every hit with its line, column and snippet. The SQL tries all columns of a line."""
+    return rules.pattern_hits(code(spark, sf_dir)).select("file_path", "line", "col", "pattern", "snippet")
+
+
 _SPECS = "specs(pattern, rule, severity) AS (VALUES " + ", ".join(f"('{p}', 'sievecast/{r}', '{s}')" for p, r, _, s, _ in rules.RULE_SPECS) + ")"
 
 
@@ -485,6 +500,14 @@ def char_diff(spark, sf_dir):
     return o.select("o_orderkey", text.char_diff(F.col("a"), F.col("b")).alias("n"))
 
 
+@query(
+    f"""WITH {EDITS_SQL}, n AS (SELECT *, len(after) - len(replace(after, chr(10), '')) - len(before) + len(replace(before, chr(10), '')) AS lines FROM edits)
+SELECT file_path, concat(CASE WHEN lines > 0 THEN '+' WHEN lines = 0 THEN '±' ELSE '' END, lines, ' lines (', len(before), ' → ', len(after), ' bytes)') AS summary FROM n"""
+)
+def autofix_summary(spark, sf_dir):
+    return edits(spark, sf_dir).select("file_path", text.change_summary(F.col("before"), F.col("after")).alias("summary"))
+
+
 @query(f"WITH {CODE_SQL} SELECT file_path, CAST((len(content) - len(replace(content, 'if (', ''))) / 4 AS INTEGER) AS n FROM code")
 def match_count(spark, sf_dir):
     return code(spark, sf_dir).select("file_path", text.count_matches(F.col("content"), F.lit("if (")).alias("n"))

@@ -168,3 +168,9 @@ def test_registry(spark):
     own = Registry().add_pattern("todo", r"\btodo\(", "left to do").add_threshold("long", F.length, 5, "too long")
     assert sorted(r.rule for r in own.matches(files).collect()) == ["sievecast/long", "sievecast/todo"]
     assert patterns.SECRET_WORDS
+
+
+def test_change_summary(spark):
+    cases = [("a\nb", "a\nb\nc", "+1 lines (3 → 5 bytes)"), ("a\nb\n", "a", "-2 lines (4 → 1 bytes)"), ("", "x", "±0 lines (0 → 1 bytes)"), ("é", "\U0001F600", "±0 lines (1 → 2 bytes)"), (None, "x", None)]
+    rows = spark.createDataFrame(cases, "before string, after string, want string").select("want", text.change_summary(F.col("before"), F.col("after")).alias("have")).collect()
+    assert [r.have for r in rows] == [r.want for r in rows]
