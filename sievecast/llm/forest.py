@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -9,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from .common import materialize, table
 from .components import connected_components
@@ -16,7 +18,7 @@ from .components import connected_components
 COSINE, TREES, LEAF = 0.98, 4, 1024
 #: Vectors that the trees' directions and first cuts are fitted on, at most; all vectors are dealt to leaves.
 FIT_ROWS = 50_000
-#: A node that fewer of those reach is not cut by them; deeper cuts are at a median of what they would have been.
+#: Levels are fitted while that many of those reach each node; below, a level's cut in a node is the median of its last fitted ancestor's rows.
 LEAST_ROWS = 8
 #: Half the overlap at a cut, in deviations of a just-linked pair's difference along a random direction.
 SPILL = 0.5
@@ -26,26 +28,31 @@ BLOCK = 1024
 
 @dataclass
 class Tree:
-    """A heap of nodes: children of i are 2i + 1 and 2i + 2. ``direction`` is by level; a node that is not ``inner`` is a leaf."""
+    """Cuts of a binary tree whose nodes are numbered as a heap: children of i are 2i + 1 and 2i + 2.
+
+    ``direction`` is by level. ``cut`` has the first levels' nodes; ``below`` has, for each node where those end, a
+    cut for every further level. So a tree's size is bounded by the fitted rows and grows with the depth only, not with the leaves.
+    """
 
     direction: np.ndarray
     cut: np.ndarray
-    inner: np.ndarray
+    below: np.ndarray
     spill: float
 
-    def leaves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, leaf) of unit vectors; a row within ``spill`` of a cut goes down both sides."""
-        row, node, level = np.arange(len(x)), np.zeros(len(x), np.int64), 0
+    def leaves(self, x: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, leaf) of unit vectors, each as deep as ``depth`` says; a row within ``spill`` of a cut goes down both sides."""
+        row, node, level, fitted = np.arange(len(x)), np.zeros(len(x), np.int64), 0, (len(self.cut) + 1).bit_length() - 1
         along = x @ self.direction.T
         out_row, out_node = [], []
         while len(row):
-            done = ~self.inner[node]
+            done = depth[row] <= level
             out_row.append(row[done])
             out_node.append(node[done])
             row, node = row[~done], node[~done]
             if not len(row):
                 break
-            side = along[row, level] - self.cut[node]
+            cut = self.cut[node] if level < fitted else self.below[(node + 1 >> level - fitted) - 2**fitted, level - fitted]
+            side = along[row, level] - cut
             level += 1
             left, right = side < self.spill, side >= -self.spill
             row, node = np.r_[row[left], row[right]], np.r_[2 * node[left] + 1, 2 * node[right] + 2]
@@ -55,68 +62,78 @@ class Tree:
 def grow(sample: np.ndarray, depth: int, spill: float, seed: int) -> Tree:
     """Recursive splits at the median of a random direction, one direction a level and tree.
 
-    The sample sets the cuts, not the depth: where fewer than 2 * LEAST_ROWS of its rows reach a node, the cut is
-    the median of the nearest ancestor's rows. So leaves stay small however many vectors there are.
+    The sample sets the cuts, not the depth: levels are fitted while each node has LEAST_ROWS of its rows; deeper
+    nodes take the median of their last fitted ancestor's rows along their own level's direction. So leaves stay
+    small however many vectors there are, and no node below the fitted ones is ever listed.
     """
-    draw, n, d = np.random.default_rng(seed), 2 ** (depth + 1) - 1, sample.shape[1]
+    draw, (n, d) = np.random.default_rng(seed), sample.shape
     direction = draw.normal(size=(max(1, depth), d))
-    tree = Tree(direction / np.linalg.norm(direction, axis=1, keepdims=True), np.zeros(n), np.zeros(n, bool), spill)
-    members = {0: sample}
-    for node in range(2**depth - 1):
-        own = members.pop(node)
-        if not len(own):
-            continue
-        p = own @ tree.direction[(node + 1).bit_length() - 1]
-        tree.cut[node], tree.inner[node] = np.median(p), True
-        below = own[p < tree.cut[node]], own[p >= tree.cut[node]]
-        for child, rows in zip((2 * node + 1, 2 * node + 2), below, strict=True):
-            members[child] = rows if len(rows) >= LEAST_ROWS else own
-    return tree
-
-
-def _unit(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(valid rows, their vectors in double precision scaled to length 1). Not valid: null, zero, null or non-finite components."""
-    rows, out = [], []
-    for i, v in enumerate(column.to_pylist()):
-        if v and None not in v:
-            x = np.array(v, np.float64)
-            top = np.abs(x).max()
-            if np.isfinite(top) and top > 0:
-                x = x / top
-                rows.append(i)
-                out.append(x / np.sqrt((x * x).sum()))
-    return np.array(rows, np.int64), out
+    direction /= np.linalg.norm(direction, axis=1, keepdims=True)
+    fitted = min(depth, max(0, (n // LEAST_ROWS).bit_length() - 1))
+    along = sample @ direction.T
+    order, starts, cuts = np.arange(n), np.array([0, n]), []
+    for level in range(fitted):
+        node = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+        order = order[np.lexsort((along[order, level], node))]
+        middle = (starts[:-1] + starts[1:]) // 2
+        cuts.append((along[order[middle - 1], level] + along[order[middle], level]) / 2)
+        starts = np.sort(np.r_[starts, middle])
+    below = np.zeros((len(starts) - 1, depth - fitted))
+    for i in range(len(below) if n else 0):
+        below[i] = np.median(along[order[starts[i] : starts[i + 1]], fitted:depth], axis=0)
+    return Tree(direction, np.concatenate(cuts) if cuts else np.zeros(0), below, spill)
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    """Rows in double precision scaled to length 1; first by their largest component, so that no square overflows."""
+    x = x.astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
 def _dealt(vectors: DataFrame, trees: list[Tree]) -> DataFrame:
-    """(row id, label, unit vector, all its leaves) for each leaf that a vector is in. Leaves of all trees are numbered through."""
+    """(row id, label, vector as it came, all its leaves) for each leaf that a vector is in; ``depth`` 0 is one leaf, the same in any tree.
+
+    Rows have a usable vector and ``depth``, that of their label. Leaves of all trees are numbered through; vectors of another length than the trees' are one leaf a length.
+    """
     shared = vectors.sparkSession.sparkContext.broadcast(trees)
     ddl = "id long, copies long, label long, leaf long, leaves array<long>, v binary"
     schema = pa.schema([("id", pa.int64()), ("copies", pa.int64()), ("label", pa.int64()), ("leaf", pa.int64()), ("leaves", pa.list_(pa.int64())), ("v", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, unit = _unit(b.column(3))
+            raw = [np.asarray(v) for v in _arrays(b.column(4))]
+            depth = b.column(3).to_numpy()
             by_width: dict[int, list[int]] = {}
-            for k, x in enumerate(unit):
+            for k, x in enumerate(raw):
                 by_width.setdefault(len(x), []).append(k)
             for width, ks in by_width.items():
-                x = np.array([unit[k] for k in ks])
+                ks = np.array(ks)
+                own = np.zeros(len(ks), np.int64)
                 at, leaf = [], []
-                for t, tree in enumerate(shared.value):
-                    r, n = tree.leaves(x) if width == tree.direction.shape[1] else (np.arange(len(x)), np.full(len(x), 0))
-                    at.append(r)
-                    leaf.append(n + t * len(tree.inner) if width == tree.direction.shape[1] else n - width - 1)
-                at, leaf = np.concatenate(at), np.concatenate(leaf)
-                pairs = np.unique(np.column_stack([at, leaf]), axis=0)
-                at, leaf = pairs[:, 0], pairs[:, 1]
-                cuts = np.searchsorted(at, np.arange(len(x) + 1))
-                lists = [leaf[cuts[i] : cuts[i + 1]] for i in range(len(x))]
-                take = pa.array(rows[np.array(ks)][at])
-                raw = [y.tobytes() for y in x]
-                yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in range(3)), pa.array(leaf), pa.array([lists[i] for i in at], pa.list_(pa.int64())), pa.array([raw[i] for i in at], pa.binary())], schema=schema)
-
-    return vectors.select("id", "copies", F.col("label").cast("long").alias("label"), "embedding").mapInArrow(run, ddl)
+                if shared.value and width == shared.value[0].direction.shape[1]:
+                    own, x = depth[ks], _units(np.array([raw[k] for k in ks]))
+                    split = np.flatnonzero(own > 0)
+                    for t, tree in enumerate(shared.value if len(split) else []):
+                        r, n = tree.leaves(x[split], own[split])
+                        at.append(split[r])
+                        leaf.append(n * len(shared.value) + t)
+                whole = np.flatnonzero(own == 0)
+                at, leaf = np.concatenate([*at, whole]), np.concatenate([*leaf, np.full(len(whole), -1 - width)])
+                order = np.lexsort((leaf, at))
+                at, leaf = at[order], leaf[order]
+                cuts = np.searchsorted(at, np.arange(len(ks) + 1))
+                lists = [leaf[cuts[i] : cuts[i + 1]] for i in range(len(ks))]
+                take = pa.array(ks[at])
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in range(3)), pa.array(leaf), pa.array([lists[i] for i in at], pa.list_(pa.int64())), pa.array([raw[ks[i]].tobytes() for i in at], pa.binary())], schema=schema)
+
+    return vectors.select("id", "copies", F.col("label").cast("long").alias("label"), F.col("depth").cast("long").alias("depth"), "embedding").mapInArrow(run, ddl)
+
+
+def _arrays(column: pa.Array) -> list[np.ndarray]:
+    """The vectors of a column without nulls, as views of its values."""
+    flat, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum(column.value_lengths().to_numpy())
+    return np.split(flat, ends[:-1]) if len(ends) else []
 
 
 def _first_common(a: list[np.ndarray], b: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -147,7 +164,7 @@ def _spanning(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
     return keep
 
 
-def _compare(parts: pa.Table, cosine: float) -> pa.Table:
+def _compare(parts: pa.Table, cosine: float, dtype: type) -> pa.Table:
     """One block, or two, of a leaf -> (id, other, links): counts of links that this leaf owns, and edges that connect them.
 
     A link belongs to the first leaf that both vectors are in, so it counts once however many trees find it.
@@ -155,7 +172,7 @@ def _compare(parts: pa.Table, cosine: float) -> pa.Table:
     block = parts["block"].to_numpy()
     first, second, leaf = parts["first"][0].as_py(), parts["second"][0].as_py(), parts["leaf"][0].as_py()
     ids, copies, lists = parts["id"].to_numpy(), parts["copies"].to_numpy(), [np.array(x) for x in parts["leaves"].to_pylist()]
-    v = np.array([np.frombuffer(x, np.float64) for x in parts["v"].to_pylist()])
+    v = _units(np.array([np.frombuffer(x, dtype) for x in parts["v"].to_pylist()]))
     one, two = np.flatnonzero(block == first), np.flatnonzero(block == second)
     links, edges = np.zeros(len(ids), np.int64), []
     for at in range(0, len(one), 256):
@@ -184,8 +201,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, trees: int = TRE
     different lengths. ``n_links`` counts linked rows, ``component_id`` is the smallest ``vec_id``
     reachable by links, itself included; ``kept`` if that is the row's own.
 
-    The trees' cuts are fitted on at most ``fit_rows`` vectors; every vector is dealt to leaves, and the trees
-    are as deep as the vectors need. The overlap at a cut is a deviation of a just-linked pair's difference
+    The trees' cuts are fitted on at most ``fit_rows`` vectors of labels that need cuts; every vector is dealt to
+    leaves, as deep as the rows of its own label need, so labels of up to ``leaf`` rows are one leaf. The overlap at a cut is a deviation of a just-linked pair's difference
     along a random direction, so one cut parts such a pair with a chance of some 1.5 %, and a link is
     lost only where all trees part it. Found pairs are verified exactly. Leaves above ``block`` rows are compared block by block, in a task each.
     Exact copies are compared once: members of a group of equal vectors link all with all, and with
@@ -198,20 +215,27 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, trees: int = TRE
     # written, so the ids stay what they are
     distinct = materialize(distinct.withColumns({"usable": F.coalesce(usable, F.lit(False)), "id": F.monotonically_increasing_id()}), "vectors")
     good = distinct.filter("usable")
-    largest = good.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    sample = good.orderBy(F.xxhash64("embedding"), "id").limit(fit_rows).select("embedding").toArrow()["embedding"]
-    width = max((len(v) for v in sample), default=1)
-    x = np.array([v for v in sample.to_pylist() if len(v) == width], np.float64).reshape(-1, width)
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-    depth = int(np.ceil(np.log2(max(1, largest / leaf))))
-    spill = float(SPILL * np.sqrt(2 - 2 * cosine) / np.sqrt(width))
-    dealt = materialize(_dealt(good, [grow(x, depth, spill, t) for t in range(trees)]), "leaves")
+    # only labels that are cut have a row; without a hint, Spark broadcasts them if they are few and splits a hot label if not
+    cut = good.groupBy("label").count().filter(F.col("count") > leaf).select("label", F.ceil(F.log2(F.col("count") / leaf)).cast("int").alias("depth"))
+    cut = materialize(cut, "depths")
+    depth = cut.agg(F.max("depth")).first()[0] or 0
+    planted = []
+    if depth:
+        sample = good.join(cut, "label", "left_semi").orderBy(F.xxhash64("embedding"), "id").limit(fit_rows).select("embedding").toArrow()["embedding"]
+        widths = Counter(len(v) for v in sample)
+        width = min(widths, key=lambda w: (-widths[w], w))
+        x = _units(np.array([v for v in sample.to_pylist() if len(v) == width], np.float64))
+        spill = float(SPILL * np.sqrt(2 - 2 * cosine) / np.sqrt(width))
+        planted = [grow(x, depth, spill, t) for t in range(trees)]
+    with_depth = good.join(cut, "label", "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
+    dealt = materialize(_dealt(with_depth, planted), "leaves")
+    dtype = np.float32 if vectors.schema["embedding"].dataType.elementType == FloatType() else np.float64
     sizes = dealt.groupBy("label", "leaf").agg(F.count("*").alias("members")).filter("members > 1")
     sizes = sizes.select("label", "leaf", F.ceil(F.col("members") / block).cast("int").alias("blocks"))
     placed = dealt.join(sizes, ["label", "leaf"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select("id", "copies", "label", "leaf", "leaves", "v", "block", F.least("block", "_with").alias("first"), F.greatest("block", "_with").alias("second"))
-    found = materialize(placed.groupBy("label", "leaf", "first", "second").applyInArrow(lambda t: _compare(t, cosine), "id long, other long, links long"), "links")
+    found = materialize(placed.groupBy("label", "leaf", "first", "second").applyInArrow(lambda t: _compare(t, cosine, dtype), "id long, other long, links long"), "links")
     links = found.filter("other is null").groupBy("id").agg(F.sum("links").alias("links"))
     roots = connected_components(found.filter("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
     known = distinct.join(links, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left")

@@ -85,7 +85,7 @@ def test_embedding_near_dedup(spark, duck, odd_vectors):
     assert spark_rows(out, columns) == duck_rows(duck, queries.ORACLE_SQL["op10_embedding_near_dedup"], columns)
 
 
-@pytest.mark.parametrize("depth", [5, 8, 11])
+@pytest.mark.parametrize("depth", [5, 8, 11, 20])
 def test_forest_recall_where_trees_split(depth):
     """Just-linked pairs in 64 dimensions: few are parted by all trees, and the spill keeps the copies of a vector few."""
     rng = np.random.default_rng(9)
@@ -99,15 +99,39 @@ def test_forest_recall_where_trees_split(depth):
     together, copies = np.zeros(len(x), bool), 0
     for seed in range(forest.TREES):
         tree = forest.grow(x[:1000], depth, spill, seed)
-        leaves = [set(zip(*map(np.ndarray.tolist, tree.leaves(v)), strict=True)) for v in (x, y)]
+        leaves = [set(zip(*map(np.ndarray.tolist, tree.leaves(v, np.full(len(v), depth))), strict=True)) for v in (x, y)]
         together[[row for row, _ in leaves[0] & leaves[1]]] = True
         copies += len(leaves[0]) / len(x)
-        sizes = np.bincount([leaf for _, leaf in leaves[0]])
+        sizes = np.unique([leaf for _, leaf in leaves[0]], return_counts=True)[1]
         assert sizes.max() < 3 * len(x) / 2 ** min(depth, 6)
     assert together.mean() > 0.99
     assert copies < 4 * 1.1**depth
 
 
+def test_a_tree_is_bounded_by_its_sample():
+    """Neither time nor size of a tree goes with the number of its leaves."""
+    x = np.random.default_rng(4).normal(size=(2000, 16))
+    for depth in (3, 20, 40):
+        tree = forest.grow(x, depth, 0.0, 1)
+        assert len(tree.cut) < len(x) / forest.LEAST_ROWS and tree.below.size <= len(x) / forest.LEAST_ROWS * depth
+        row, leaf = tree.leaves(x, np.full(len(x), depth))
+        assert sorted(row) == list(range(len(x))) and leaf.min() >= 2**depth - 1 and leaf.max() < 2 ** (depth + 1) - 1
+    row, leaf = tree.leaves(x, np.arange(len(x)) % 4)
+    assert all((leaf[row == r] + 1 >> r % 4 == 1).all() for r in range(100))
+
+
+def test_labels_are_cut_as_their_own_rows_need(spark):
+    """A large label is split and a small one is a single leaf, in one table; results equal brute force in both."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(150, 32))
+    rows = [(2 * i + c, (x + c * 0.02 * rng.normal(size=32)).tolist(), int(i % 10 == 0)) for i, x in enumerate(base) for c in (0, 1)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in forest.near_duplicates(vectors(spark, rows), leaf=40, block=16).collect()}
+    unit = np.array([np.float32(v) for _, v, _ in rows], np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    close = (unit @ unit.T >= 0.98) & np.equal.outer(*[[label for _, _, label in rows]] * 2)
+    assert got == {i: (int(close[i].sum()) - 1, int(close[i].argmax())) for i in range(len(rows))}
+
+
 @pytest.fixture(scope="module")
 def coder():
     with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
