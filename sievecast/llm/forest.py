@@ -136,13 +136,19 @@ def _arrays(column: pa.Array) -> list[np.ndarray]:
     return np.split(flat, ends[:-1]) if len(ends) else []
 
 
-def _first_common(a: list[np.ndarray], b: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The smallest leaf that both of each pair are in. Leaf lists are sorted."""
-    width = max(max(map(len, a), default=1), max(map(len, b), default=1))
-    pad = lambda lists, fill: np.array([np.r_[x, np.full(width - len(x), fill)] for x in lists])
-    x, y = pad(a, -1 << 60)[i], pad(b, -2 << 60)[j]
-    common = (x[:, :, None] == y[:, None, :]).any(axis=2)
-    return x[np.arange(len(i)), common.argmax(axis=1)]
+def _padded(lists: pa.ChunkedArray) -> np.ndarray:
+    """Sorted lists as rows of one array, filled up with distinct numbers that no leaf has."""
+    lists = lists.combine_chunks()
+    n, lengths = len(lists), lists.value_lengths().to_numpy()
+    out = np.iinfo(np.int64).min + np.arange(n * lengths.max(), dtype=np.int64).reshape(n, -1)
+    out[np.arange(out.shape[1]) < lengths[:, None]] = lists.flatten().to_numpy()
+    return out
+
+
+def _first_common(leaves: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest leaf that both of each pair are in."""
+    common = (leaves[i][:, :, None] == leaves[j][:, None, :]).any(axis=2)
+    return leaves[i, common.argmax(axis=1)]
 
 
 def _spanning(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
@@ -171,8 +177,8 @@ def _compare(parts: pa.Table, cosine: float, dtype: type) -> pa.Table:
     """
     block = parts["block"].to_numpy()
     first, second, leaf = parts["first"][0].as_py(), parts["second"][0].as_py(), parts["leaf"][0].as_py()
-    ids, copies, lists = parts["id"].to_numpy(), parts["copies"].to_numpy(), [np.array(x) for x in parts["leaves"].to_pylist()]
-    v = _units(np.array([np.frombuffer(x, dtype) for x in parts["v"].to_pylist()]))
+    ids, copies, leaves = parts["id"].to_numpy(), parts["copies"].to_numpy(), _padded(parts["leaves"])
+    v = _units(np.frombuffer(b"".join(parts["v"].to_pylist()), dtype).reshape(len(ids), -1))
     one, two = np.flatnonzero(block == first), np.flatnonzero(block == second)
     links, edges = np.zeros(len(ids), np.int64), []
     for at in range(0, len(one), 256):
@@ -183,7 +189,7 @@ def _compare(parts: pa.Table, cosine: float, dtype: type) -> pa.Table:
         if first == second:
             i, j = i[i < j], j[i < j]
         if len(i):
-            own = np.concatenate([_first_common(lists, lists, i[c : c + 20_000], j[c : c + 20_000]) for c in range(0, len(i), 20_000)]) == leaf
+            own = np.concatenate([_first_common(leaves, i[c : c + 20_000], j[c : c + 20_000]) for c in range(0, len(i), 20_000)]) == leaf
             i, j = i[own], j[own]
             links += (np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))).astype(np.int64)
             span = _spanning(i, j, len(ids))
