@@ -17,7 +17,7 @@ from .common import fold, materialize, pieces_of, starts_of, summed, table, utf8
 #: Word types are hashed to BUCKETS, their letter shapes to SHAPES; vectors have WIDTH dimensions, index vectors MARKS entries of +-1.
 BUCKETS, SHAPES, WIDTH, MARKS = 8192, 512, 64, 4
 #: Dimensions of the shapes' vectors, and of the words' own index vectors, by whose mean repetition shows.
-SHAPE_WIDTH, OWN_WIDTH = 32, 24
+SHAPE_WIDTH, OWN_WIDTH = 64, 64
 #: Most labelled rows that the network is fitted on, in the order of a hash of their ids.
 FIT_ROWS = 20_000
 THRESHOLD = 0.3
@@ -91,14 +91,24 @@ def _runs(column: pa.Array, ids: WordIds) -> Iterator[tuple[int, int, np.ndarray
         yield first, len(column), np.concatenate(parts), np.array(lengths)
 
 
-def _add_words(sums: np.ndarray, w: np.ndarray, lengths: np.ndarray, of_word: np.ndarray, of_shape: np.ndarray) -> None:
-    """Add the vectors of each text's words and shapes to its row, so many words at a time."""
+def _add_words(sums: np.ndarray, w: np.ndarray, lengths: np.ndarray, of_word: np.ndarray, of_shape: np.ndarray, width: int) -> None:
+    """Add to each text's row its words' vectors, its shapes' and, of the first ``width`` dimensions, neighbours' products, so many words at a time."""
     text, cut = np.repeat(np.arange(len(lengths)), lengths), of_word.shape[1]
+    last, before = np.zeros(width, of_word.dtype), -1
     for c in range(0, len(w), _WORDS_AT_ONCE):
         some, of = w[c : c + _WORDS_AT_ONCE], text[c : c + _WORDS_AT_ONCE]
         starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-        sums[of[starts], :cut] += np.add.reduceat(of_word[some // SHAPES], starts, axis=0)
-        sums[of[starts], cut:] += np.add.reduceat(of_shape[some % SHAPES], starts, axis=0)
+        words = of_word[some // SHAPES]
+        products = np.empty((len(some), width), of_word.dtype)
+        np.multiply(words[1:, :width], words[:-1, :width], out=products[1:])
+        # a text's first word has no word before it, unless the text began in the part before
+        products[starts] = 0
+        if of[0] == before:
+            products[0] = words[0, :width] * last
+        last, before = words[-1, :width].copy(), of[-1]
+        sums[of[starts], :cut] += np.add.reduceat(words, starts, axis=0)
+        sums[of[starts], cut : cut + of_shape.shape[1]] += np.add.reduceat(of_shape[some % SHAPES], starts, axis=0)
+        sums[of[starts], cut + of_shape.shape[1] :] += np.add.reduceat(products, starts, axis=0)
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
@@ -136,7 +146,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 
 
 def pooled(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
-    """``doc_id, features array<float>``: mean word vector, mean shape vector, length of the mean index vector (repetition), log words."""
+    """``doc_id, features array<float>``: mean word vector, mean product of neighbours' word vectors (how well words go together), mean shape vector, length of the mean index vector (repetition), log words."""
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
     schema = pa.schema([("doc_id", pa.int64()), ("features", pa.list_(pa.float32()))])
 
@@ -146,11 +156,12 @@ def pooled(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
         for b in batches:
             doc_ids = b.column(0).cast(pa.int64())
             for first, end, w, lengths in _runs(b.column(1), ids):
-                sums = np.zeros((len(lengths), WIDTH + OWN_WIDTH + SHAPE_WIDTH), np.float64)
-                _add_words(sums, w, lengths, of_word, shapes)
-                sums /= np.maximum(lengths, 1)[:, None]
+                sums = np.zeros((len(lengths), 2 * WIDTH + OWN_WIDTH + SHAPE_WIDTH), np.float64)
+                _add_words(sums, w, lengths, of_word, shapes, WIDTH)
+                sums[:, :-WIDTH] /= np.maximum(lengths, 1)[:, None]
+                sums[:, -WIDTH:] /= np.maximum(lengths - 1, 1)[:, None]
                 repeats = np.linalg.norm(sums[:, WIDTH : WIDTH + OWN_WIDTH], axis=1) / MARKS**0.5
-                f = np.column_stack([sums[:, :WIDTH], sums[:, WIDTH + OWN_WIDTH :], repeats, repeats**2, np.log1p(lengths)]).astype(np.float32)
+                f = np.column_stack([sums[:, :WIDTH], sums[:, -WIDTH:], sums[:, WIDTH + OWN_WIDTH : -WIDTH], repeats, repeats**2, np.log1p(lengths)]).astype(np.float32)
                 offsets = pa.array(np.arange(len(f) + 1, dtype=np.int32) * f.shape[1])
                 yield pa.RecordBatch.from_arrays([doc_ids[first:end], pa.ListArray.from_arrays(offsets, pa.array(f.ravel()))], schema=schema)
 
@@ -223,7 +234,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, thre
     usable = usable.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("_most")).filter("quality = _most")
     sample = usable.select("doc_id", "quality").join(features.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     fitted = features.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality").agg(F.min("features").alias("features")).toPandas().sort_values("doc_id")
-    x = np.array(fitted["features"].to_list(), np.float64).reshape(len(fitted), -1) if len(fitted) else np.zeros((0, WIDTH + SHAPE_WIDTH + 3))
+    x = np.array(fitted["features"].to_list(), np.float64).reshape(len(fitted), -1) if len(fitted) else np.zeros((0, 2 * WIDTH + SHAPE_WIDTH + 3))
     shared = docs.sparkSession.sparkContext.broadcast(fit(x, fitted["quality"].to_numpy(np.float64)))
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 

@@ -321,7 +321,7 @@ def test_quality(spark, docs, empty):
 
 
 def brute_quality_features(texts):
-    """Neighbours' index vectors summed word by word, then plain means over each text's words."""
+    """Neighbours' index vectors summed word by word, then plain means over each text's words and neighbours."""
     def index(n, width, seed):
         at, sign = quality._index_vectors(n, width, seed)
         out = np.zeros((n, width))
@@ -345,7 +345,8 @@ def brute_quality_features(texts):
         repeats = np.linalg.norm(mean) / quality.MARKS**0.5
         word = sum((vectors[bucket(w)] for w in words), np.zeros(quality.WIDTH)) / n
         shapes = sum((of_shape[crc32(quality.shape(w)) % quality.SHAPES] for w in words), np.zeros(quality.SHAPE_WIDTH)) / n
-        yield np.r_[word, shapes, repeats, repeats**2, np.log1p(len(words))]
+        products = sum((vectors[bucket(a)] * vectors[bucket(b)] for a, b in zip(words, words[1:])), np.zeros(quality.WIDTH)) / max(len(words) - 1, 1)
+        yield np.r_[word, products, shapes, repeats, repeats**2, np.log1p(len(words))]
 
 
 def test_quality_features_by_brute_force(spark, docs):
@@ -370,9 +371,9 @@ def test_quality_of_long_texts_in_parts(monkeypatch):
     of_word, of_shape = (np.random.default_rng(i).normal(size=(n, 5)) for i, n in ((1, quality.BUCKETS), (2, quality.SHAPES)))
 
     def sums(parts):
-        out = np.zeros((len(texts), 10))
+        out = np.zeros((len(texts), 13))
         for first, end, w, lengths in parts:
-            quality._add_words(out[first:end], w, lengths, of_word, of_shape)
+            quality._add_words(out[first:end], w, lengths, of_word, of_shape, 3)
         return out
 
     before = sums(whole)
@@ -390,6 +391,19 @@ def test_quality_on_held_out_documents(spark):
     assert np.mean([a > b for a in good for b in bad]) > 0.9
 
 
+def test_quality_by_word_vectors_alone(spark):
+    """The word vectors carry the score: without shapes, repetition and length it is as good on held-out rows."""
+    large = SMALL.replace("sf0.001", "sf0.1")
+    documents, labels = (spark.read.parquet(f"{large}/{name}.parquet") for name in ("documents", "labels"))
+    labels = labels.filter("quality is not null").select("doc_id", "quality")
+    rows = quality.pooled(documents, quality.word_vectors(documents)).join(labels, "doc_id").toPandas().sort_values("doc_id")
+    x, y = np.array(rows["features"].to_list(), np.float64)[:, : 2 * quality.WIDTH], rows["quality"].to_numpy(np.float64)
+    held = np.array([crc32(str(i).encode()) % 5 == 0 for i in rows["doc_id"]])
+    scores = quality.fit(x[~held], y[~held]).scores(x[held])
+    good, bad = scores[y[held] == 1], scores[y[held] == 0]
+    assert (good[:, None] > bad).mean() > 0.995
+
+
 def test_token_counts(spark, docs, empty):
     want = Counter((r.doc_id, len(text_of(r).split())) for r in docs.collect())
     for file_bytes, block in ((1 << 28, 1 << 22), (100, 6)):
