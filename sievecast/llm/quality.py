@@ -23,6 +23,8 @@ FIT_ROWS = 20_000
 THRESHOLD = 0.3
 _REMEMBERED = 600_000
 _WORDS_AT_ONCE = 1 << 17
+#: Words whose vectors are gathered at a time: few enough that they stay in a core's cache.
+_ADDED_AT_ONCE = 1 << 11
 _RUN = re.compile(r"(.)\1+", re.DOTALL)
 
 
@@ -95,8 +97,8 @@ def _add_words(sums: np.ndarray, w: np.ndarray, lengths: np.ndarray, of_word: np
     """Add to each text's row its words' vectors, its shapes' and, of the first ``width`` dimensions, neighbours' products, so many words at a time."""
     text, cut = np.repeat(np.arange(len(lengths)), lengths), of_word.shape[1]
     last, before = np.zeros(width, of_word.dtype), -1
-    for c in range(0, len(w), _WORDS_AT_ONCE):
-        some, of = w[c : c + _WORDS_AT_ONCE], text[c : c + _WORDS_AT_ONCE]
+    for c in range(0, len(w), _ADDED_AT_ONCE):
+        some, of = w[c : c + _ADDED_AT_ONCE], text[c : c + _ADDED_AT_ONCE]
         starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
         words = of_word[some // SHAPES]
         products = np.empty((len(some), width), of_word.dtype)

@@ -378,6 +378,7 @@ def test_quality_of_long_texts_in_parts(monkeypatch):
 
     before = sums(whole)
     monkeypatch.setattr(quality, "_WORDS_AT_ONCE", 700)
+    monkeypatch.setattr(quality, "_ADDED_AT_ONCE", 300)
     parts = list(quality._runs(pa.array(texts), ids))
     assert [p[:2] for p in parts] == [(0, 1), (1, 4)] and np.allclose(sums(parts), before)
     assert quality.shape("ÄÖllé٣4-x".encode()) == b"Aa0-a"
