@@ -45,12 +45,13 @@ def preexisting_counts(matches: DataFrame, edits: DataFrame) -> DataFrame:
 
 def new_lint(diagnostics: DataFrame, edits: DataFrame) -> DataFrame:
     """Lint results of an edit: all of a new file or one without an edit, all without a line, else those on changed lines."""
-    new_file = F.coalesce("before", F.lit("")) == ""
-    kept = diagnostics.join(edits.filter(~new_file).select("file_path").distinct(), "file_path", "left_anti")
-    edited = diagnostics.join(edits.filter(~new_file).select("file_path").distinct(), "file_path", "left_semi")
-    whole, lined = F.coalesce("line", F.lit(0)) == 0, F.coalesce("line", F.lit(0)) != 0
-    on_line = edited.filter(lined).join(changed_lines(edits).distinct(), ["file_path", "line"], "left_semi")
-    return kept.unionByName(edited.filter(whole)).unionByName(on_line.select(*diagnostics.columns))
+    edited = edits.filter(F.coalesce("before", F.lit("")) != "")
+    files = edited.select(F.col("file_path").alias("_file")).distinct()
+    lines = changed_lines(edits).distinct().select(F.col("file_path").alias("_changed"), F.col("line").alias("_line"))
+    marked = diagnostics.join(files, F.col("file_path") == F.col("_file"), "left")
+    marked = marked.join(lines, (F.col("file_path") == F.col("_changed")) & (F.col("line") == F.col("_line")), "left")
+    kept = F.col("_file").isNull() | (F.coalesce("line", F.lit(0)) == 0) | F.col("_line").isNotNull()
+    return marked.filter(kept).select(*diagnostics.columns)
 
 
 def line_range(edits: DataFrame) -> DataFrame:

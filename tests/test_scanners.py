@@ -77,3 +77,18 @@ def test_changed_lines_cost_their_number():
     began = time.time()
     assert [len(x) for x in run(old, new)] == [100_000, 200_000] and time.time() - began < 5
     assert list(run(pd.Series(["a\nb", "", None, "x"]), pd.Series(["b\nc\na", "\nq", "z\n", None]))) == [[2], [2], [1], None]
+
+
+def test_new_lint_in_one_read_of_the_diagnostics(spark):
+    """New files and files without an edit keep all; others what has no line or is on a changed one. Repeated rows and null lines stay."""
+    from sievecast.operators import diff
+
+    edits = spark.createDataFrame([("new", "", "a\nb"), ("old", "a\nb\nc", "a\nx\nc"), ("old", "a\nb\nc", "a\nb\ny"), ("gone", "a", None), ("both", None, "q"), ("both", "p", "p\nr")], "file_path string, before string, after string")
+    rows = [("new", 1), ("new", 9), ("other", 5), ("other", None), ("old", 1), ("old", 2), ("old", 2), ("old", 3), ("old", 0), ("old", None), ("gone", 1), ("gone", 0), ("both", 1), ("both", 2), ("both", 3), (None, 1)]
+    diagnostics = spark.createDataFrame([(*r, "m") for r in rows], "file_path string, line int, message string")
+    got = diff.new_lint(diagnostics, edits)
+    dropped = [("old", 1), ("gone", 1), ("both", 3)]
+    assert got.columns == diagnostics.columns
+    assert sorted(map(str, [(r.file_path, r.line) for r in got.collect()])) == sorted(map(str, [r for r in rows if r not in dropped]))
+    reads = diff.new_lint(diagnostics, edits)._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD")
+    assert reads <= 3
