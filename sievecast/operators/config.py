@@ -70,10 +70,10 @@ def applicable(files: DataFrame, tool_table: DataFrame) -> DataFrame:
     end = lambda k: F.concat(F.lit("."), F.array_join(F.slice(parts, k + 1, F.size(parts)), "."))
     ends = files.select("file_path", F.explode(F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), end))).alias("_end"))
     by_end = tool_table.filter(F.size("extensions") > 0).select("name", F.explode(F.array_distinct("extensions")).alias("_end"))
+    # a scalar subquery: one list, run with the query and not while its plan is made
     every = tool_table.filter(F.size("extensions") == 0).agg(F.collect_list("name").alias("_names"))
     found = ends.join(by_end, "_end").select("file_path", "name").distinct()
-    always = every.first()["_names"]
-    return found.unionByName(files.select("file_path", F.explode(F.array(*map(F.lit, always))).alias("name"))) if always else found
+    return found.unionByName(files.withColumn("_names", every.scalar()).select("file_path", F.explode("_names").alias("name")))
 
 
 def available(tool_table: DataFrame, installed: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: Phrases of messages about a tool's own configuration.
 CONFIG_NOISE = ("file ignored", "no matching configuration", "no eslint configuration")
+#: Phrases of lines that are no diagnostics.
 TEXT_NOISE = ("File ignored", "No files matching")
 COLUMNS = ("file_path", "tool", "line", "col", "severity", "rule", "message", "has_fix")
 
