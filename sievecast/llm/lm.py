@@ -18,6 +18,8 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -103,48 +105,99 @@ class Parameters:
         return Parameters(*(p.reshape(x.shape).astype(np.float32) for p, x in zip(np.split(flat, cuts), self.arrays(), strict=True)))
 
 
-def _scatter(ids: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Sum of the rows of each id."""
-    order = np.argsort(ids.astype(np.uint16) if n < 1 << 16 else ids, kind="stable")  # short numbers are sorted by radix
-    sorted_ids = ids[order]
-    first = np.flatnonzero(np.r_[True, sorted_ids[1:] != sorted_ids[:-1]])
-    out = np.zeros((n, rows.shape[1]), np.float32)
-    out[sorted_ids[first]] = np.add.reduceat(rows[order], first, axis=0)
-    return out
+@cache
+def _places(rows: int, width: int) -> np.ndarray:
+    return np.arange(rows * width).reshape(rows, width)
+
+
+def _add_rows(out: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
+    """Add each of ``rows`` to the row of ``out`` that its id names; two neighbouring numbers at once where the width is even."""
+    kind = out.dtype if out.shape[1] % 2 else np.complex64
+    flat = out.view(kind)
+    at = _places(1 << len(out).bit_length(), flat.shape[1]).take(ids, axis=0)  # few tables, as their sizes are powers of two
+    np.add.at(flat.reshape(-1), at.reshape(-1), np.ascontiguousarray(rows).view(kind).reshape(-1))
+
+
+class _Adagrad:
+    """A table of parameters and its squares. Its other arrays are made once and used again by every step."""
+
+    def __init__(self, x: np.ndarray):
+        self.x, self.squares = x, np.full(x.shape, 1e-6, np.float32)
+        self.gradient, self.spare = np.empty_like(x), np.empty_like(x)
+
+    def move(self, rate: float) -> None:
+        np.multiply(self.gradient, self.gradient, out=self.spare)
+        self.squares += self.spare
+        np.sqrt(self.squares, out=self.spare)
+        np.divide(self.gradient, self.spare, out=self.spare)
+        self.spare *= rate
+        self.x += self.spare
 
 
 class Trainer:
-    """Adagrad steps of noise-contrastive estimation. A batch shares its noise words, so all products are matrix products."""
+    """Adagrad steps of noise-contrastive estimation. A batch shares its noise words, so all products are matrix products.
+
+    A word's vector and bias are one row, which the h of a token meets with a 1 at its end; C1 and C2 stand
+    side by side. A batch has some thousand contexts but few different ones, so products with C1 and C2 are of
+    these. The chance that a noise word is taken for a true one is ``(1 + tanh(score / 2)) / 2``; its halves are
+    left to the products' results.
+    """
 
     def __init__(self, start: Parameters, unigram: np.ndarray, noise: int = NOISE, rate: float = RATE, seed: int | tuple = 0):
-        self.p = Parameters(*(x.copy() for x in start.arrays()))
-        self.squares = [np.full(x.shape, 1e-6, np.float32) for x in self.p.arrays()]
+        n, width = start.context.shape
+        even = np.zeros((n, 1 - width % 2), np.float32)
+        self.context, self.mix = _Adagrad(start.context.copy()), _Adagrad(np.concatenate([start.first, start.second], axis=1))
+        self.words = _Adagrad(np.concatenate([start.target, start.bias[:, None], even], axis=1))
+        self.p = Parameters(self.context.x, self.words.x[:, :width], self.mix.x[:, :width], self.mix.x[:, width:], self.words.x[:, width])
         self.cumulative, self.offset = np.cumsum(unigram), np.log(noise * unigram).astype(np.float32)
         self.noise, self.rate, self.draw, self.seen = noise, rate, np.random.default_rng(seed), 0
+        self._arrays(0)
+
+    def _arrays(self, size: int) -> None:
+        width = self.p.context.shape[1]
+        self.scores, self.h = np.empty((size, self.noise), np.float32), np.zeros((size, self.words.x.shape[1]), np.float32)
+        self.h[:, width] = 1
 
     def step(self, w2: np.ndarray, w1: np.ndarray, w: np.ndarray) -> None:
-        p, n = self.p, len(self.offset)
-        others = np.minimum(np.searchsorted(self.cumulative, self.draw.random(self.noise)), n - 1)
-        c1, c2, q = p.context[w1], p.context[w2], p.target[w]
-        h = c1 @ p.first + c2 @ p.second
-        true = 1 / (1 + np.exp((h * q).sum(axis=1) + p.bias[w] - self.offset[w]))
-        noise = h @ p.target[others].T  # the largest array of a step: all in place
-        noise += p.bias[others]
-        noise -= self.offset[others]
-        np.negative(noise, out=noise)
-        np.exp(noise, out=noise)
-        noise += 1
-        np.divide(-1, noise, out=noise)
-        to_h = true[:, None] * q + noise @ p.target[others]
-        d_target = _scatter(w, true[:, None] * h, n)
-        np.add.at(d_target, others, noise.T @ h)
-        d_bias = np.bincount(w, true, n) + np.bincount(others, noise.sum(axis=0), n)
-        d_context = _scatter(w1, to_h @ p.first.T, n) + _scatter(w2, to_h @ p.second.T, n)
-        for x, g, s in zip(p.arrays(), (d_context, d_target, c1.T @ to_h, c2.T @ to_h, d_bias), self.squares, strict=True):
-            g = (g / len(w)).astype(np.float32)
-            s += g * g
-            x += self.rate * g / np.sqrt(s)
-        self.seen += len(w)
+        size, (n, width) = len(w), self.p.context.shape
+        if size != len(self.h):
+            self._arrays(size)
+        h, scores, half = self.h, self.scores, np.float32(0.5 / size)
+        others = np.minimum(self.cumulative.searchsorted(self.draw.random(self.noise)), n - 1)
+        used = np.zeros(n, bool)
+        used[w1] = used[w2] = True
+        used, number = np.flatnonzero(used), np.empty(n, np.int64)
+        number[used] = np.arange(len(used))
+        first, second = number.take(w1), number.take(w2)
+        c = self.context.x.take(used, axis=0)
+        mixed = c @ self.mix.x
+        np.add(mixed[:, :width].take(first, axis=0), mixed[:, width:].take(second, axis=0), out=h[:, :width])
+        own, rows = self.words.x.take(w, axis=0), self.words.x.take(others, axis=0)
+        rows[:, width] -= self.offset.take(others)
+        true = np.tanh((np.einsum("ij,ij->i", h, own) - self.offset.take(w)) / 2)
+        true = ((1 - true) * half)[:, None]
+        np.matmul(h, rows.T / 2, out=scores)  # the largest array of a step: all in place
+        np.tanh(scores, out=scores)
+        scores += 1
+        to_h = scores @ rows[:, :width]
+        to_h *= -half
+        own *= true
+        to_h += own[:, :width]
+        to_others = h.T @ scores
+        to_others *= -half
+        self.words.gradient.fill(0)
+        _add_rows(self.words.gradient, w, true * h)
+        _add_rows(self.words.gradient, others, to_others.T)
+        to_mixed = np.zeros((2, len(used), width), np.float32)
+        _add_rows(to_mixed[0], first, to_h)
+        _add_rows(to_mixed[1], second, to_h)
+        to_mixed = np.concatenate([*to_mixed], axis=1)
+        self.context.gradient.fill(0)
+        self.context.gradient[used] = to_mixed @ self.mix.x.T
+        np.matmul(c.T, to_mixed, out=self.mix.gradient)
+        for x in (self.words, self.context, self.mix):
+            x.move(self.rate)
+        self.seen += size
 
 
 def contexts(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,39 +224,44 @@ class WordTables:
     def log_group(self) -> np.ndarray:
         return np.log10(self.group_total)
 
-    def ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """(places, classes, words whose counts aren't held) of words; places of the latter are -1."""
+    def places(self, words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+        """(places, words whose counts aren't held) of words; places of the latter are -1."""
         get = self.place.get
-        at = np.array([get(w, -1) for w in words], np.int64)
+        at = np.array([get(w, -1) for w in words], np.int32)
+        return at, [words[i] for i in np.flatnonzero(at < 0).tolist()]
+
+    def classes_at(self, at: np.ndarray, rare: list[bytes]) -> np.ndarray:
+        """Classes of words by what :meth:`places` gives."""
         classes = self.classes[at] if len(self.classes) else np.zeros(len(at), np.int64)
-        missing = np.flatnonzero(at < 0)
-        rare = [words[i] for i in missing]
         if rare:
-            classes[missing] = [_group(w) for w in rare]
-        return at, classes, rare
+            classes[at < 0] = [_group(w) for w in rare]
+        return classes
+
+    def ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """(places, classes, words whose counts aren't held) of words."""
+        at, rare = self.places(words)
+        return at, self.classes_at(at, rare), rare
 
 
 def _texts(column: pa.Array, tables: WordTables) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
-    """(first text, end, places, classes, words of each text, words not held) of some _WORDS_AT_ONCE words, or one longer text, in pieces."""
+    """(first text, end, places, classes, words of each text, words not held) of some _WORDS_AT_ONCE words, or one longer text.
+
+    Words are looked up piece by piece, while they are in a core's cache.
+    """
     texts = utf8(column)
-    words, places, classes, rare, lengths, first = [], [], [], [], [], 0
+    places, rare, lengths, first, n = [], [], [], 0, 0
     for i, x in enumerate(texts):
-        lengths.append(1)
-        for piece in pieces_of(x.lower()):
-            own = piece.split()
-            words += own
-            lengths[-1] += len(own)
-            if len(words) >= _WORDS_AT_ONCE:
-                at, of, out = tables.ids(words)
-                places.append(at.astype(np.int32))
-                classes.append(of.astype(np.int32))
-                rare += out
-                words = []
-        words.append(END)
-        if places or len(words) >= _WORDS_AT_ONCE or i + 1 == len(texts):
-            at, of, out = tables.ids(words)
-            yield first, i + 1, np.concatenate([*places, at.astype(np.int32)]), np.concatenate([*classes, of.astype(np.int32)]), np.array(lengths), rare + out
-            words, places, classes, rare, lengths, first = [], [], [], [], [], i + 1
+        before = n
+        for words in chain((piece.split() for piece in pieces_of(x.lower())), [[END]]):
+            at, out = tables.places(words)
+            places.append(at)
+            rare += out
+            n += len(at)
+        lengths.append(n - before)
+        if n >= _WORDS_AT_ONCE or i + 1 == len(texts):
+            at = np.concatenate(places)
+            yield first, i + 1, at, tables.classes_at(at, rare).astype(np.int32), np.array(lengths), rare
+            places, rare, lengths, first, n = [], [], [], i + 1, 0
 
 
 def word_tables(counts: DataFrame, held: int = HELD_WORDS) -> WordTables:
