@@ -19,7 +19,6 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +45,7 @@ COUNTED_AT_ONCE = 300_000
 #: The end of a text, as a token. No word is empty.
 END = b""
 _WORDS_AT_ONCE = 1 << 18
+_LOOKED_UP = 1 << 12
 _SLICE = 8192
 _STEPS_AT_ONCE = 64
 
@@ -246,22 +246,28 @@ class WordTables:
 def _texts(column: pa.Array, tables: WordTables) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
     """(first text, end, places, classes, words of each text, words not held) of some _WORDS_AT_ONCE words, or one longer text.
 
-    Words are looked up piece by piece, while they are in a core's cache.
+    Words are looked up some _LOOKED_UP at a time, of several short texts together, so that few stand as objects at once.
     """
     texts = utf8(column)
-    places, rare, lengths, first, n = [], [], [], 0, 0
+    words, places, rare, lengths, first, n = [], [], [], [], 0, 0
     for i, x in enumerate(texts):
-        before = n
-        for words in chain((piece.split() for piece in pieces_of(x.lower())), [[END]]):
-            at, out = tables.places(words)
-            places.append(at)
-            rare += out
-            n += len(at)
-        lengths.append(n - before)
+        lengths.append(1)
+        for piece in pieces_of(x.lower()):
+            own = piece.split()
+            words += own
+            lengths[-1] += len(own)
+            if len(words) >= _LOOKED_UP:
+                at, out = tables.places(words)
+                places.append(at)
+                rare += out
+                words = []
+        words.append(END)
+        n += lengths[-1]
         if n >= _WORDS_AT_ONCE or i + 1 == len(texts):
-            at = np.concatenate(places)
+            at, out = tables.places(words)
+            at, rare = np.concatenate([*places, at]), rare + out
             yield first, i + 1, at, tables.classes_at(at, rare).astype(np.int32), np.array(lengths), rare
-            places, rare, lengths, first, n = [], [], [], i + 1, 0
+            words, places, rare, lengths, first, n = [], [], [], [], i + 1, 0
 
 
 def word_tables(counts: DataFrame, held: int = HELD_WORDS) -> WordTables:

@@ -176,6 +176,24 @@ def test_a_shard_takes_full_batches_wherever_texts_end():
         assert np.array_equal(np.concatenate(have), want)
 
 
+def test_lm_looks_words_up_in_blocks(spark, docs, monkeypatch):
+    """Short texts are looked up together, long ones in blocks; words come out the same."""
+    import pyarrow as pa
+
+    tables = lm.word_tables(lm.word_counts(docs), held=10)
+    column, calls, places = pa.array(["a b", None, "", "c"] * 500 + [" ".join(f"w{i}" for i in range(9000))]), [], lm.WordTables.places
+    monkeypatch.setattr(lm.WordTables, "places", lambda self, words: calls.append(len(words)) or places(self, words))
+    out = list(lm._texts(column, tables))
+    words = [w for x in column.to_pylist() for w in [*(x or "").encode().split(), lm.END]]
+    assert len(calls) <= 3 and sum(calls) == len(words)
+    monkeypatch.setattr(lm, "_LOOKED_UP", 3)
+    blocks = list(lm._texts(column, tables))
+    assert len(calls) > 300
+    for have in (out, blocks):
+        at, classes, rare = tables.ids(words)
+        assert [np.concatenate([p[k] for p in have]).tolist() for k in (2, 3)] == [at.tolist(), classes.tolist()] and [w for p in have for w in p[5]] == rare
+
+
 class PlainTrainer:
     """The formulas of a step one by one: every token's own products, rows summed by sorting, all tables moved whole."""
 
