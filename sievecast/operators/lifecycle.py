@@ -80,7 +80,10 @@ def revive(records: DataFrame, harvested: DataFrame) -> DataFrame:
 
 
 def with_snippets(findings: DataFrame, files: DataFrame) -> DataFrame:
-    """Findings of other tools with the line that they are about, clipped; null for whole files, lines that aren't there and files that aren't."""
-    lines = files.select("file_path", F.split("content", "\n").alias("_lines"))
-    text = clip_snippet(F.get("_lines", F.col("line") - 1))
-    return findings.join(lines, "file_path", "left").withColumn("snippet", F.when(F.col("line") > 0, text)).drop("_lines")
+    """Findings of other tools with the line that they are about, clipped; null for whole files, lines that aren't there and files that aren't.
+
+    Texts are made of narrow rows, by whose size Spark would judge a join: the hint keeps them from being broadcast.
+    """
+    texts = files.select("file_path", F.col("content").alias("_content")).hint("merge")
+    text = clip_snippet(F.get(F.split("_content", "\n"), F.col("line") - 1))
+    return findings.join(texts, "file_path", "left").withColumn("snippet", F.when(F.col("line") > 0, text)).drop("_content")
