@@ -1,8 +1,13 @@
 """What must hold as tables grow: no derived text or line is broadcast, whatever Spark takes their size for."""
 
+import random
+from collections import Counter
+
+import pytest
 from compare import SMALL
+from pyspark.sql import functions as F
 
-from sievecast.operators import lifecycle
+from sievecast.operators import diff, lifecycle
 from sievecast.plans import queries
 
 
@@ -16,3 +21,28 @@ def test_snippets_broadcast_no_texts(spark):
     got = lifecycle.with_snippets(findings, files)
     assert sorted(map(tuple, got.collect()), key=str) == sorted([("a", 2, "  y"), ("a", 0, None), ("a", 9, None), ("b", 1, None), ("c", 1, None)], key=str)
     assert "Broadcast" not in planned(queries.QUERIES["finding_snippets"](spark, SMALL))
+
+
+@pytest.mark.parametrize("name", ["lint_new"])
+def test_edits_broadcast_no_lines(spark, name):
+    plan = planned(queries.QUERIES[name](spark, SMALL))
+    wide = [x for x in plan.split("\n") if "BroadcastHashJoin" in x and "file_path" in x]
+    assert not wide, wide
+
+
+def test_changed_lines_by_blocks(spark):
+    random.seed(3)
+    text = lambda n: "\n".join(random.choice("abcdefgh") * random.randint(0, 3) for _ in range(n))
+    rows = [(f"f{k % 7}", random.choice([None, "", text(random.randint(1, 20)), text(300)]), random.choice([None, text(random.randint(1, 400))])) for k in range(30)]
+    edits = spark.createDataFrame(rows, "file_path string, before string, after string")
+    changed, edited = set(), {f for f, b, _ in rows if b}
+    for f, b, a in rows:
+        known = set(b.split("\n")) if b else {""}
+        changed |= {(f, k) for k, x in enumerate((a or "").split("\n") if a is not None else [], 1) if x not in known}
+    places = [(f"f{f}", line) for f in range(8) for line in [*range(0, 420), -1, -64, None] for _ in range(1 + (line == 64))]
+    found = spark.createDataFrame(places, "file_path string, line int").withColumn("rule", F.lit("r"))
+    of = lambda df: Counter((r.file_path, r.line) for r in df.collect())
+    assert of(diff.new_matches(found.filter("line > 0"), edits, found.filter("false"))) == Counter(p for p in places if p in changed)
+    assert of(diff.new_lint(found, edits)) == Counter(p for p in places if p in changed or not p[1] or p[0] not in edited)
+    old = Counter(f for f, line in places if line and line > 0 and (f, line) not in changed)
+    assert {r.file_path: r.n_preexisting for r in diff.preexisting_counts(found, edits).collect()} == old
