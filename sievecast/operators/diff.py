@@ -68,10 +68,13 @@ def _is_changed() -> Column:
 
 
 def new_matches(matches: DataFrame, edits: DataFrame, before: DataFrame) -> DataFrame:
-    """Matches that the edit made: on a changed line, or for a whole file (line 0) by a rule that did not fire before."""
-    on_line = matches.filter("line > 0").join(changed_lines(edits), ["file_path", "line"], "left_semi")
-    whole = matches.filter("line = 0").join(before.select("file_path", "rule").distinct(), ["file_path", "rule"], "left_anti")
-    return on_line.unionByName(whole)
+    """Matches that the edit made: on a changed line, or for a whole file (line 0) by a rule that did not fire before. One join of the file with both, so that matches are made once."""
+    lines = changed_blocks(edits).groupBy("_file", "_block").agg(F.bit_or("_bits").alias("_bits")).withColumn("_fired", F.lit(""))
+    fired = before.select(F.col("file_path").alias("_file"), F.lit(-1).alias("_block"), F.lit(0).cast("long").alias("_bits"), F.col("rule").alias("_fired")).distinct()
+    whole = F.col("line") == 0
+    on = (F.col("file_path") == F.col("_file")) & (F.when(whole, -1).otherwise(_block_of_line()) == F.col("_block")) & (F.when(whole, F.col("rule")).otherwise("") == F.col("_fired"))
+    marked = matches.join(lines.unionByName(fired).hint("merge"), on, "left")
+    return marked.filter(F.when(whole, F.col("_file").isNull()).otherwise((F.col("line") > 0) & _bit_of_line())).select(*matches.columns)
 
 
 def preexisting_counts(matches: DataFrame, edits: DataFrame) -> DataFrame:
