@@ -79,7 +79,7 @@ def new_matches(matches: DataFrame, edits: DataFrame, before: DataFrame) -> Data
 
 def preexisting_counts(matches: DataFrame, edits: DataFrame) -> DataFrame:
     """``file_path, n_preexisting``: matches with a line that the edit did not change."""
-    old = matches.filter("line > 0").join(changed_lines(edits), ["file_path", "line"], "left_anti")
+    old = matches.filter("line > 0").join(changed_blocks(edits), _is_changed(), "left_anti")
     return old.groupBy("file_path").agg(F.count("*").alias("n_preexisting"))
 
 

@@ -23,7 +23,7 @@ def test_snippets_broadcast_no_texts(spark):
     assert "Broadcast" not in planned(queries.QUERIES["finding_snippets"](spark, SMALL))
 
 
-@pytest.mark.parametrize("name", ["lint_new", "new_matches"])
+@pytest.mark.parametrize("name", ["lint_new", "new_matches", "preexisting_count"])
 def test_edits_broadcast_no_lines(spark, name):
     plan = planned(queries.QUERIES[name](spark, SMALL))
     wide = [x for x in plan.split("\n") if "BroadcastHashJoin" in x and "file_path" in x]
