@@ -3,10 +3,12 @@
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from compare import SMALL
 from pyspark.sql import functions as F
 
+from sievecast.functions import syntax_tree
 from sievecast.operators import diff, lifecycle, rules
 from sievecast.plans import queries
 
@@ -58,3 +60,35 @@ def test_new_matches_are_made_once(spark):
     out = diff.new_matches(found, edits, found.filter("false"))
     assert out.count() == 1
     assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2
+
+
+LINES = ["if (q || r) { s(); }", "else { t(); }", "foo(1, 2);", "foo()", "(a) => b", "`t`", "`t ${a} u`", "return", "x = {", "a: 1,", "};", "}", "{", "function f(a, b) {", "class A {", "m(x: T): U { y(); }", "try { f(); } catch (e) { }", "catch (e) { }", "const g = (a: number): string => { return h(a) };", "/* c", "*/", "// d", "", "/re/.test(x);", "a / b / c;", '"s\\', "`u", "${v}", "w`;", "if (a)", "let q =", "+ 2", "++i;", "declare", "f(() => {", "});", "eval(1); console.log('é');"]
+
+
+def test_lines_met_before_are_as_if_new():
+    rng = random.Random(5)
+    kinds = frozenset(("call_expression", "identifier", "statement_block"))
+    for k in range(1500):
+        some = rng.sample(LINES, rng.randint(2, 12))
+        source = "\n".join(rng.choice(["", "  "]) + rng.choice(some) + rng.choice(["", "", " // c"]) for _ in range(rng.randint(0, 25)))
+        wanted = kinds if k % 2 else None
+        got = syntax_tree.nodes(source, wanted)
+        arrays = syntax_tree._trees(pa.array([source, None]), wanted).to_pylist()
+        assert [list(n.values()) for n in arrays[0]["nodes"]] == got and arrays[1]["nodes"] is None
+        known = dict(syntax_tree._LINES)
+        syntax_tree._LINES.clear()
+        assert syntax_tree.nodes(source, wanted) == got, source
+        syntax_tree._LINES.update(known)
+
+
+def test_lines_are_read_once(monkeypatch):
+    reads = []
+    statement = syntax_tree._Parser.if_statement
+    monkeypatch.setitem(syntax_tree._Parser.STATEMENTS, "if", lambda self: reads.append(1) or statement(self))
+    source = "if (q || zz) { s(); }\n" * 500
+    assert sum(n[4] == "if_statement" for n in syntax_tree.nodes(source)) == 500 and len(reads) < 10
+
+
+def test_nothing_of_a_last_comment_is_code():
+    for end in ("\n", " // eval(x)", " /* eval(x) */", "\n/* eval(x)"):
+        assert [n[4] for n in syntax_tree.nodes("a;" + end)] == ["program", "expression_statement", "identifier"]
