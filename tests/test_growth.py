@@ -9,7 +9,7 @@ from compare import SMALL
 from pyspark.sql import functions as F
 
 from sievecast.functions import syntax_tree
-from sievecast.operators import diff, lifecycle, rules
+from sievecast.operators import ast_query, diff, lifecycle, rules, syntax
 from sievecast.plans import queries
 
 
@@ -92,3 +92,34 @@ def test_lines_are_read_once(monkeypatch):
 def test_nothing_of_a_last_comment_is_code():
     for end in ("\n", " // eval(x)", " /* eval(x) */", "\n/* eval(x)"):
         assert [n[4] for n in syntax_tree.nodes("a;" + end)] == ["program", "expression_statement", "identifier"]
+
+
+@pytest.mark.parametrize("name", ["ast_query_captures"])
+def test_tree_queries_broadcast_no_nodes_and_parse_once(spark, name):
+    plan = planned(queries.QUERIES[name](spark, SMALL))
+    spark.catalog.clearCache()
+    assert "BroadcastHashJoin" not in plan and "InMemoryTableScan" in plan
+
+
+QUERIES = [
+    "(call_expression function: (identifier) @f arguments: (arguments (number) @n))",
+    "(function_declaration name: (identifier) @n body: (statement_block (return_statement)? @r))",
+    "(if_statement !alternative) @plain",
+    "(arguments (_) @x (number)? @y)",
+    "(binary_expression (identifier)? @o (member_expression object: (identifier) @i))",
+    "[(for_statement) (while_statement)] @loop (number) @n",
+    "(try_statement handler: (catch_clause body: (statement_block) @b) !finalizer)",
+]
+
+
+def test_nodes_that_fit_find_what_all_nodes_find(spark):
+    rng = random.Random(11)
+    bits = ["f(1);", "f(a, 2);", "g(h(3), 4);", "if (a) { f(5) } else { g(6) }", "if (b) f(7);", "function k() { return 8 }", "function l() { m() }", "x = a + b.c;", "y = b.c + 9;", "for (;;) { f(1, 2) }", "try { f() } catch (e) { }", "try { } catch { } finally { }"]
+    files = spark.createDataFrame([(f"f{k}", "\n".join(rng.choice(bits) for _ in range(rng.randint(0, 9)))) for k in range(25)] + [("none", None)], "file_path string, content string")
+    everything = syntax.node_table(files).persist()
+    for q in QUERIES:
+        some = ast_query.node_table(files, q, "(unread").persist()
+        of = lambda nodes, q=q: Counter(map(tuple, ast_query.run_query(nodes, q).collect()))
+        assert of(some) == of(everything) != Counter(), q
+        assert some.count() < everything.count() / 2
+    spark.catalog.clearCache()
