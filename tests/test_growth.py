@@ -94,7 +94,7 @@ def test_nothing_of_a_last_comment_is_code():
         assert [n[4] for n in syntax_tree.nodes("a;" + end)] == ["program", "expression_statement", "identifier"]
 
 
-@pytest.mark.parametrize("name", ["ast_query_captures"])
+@pytest.mark.parametrize("name", ["ast_query_captures", "ast_query_rules"])
 def test_tree_queries_broadcast_no_nodes_and_parse_once(spark, name):
     plan = planned(queries.QUERIES[name](spark, SMALL))
     spark.catalog.clearCache()
