@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 KEYWORDS = ("if", "while", "for", "case")
-#: A run of question marks that is one long and not followed by a dot is a ternary.
-_TOKEN = r"[A-Za-z0-9_$]+|[{}]|&&|\|\||\?+\.?"
+#: A run of question marks that is one long and not followed by a dot is a ternary. Other words would only be filtered out, one by one.
+_TOKEN = r"(?=[ifwc{}&|?])(?:(?<![A-Za-z0-9_$])(?:" + "|".join(KEYWORDS) + r")(?![A-Za-z0-9_$])|[{}]|&&|\|\||\?+\.?)"
 
 
 def code_tokens(masked: Column) -> Column:
-    """Words, braces, logical operators and question marks, in order. Select it once, then take several metrics of it."""
+    """Keywords, braces, logical operators and question marks, in order. Select it once, then take several metrics of it."""
     return F.regexp_extract_all(masked, F.lit(_TOKEN), F.lit(0))
 
 

@@ -8,7 +8,7 @@ import pytest
 from compare import SMALL
 from pyspark.sql import functions as F
 
-from sievecast.functions import syntax_tree
+from sievecast.functions import catches, metrics, syntax_tree
 from sievecast.operators import ast_query, diff, lifecycle, rules, syntax
 from sievecast.plans import queries
 
@@ -123,3 +123,23 @@ def test_nodes_that_fit_find_what_all_nodes_find(spark):
         assert of(some) == of(everything) != Counter(), q
         assert some.count() < everything.count() / 2
     spark.catalog.clearCache()
+
+
+def test_tokens_are_those_that_metrics_count(spark):
+    source = "éif (xif ? a : b) { while (ifx && y || z??.w) { foo(bar, case_); } } ifé $for for"
+    got = spark.createDataFrame([(source,)], "m string").select(metrics.code_tokens(F.col("m")).alias("t")).first()["t"]
+    assert got == ["if", "?", "{", "while", "&&", "||", "??.", "{", "}", "}", "if", "for"]
+
+
+def test_only_catches_are_scanned(monkeypatch):
+    looked = []
+
+    class Counting:
+        def search(self, text, at):
+            looked.append(at)
+            return token.search(text, at)
+
+    token = catches._TOKEN
+    monkeypatch.setattr(catches, "_TOKEN", Counting())
+    text = "x = f(a, b);\n" * 200 + "catch (e) { }\n" + "y = g(c);\n" * 200
+    assert catches.scan(text) == [2600] and len(looked) < 12
